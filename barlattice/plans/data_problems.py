@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlattice.functions.epoch import epoch_us, is_millis
 from barlattice.operators.grid import bar_grid
+from barlattice.operators.instants import state_instants, ticket_instants
 from barlattice.operators.rolling import rising_volume_days, rolling_bars
 from barlattice.sources.tables import table
 
@@ -14,16 +16,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rising_volume_days(table(spark, d, "bars", "universe_id", "symbol", "timestamp_open", "volume", "close"))
 
 
+def fixed(c: str, digits: int) -> Column:
+    """Column rounded by the same floating-point steps as ``floor(x * 1e<d> + 0.5) / 1e<d>`` in SQL."""
+    scale = float(10**digits)
+    return (F.floor(F.col(c) * scale + 0.5) / scale).alias(c)
+
+
 def p1_rolling(spark: SparkSession, d: str) -> DataFrame:
     rolled = rolling_bars(table(spark, d, "bars", "universe_id", "symbol", "timestamp_open", "volume", "close"))
     return rolled.select(
         "universe_id",
         "symbol",
         F.date_format("day", "yyyy-MM-dd").alias("day"),
-        F.round("volume_7d", 4).alias("volume_7d"),
-        F.round("volume_30d", 4).alias("volume_30d"),
-        F.round("close_avg_7d", 6).alias("close_avg_7d"),
-        F.round("close_avg_30d", 6).alias("close_avg_30d"),
+        fixed("volume_7d", 4),
+        fixed("volume_30d", 4),
+        fixed("close_avg_7d", 6),
+        fixed("close_avg_30d", 6),
     )
 
 
@@ -38,6 +46,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_grid(spark, d).filter("filled").select("universe_id", "symbol", "open_ms")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    tickets = ticket_instants(
+        table(spark, d, "tickets", "delivery_id", "run_id", "timestamp", "bar_index", "clock_zone", "received_at")
+    )
+    states = state_instants(
+        table(spark, d, "live_states", "state_id", "last_processed_timestamp_utc", "last_processed_datetime_str", "clock_zone", "saved_at")
+    )
+    bars = table(spark, d, "bars", "bar_id", "timestamp_open").filter(~is_millis(F.col("timestamp_open")))
+    parts = (
+        tickets.select(F.lit("tickets").alias("src"), F.col("delivery_id").alias("row_id"), "utc_us"),
+        states.select(F.lit("live_states").alias("src"), F.col("state_id").alias("row_id"), "utc_us"),
+        bars.select(F.lit("bars").alias("src"), F.col("bar_id").alias("row_id"), epoch_us(F.col("timestamp_open")).alias("utc_us")),
+    )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.col("utc_us").isNotNull())
+
+
 _MS = """CASE WHEN timestamp_open < 100000000000 THEN timestamp_open * 1000
               WHEN timestamp_open < 100000000000000 THEN timestamp_open
               WHEN timestamp_open < 100000000000000000 THEN timestamp_open // 1000
@@ -78,13 +102,13 @@ nxt AS (SELECT *, lead(p) OVER (PARTITION BY universe_id, symbol ORDER BY p) AS
 grid AS (SELECT universe_id, symbol, step, p, unnest(range(p, coalesce(np, p + 1))) AS q, close FROM nxt)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p4_found": p4_found, "p4_grid": p4_grid}
+QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid}
 
 ORACLE = {
     "p1_found": _DAILY + "SELECT universe_id, symbol, day FROM rolled WHERE day_no >= 30 AND v7 / 7 > v30 / 30",
     "p1_rolling": _DAILY
-    + "SELECT universe_id, symbol, day, round(v7, 4) AS volume_7d, round(v30, 4) AS volume_30d,"
-    + " round(c7, 6) AS close_avg_7d, round(c30, 6) AS close_avg_30d FROM rolled",
+    + "SELECT universe_id, symbol, day, floor(v7 * 1e4 + 0.5) / 1e4 AS volume_7d, floor(v30 * 1e4 + 0.5) / 1e4 AS volume_30d,"
+    + " floor(c7 * 1e6 + 0.5) / 1e6 AS close_avg_7d, floor(c30 * 1e6 + 0.5) / 1e6 AS close_avg_30d FROM rolled",
     "p4_found": _GRID + "SELECT universe_id, symbol, q * step AS open_ms FROM grid WHERE q > p",
     "p4_grid": _GRID + "SELECT universe_id, symbol, q * step AS open_ms, close, q > p AS filled FROM grid",
 }
