@@ -35,7 +35,8 @@ EPOCH = r"^([+-]?\d{9,19})(?:\.(\d{1,9}))?$"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 UNIVERSAL = ("Z", "UTC", "GMT", "UT")
 #: Characters around a value that do not belong to it.
-_OUTER = r"^[\s  -​ 　﻿]+|[\s  -​ 　﻿]+$"
+_BLANK = r"[\s\x{85}\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]+"
+_OUTER = rf"^{_BLANK}|{_BLANK}$"
 #: Steps of the clock in use: a repeated wall time lies this much later in UTC.
 _STEPS_US = (3_600_000_000, 1_800_000_000, 7_200_000_000)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlattice.functions.epoch import epoch_us, is_millis
+from barlattice.operators.dedupe import kept_deliveries, surplus_deliveries
 from barlattice.operators.grid import bar_grid
 from barlattice.operators.instants import state_instants, ticket_instants
 from barlattice.operators.rolling import rising_volume_days, rolling_bars
@@ -46,6 +47,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_grid(spark, d).filter("filled").select("universe_id", "symbol", "open_ms")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    tickets = table(spark, d, "tickets", "run_id", "trade_id", "received_at", "delivery_id")
+    return surplus_deliveries(tickets, ("run_id", "trade_id"), "received_at", "delivery_id").select("delivery_id")
+
+
+def p2_kept(spark: SparkSession, d: str) -> DataFrame:
+    tickets = table(spark, d, "tickets", "run_id", "trade_id", "received_at", "delivery_id", "bar_index", "timestamp")
+    return kept_deliveries(tickets, ("run_id", "trade_id"), "received_at", "delivery_id").drop("received_at")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     tickets = ticket_instants(
         table(spark, d, "tickets", "delivery_id", "run_id", "timestamp", "bar_index", "clock_zone", "received_at")
@@ -102,13 +113,20 @@ nxt AS (SELECT *, lead(p) OVER (PARTITION BY universe_id, symbol ORDER BY p) AS
 grid AS (SELECT universe_id, symbol, step, p, unnest(range(p, coalesce(np, p + 1))) AS q, close FROM nxt)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid}
+_RANKED = """
+WITH ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id, trade_id ORDER BY received_at, delivery_id) AS k FROM tickets)
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid}
 
 ORACLE = {
     "p1_found": _DAILY + "SELECT universe_id, symbol, day FROM rolled WHERE day_no >= 30 AND v7 / 7 > v30 / 30",
     "p1_rolling": _DAILY
     + "SELECT universe_id, symbol, day, floor(v7 * 1e4 + 0.5) / 1e4 AS volume_7d, floor(v30 * 1e4 + 0.5) / 1e4 AS volume_30d,"
     + " floor(c7 * 1e6 + 0.5) / 1e6 AS close_avg_7d, floor(c30 * 1e6 + 0.5) / 1e6 AS close_avg_30d FROM rolled",
+    "p2_found": _RANKED + "SELECT delivery_id FROM ranked WHERE k > 1",
+    "p2_kept": _RANKED + "SELECT run_id, trade_id, delivery_id, bar_index, timestamp FROM ranked WHERE k = 1",
     "p4_found": _GRID + "SELECT universe_id, symbol, q * step AS open_ms FROM grid WHERE q > p",
     "p4_grid": _GRID + "SELECT universe_id, symbol, q * step AS open_ms, close, q > p AS filled FROM grid",
 }
