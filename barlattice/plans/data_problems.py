@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlattice.functions.epoch import epoch_us, is_millis
+from barlattice.operators.anomalies import implausible_bars
 from barlattice.operators.dedupe import kept_deliveries, surplus_deliveries
 from barlattice.operators.grid import bar_grid
 from barlattice.operators.instants import state_instants, ticket_instants
@@ -73,6 +74,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.col("utc_us").isNotNull())
 
 
+def p7_flags(spark: SparkSession, d: str) -> DataFrame:
+    return implausible_bars(table(spark, d, "bars", "universe_id", "symbol", "timestamp_open", "close", "high", "low", "volume"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_flags(spark, d).select("universe_id", "symbol", "open_ms")
+
+
 _MS = """CASE WHEN timestamp_open < 100000000000 THEN timestamp_open * 1000
               WHEN timestamp_open < 100000000000000 THEN timestamp_open
               WHEN timestamp_open < 100000000000000000 THEN timestamp_open // 1000
@@ -118,7 +127,7 @@ WITH ranked AS (
   SELECT *, row_number() OVER (PARTITION BY run_id, trade_id ORDER BY received_at, delivery_id) AS k FROM tickets)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid}
+QUERIES = {"p7_found": p7_found, "p7_flags": p7_flags, "p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid}
 
 ORACLE = {
     "p1_found": _DAILY + "SELECT universe_id, symbol, day FROM rolled WHERE day_no >= 30 AND v7 / 7 > v30 / 30",
