@@ -48,8 +48,10 @@ TRANSITIONS = np.array(
 #: Chance of repeating the preceding bar in each state.
 REPEAT = np.array([0.005, 0.02, 0.99, 0.005])
 #: Normal bars: density exp(-x) of the excursion and exp(-VOLUME_DECAY x) of the log volume
-#: ratio; spikes: log-uniform excursion up to 1e6 moves and a flat log volume ratio.
+#: ratio; spikes: log-uniform excursion from PRICE_LEAST moves over six decades, or a flat log
+#: volume ratio from VOLUME_LEAST on (so that a busy spell of moderate bars is no chain of spikes).
 VOLUME_DECAY, VOLUME_SPIKE, LOG_SPAN = 3.3, 0.1, np.log(1e6)
+PRICE_LEAST, VOLUME_LEAST = 8.0, np.log(12.0)
 IMPOSSIBLE = -60.0
 
 
@@ -136,8 +138,8 @@ def emissions(score, ratio, repeat, broken) -> np.ndarray:
     """Log likelihood of each row in each state."""
     up = np.maximum(ratio, 0.0)
     normal = -score - VOLUME_DECAY * up
-    price_gain = score - np.log(np.maximum(score, 1.0) * LOG_SPAN)
-    volume_gain = VOLUME_DECAY * up + np.log(VOLUME_SPIKE)
+    price_gain = np.where(score > PRICE_LEAST, score - np.log(np.maximum(score, 1.0) * LOG_SPAN), IMPOSSIBLE)
+    volume_gain = np.where(up > VOLUME_LEAST, VOLUME_DECAY * up + np.log(VOLUME_SPIKE), IMPOSSIBLE)
     out = np.stack([normal, normal + np.logaddexp(price_gain, volume_gain), normal, np.full(len(score), IMPOSSIBLE)], axis=1)
     out += np.where(repeat[:, None], np.log(REPEAT), np.log(1 - REPEAT))
     out[broken] = IMPOSSIBLE
