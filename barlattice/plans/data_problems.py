@@ -10,6 +10,7 @@ from barlattice.operators.anomalies import implausible_bars
 from barlattice.operators.dedupe import kept_deliveries, surplus_deliveries
 from barlattice.operators.grid import bar_grid
 from barlattice.operators.instants import state_instants, ticket_instants
+from barlattice.operators.rejects import parse_lines
 from barlattice.operators.rolling import rising_volume_days, rolling_bars
 from barlattice.sources.tables import table
 
@@ -74,6 +75,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.col("utc_us").isNotNull())
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return parse_lines(table(spark, d, "raw_lines")).filter("kind = 'bad'").select("line_id", "reason")
+
+
+def p5_bars(spark: SparkSession, d: str) -> DataFrame:
+    return parse_lines(table(spark, d, "raw_lines")).filter("kind = 'bar'").drop("kind", "reason", "timestamp_close_ms")
+
+
 def p7_flags(spark: SparkSession, d: str) -> DataFrame:
     return implausible_bars(table(spark, d, "bars", "universe_id", "symbol", "timestamp_open", "close", "high", "low", "volume"))
 
@@ -127,13 +136,42 @@ WITH ranked AS (
   SELECT *, row_number() OVER (PARTITION BY run_id, trade_id ORDER BY received_at, delivery_id) AS k FROM tickets)
 """
 
-QUERIES = {"p7_found": p7_found, "p7_flags": p7_flags, "p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid}
+_LINES = r"""
+WITH f AS (
+  SELECT *, CASE WHEN regexp_full_match(line, '(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*')
+    THEN [CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END
+          FOR x IN regexp_extract_all(',' || line, ',("(?:[^"]|"")*"|[^",]*)', 1)] END AS p
+  FROM raw_lines),
+t AS (SELECT line_id, file_name, line_no, line, [trim(x, ' ' || chr(9) || chr(13) || chr(10)) FOR x IN p] AS p FROM f
+      WHERE NOT (line_no <= 1 AND coalesce(lower(list_aggregate(p, 'string_agg', ',')) =
+        'timestamp_open,timestamp_close,symbol,open,high,low,close,volume,quote_volume,trades_count,state,ignore', false))),
+n AS (SELECT *, CASE WHEN regexp_full_match(p[1], '[0-9]+') THEN try_cast(p[1] AS HUGEINT) END AS ts FROM t),
+judged AS (
+  SELECT *, CASE WHEN p IS NULL THEN 'quoting' WHEN len(p) <> 12 THEN 'column_count'
+    WHEN NOT coalesce(ts BETWEEN 1420070400 AND 2051222399 OR ts BETWEEN 1420070400000 AND 2051222399999
+      OR ts BETWEEN 1420070400000000 AND 2051222399999999 OR ts BETWEEN 1420070400000000000 AND 2051222399999999999, false) THEN 'timestamp_open'
+    WHEN NOT (regexp_full_match(p[10], '[0-9]+') AND coalesce(try_cast(p[10] AS HUGEINT) < 2147483648, false)) THEN 'trades_count'
+    WHEN NOT (regexp_full_match(p[9], '([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(isfinite(try_cast(p[9] AS DOUBLE)), false))
+      THEN 'quote_volume' END AS reason
+  FROM n)
+"""
+
+QUERIES = {"p5_found": p5_found, "p5_bars": p5_bars, "p7_found": p7_found, "p7_flags": p7_flags, "p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid}
 
 ORACLE = {
     "p1_found": _DAILY + "SELECT universe_id, symbol, day FROM rolled WHERE day_no >= 30 AND v7 / 7 > v30 / 30",
     "p1_rolling": _DAILY
     + "SELECT universe_id, symbol, day, floor(v7 * 1e4 + 0.5) / 1e4 AS volume_7d, floor(v30 * 1e4 + 0.5) / 1e4 AS volume_30d,"
     + " floor(c7 * 1e6 + 0.5) / 1e6 AS close_avg_7d, floor(c30 * 1e6 + 0.5) / 1e6 AS close_avg_30d FROM rolled",
+    "p5_found": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p5_bars": _LINES
+    + """SELECT line_id, file_name, line_no,
+      CAST(CASE WHEN ts < 100000000000 THEN ts * 1000 WHEN ts < 100000000000000 THEN ts
+        WHEN ts < 100000000000000000 THEN ts // 1000 ELSE ts // 1000000 END AS BIGINT) AS timestamp_open_ms,
+      p[3] AS symbol, try_cast(p[4] AS DOUBLE) AS open, try_cast(p[5] AS DOUBLE) AS high, try_cast(p[6] AS DOUBLE) AS low,
+      try_cast(p[7] AS DOUBLE) AS close, try_cast(p[8] AS DOUBLE) AS volume, CAST(p[9] AS DOUBLE) AS quote_volume,
+      CAST(p[10] AS BIGINT) AS trades_count, upper(p[11]) AS state
+    FROM judged WHERE reason IS NULL""",
     "p2_found": _RANKED + "SELECT delivery_id FROM ranked WHERE k > 1",
     "p2_kept": _RANKED + "SELECT run_id, trade_id, delivery_id, bar_index, timestamp FROM ranked WHERE k = 1",
     "p4_found": _GRID + "SELECT universe_id, symbol, q * step AS open_ms FROM grid WHERE q > p",
