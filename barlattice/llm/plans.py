@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlattice.llm.canonical import collapse
+from barlattice.llm.packing import fill_report, pack
+from barlattice.llm.tokens import decode_documents, encode_documents, token_counts
 from barlattice.sources.tables import table
 
 
@@ -23,5 +25,29 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(F.col("representative").alias("proposal_id"), "copies")
 
 
-QUERIES = {"p6_found": p6_found, "p6_records": p6_records}
-ORACLE: dict[str, str] = {}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_documents(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return decode_documents(p8_ids(spark, d), "doc_id")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = token_counts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return pack(sizes, table(spark, d, "packs", "pack_id", "capacity"))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p9_containers(spark, d), table(spark, d, "packs", "pack_id", "capacity"))
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_records": p6_records,
+    "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
+    "p9_containers": p9_containers,
+    "p9_fill": p9_fill,
+}
+ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
