@@ -28,8 +28,13 @@ HOT_SHARE = 1 / 2000
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text; null and empty texts have none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    """The words of a text; null and empty texts have none.
+
+    A text with a character that Java's Unicode tables do not know yet is one
+    word: the tokenizer, which may know it as a letter, splits it itself.
+    """
+    given = F.coalesce(text, F.lit(""))
+    return F.when(given.rlike(r"\p{Cn}"), F.array(given)).otherwise(F.regexp_extract_all(given, F.lit(WORD), F.lit(0)))
 
 
 def _encode(path: str):
