@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlattice.llm.canonical import collapse
 from barlattice.llm.packing import fill_report, pack
+from barlattice.llm.sentences import sentence_units
 from barlattice.llm.tokens import decode_documents, encode_documents, token_counts
 from barlattice.sources.tables import table
 
@@ -42,7 +43,12 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p9_containers(spark, d), table(spark, d, "packs", "pack_id", "capacity"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_units(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 QUERIES = {
+    "p10_found": p10_found,
     "p6_found": p6_found,
     "p6_records": p6_records,
     "p8_ids": p8_ids,
