@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlattice.session import cut_lineage
+
 #: Parts that the items of one size are spread over when they are ranked.
 SALTS = 64
 #: Most containers kinds in a plan's table.
@@ -178,6 +180,8 @@ def pack(items: DataFrame, packs: DataFrame, identifier: str = "doc_id", size: s
     base = items.select(F.col(identifier), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__size")).withColumn(
         "__row", F.monotonically_increasing_id()
     )
+    # row numbers hold for one evaluation only, and several branches join by them
+    base = cut_lineage(base)
     if not kinds:
         return base.select(F.lit(0).cast("long").alias("pack_id"), identifier, F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("container_id"), F.lit(0).cast("long").alias("n_tokens")).limit(0)
     each = F.explode(F.array(*[F.struct(F.lit(p).cast("long").alias("pack_id"), F.lit(c).cast("long").alias("capacity")) for p, c in kinds.items()]))

@@ -64,13 +64,15 @@ def _with_words(documents: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return documents.select(*keep, F.monotonically_increasing_id().alias("__row"), words_of(F.col(text)).alias("words"))
 
 
-def _looked_up(exploded: DataFrame, table: DataFrame, values: list[str], broadcast_bytes: int, hot_share: float) -> DataFrame:
-    """``exploded`` with the table's ``values`` of column ``word`` (null words get nulls)."""
+def _looked_up(rows: DataFrame, explode, table: DataFrame, values: list[str], broadcast_bytes: int, hot_share: float) -> DataFrame:
+    """``explode(rows)`` with the table's ``values`` of column ``word`` (null words get nulls)."""
     size, total = table.agg(F.sum(F.octet_length("word") + 8 * F.size("ids") + 64), F.sum("n")).first()
     small = table.select("word", *values)
     if (size or 0) <= broadcast_bytes:
-        return exploded.join(F.broadcast(small), "word", "left")
-    # frequent words (at most 1/share) are broadcast, the others are shuffled
+        return explode(rows).join(F.broadcast(small), "word", "left")
+    # frequent words (at most 1/share) are broadcast, the others are shuffled; the row numbers
+    # must be the same in both branches, so the words are kept in the checkpoint folder
+    exploded = explode(cut_lineage(rows))
     least = int(total * hot_share) + 1
     hot = table.filter(F.col("n") >= least).select("word", *[F.col(v).alias(f"__{v}") for v in values], F.lit(True).alias("__hot"))
     marked = exploded.join(F.broadcast(hot), "word", "left")
@@ -96,8 +98,11 @@ def encode_documents(
     """
     rows = _with_words(documents, text, [identifier])
     table = word_table(rows, tokenizer, folder)
-    exploded = rows.repartition("__row").select(identifier, "__row", F.posexplode_outer("words").alias("pos", "word"))
-    found = _looked_up(exploded, table, ["ids"], broadcast_bytes, hot_share)
+
+    def explode(r: DataFrame) -> DataFrame:
+        return r.repartition("__row").select(identifier, "__row", F.posexplode_outer("words").alias("pos", "word"))
+
+    found = _looked_up(rows, explode, table, ["ids"], broadcast_bytes, hot_share)
     placed = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "ids")))
     return found.groupBy("__row", identifier).agg(F.flatten(F.sort_array(placed).getField("ids")).alias("ids")).select(identifier, "ids")
 
@@ -114,8 +119,11 @@ def token_counts(
     """``identifier`` and ``size`` (tokens) of each row; null and empty texts have 0."""
     rows = _with_words(documents, text, [identifier])
     table = word_table(rows, tokenizer, folder).withColumn("size", F.size("ids").cast("long"))
-    exploded = rows.select(identifier, "__row", F.explode_outer("words").alias("word"))
-    found = _looked_up(exploded, table, ["size"], broadcast_bytes, hot_share)
+
+    def explode(r: DataFrame) -> DataFrame:
+        return r.select(identifier, "__row", F.explode_outer("words").alias("word"))
+
+    found = _looked_up(rows, explode, table, ["size"], broadcast_bytes, hot_share)
     return found.groupBy("__row", identifier).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).select(identifier, "size")
 
 
