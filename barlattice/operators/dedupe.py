@@ -158,7 +158,7 @@ def _probe(shared, layout_):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = _Filters(shared.value, layout_)
         for batch in batches:
-            hit = filters.repeats(batch.column("bucket").to_numpy().astype(np.int64), batch.column("h").to_numpy())
+            hit = filters.repeats(batch.column("__bucket").to_numpy().astype(np.int64), batch.column("__h").to_numpy())
             yield batch.filter(pa.array(hit))
 
     return task
@@ -204,10 +204,10 @@ def possible_repeats(
         load[k] = load.get(k, 0) + n
     layout = _Layout(max(load.values()))
     bucket = F.when(raw == -(1 << 40), 0).otherwise(1 + F.call_function("div", raw - start, F.lit(width))).cast("int")
-    marked = rows.withColumn("h", F.xxhash64(*keys)).withColumn("bucket", bucket)
+    marked = rows.withColumns({"__h": F.xxhash64(*keys), "__bucket": bucket})
 
     filters = (
-        marked.select("bucket", "h")
+        marked.select(F.col("__bucket").alias("bucket"), F.col("__h").alias("h"))
         .mapInArrow(_build(layout), "bucket int, shard int, once binary, twice binary")
         .groupBy("bucket", "shard")
         .applyInPandas(_merge(layout), "bucket int, shard int, once binary, twice binary")
@@ -215,16 +215,16 @@ def possible_repeats(
     size = len(load) * layout.shards * layout.bits // 4
     if size <= broadcast_bytes:
         shared = spark.sparkContext.broadcast([(r[0], r[1], bytes(r[2]), bytes(r[3])) for r in filters.collect()])
-        return marked.mapInArrow(_probe(shared, layout), marked.schema).drop("h", "bucket")
+        return marked.mapInArrow(_probe(shared, layout), marked.schema).drop("__h", "__bucket")
 
-    distinct = marked.select("bucket", "h").distinct().mapInArrow(_with_shard(layout), "bucket int, h long, shard int")
+    distinct = marked.select(F.col("__bucket").alias("bucket"), F.col("__h").alias("h")).distinct().mapInArrow(_with_shard(layout), "bucket int, h long, shard int")
     hits = (
         distinct.groupBy("shard")
         .cogroup(filters.groupBy("shard"))
         .applyInPandas(_probe_shard(layout), "h long")
         .distinct()
     )
-    return marked.join(hits, "h", "left_semi").select(*rows.columns)
+    return marked.join(hits.withColumnRenamed("h", "__h"), "__h", "left_semi").select(*rows.columns)
 
 
 def _with_shard(layout: _Layout):

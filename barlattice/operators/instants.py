@@ -108,9 +108,11 @@ def parse_instants(
     day first.  Finer parts than a microsecond are cut off.
     """
     spark = df.sparkSession
-    value = F.regexp_replace(F.col(text), _OUTER, "")
-    home = F.coalesce(F.col(zone), F.lit(default_zone))
-    parts = df.withColumn("__v", value).withColumn("__f", _fields(F.col("__v"))).withColumn("__home", home)
+    value = F.regexp_replace(F.col(text).cast("string"), _OUTER, "")
+    home = F.coalesce(F.col(zone).cast("string"), F.lit(default_zone))
+    # the given columns travel in a struct, so that no name of theirs can clash
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__given"), value.alias("__v"), home.alias("__home0"))
+    parts = packed.withColumn("__f", _fields(F.col("__v"))).withColumnRenamed("__home0", "__home")
     f = [F.col("__f")[i] for i in range(9)]
     month = F.coalesce(
         f[1].try_cast("int"),
@@ -178,7 +180,7 @@ def parse_instants(
         .otherwise("ok")
     )
     return parts.withColumn(f"{prefix}_status", status).select(
-        *[F.col(f"`{c}`") for c in df.columns], f"{prefix}_us", f"{prefix}_later_us", f"{prefix}_status"
+        "__given.*", f"{prefix}_us", f"{prefix}_later_us", f"{prefix}_status"
     )
 
 

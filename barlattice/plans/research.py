@@ -65,9 +65,9 @@ STEPS: dict[str, str] = {
     "reading": f"""SELECT b.universe_id, symbol, step, asset_count, ms - ms % step AS t,
         coalesce(open, close) AS open, coalesce(high, close) AS high, coalesce(low, close) AS low, close, coalesce(volume, 0) AS volume,
         coalesce(quote_volume, coalesce(volume, 0) * close) AS quote_volume, coalesce(volume, 0) * 0.5e0 AS taker_buy_volume, quote_volume IS NULL AS substituted,
-        row_number() OVER (PARTITION BY b.universe_id, symbol, ms - ms % step ORDER BY ms DESC, bar_id DESC) AS k
+        row_number() OVER (PARTITION BY b.universe_id, symbol, ms - ms % step ORDER BY ms DESC, bar_id DESC) AS latest
       FROM (SELECT *, {_MS} AS ms FROM bars WHERE close > 0) b JOIN steps u ON b.universe_id = u.universe_id""",
-    "period": "SELECT * FROM reading WHERE k = 1",
+    "period": "SELECT * FROM reading WHERE latest = 1",
     "aligned": "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY universe_id, t) AS together FROM period) WHERE together = asset_count",
     "ret": f"SELECT *, coalesce((close - lag(close) OVER w) / greatest(1e-8, lag(close) OVER w), 0e0) AS ret FROM aligned WINDOW w AS ({_W})",
     "factor": f"""SELECT *, coalesce(tanh(0.6e0 * momentum + 0.4e0 * volume_ratio), 0e0) AS factor FROM (
