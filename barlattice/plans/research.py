@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlattice.operators import align, features, ledger, metrics, nulls, portfolio, signals
@@ -591,12 +591,11 @@ def deflated_sharpe(spark, d):
     from barlattice.functions.stats import deflated_sharpe as dsr
 
     rows = metrics.performance(_portfolio(spark, d), "universe_id").select("universe_id", "n", "sharpe", "skew", "kurtosis")
-    trials = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))  # one row per universe
-    rows = rows.withColumn("trials", trials).filter(F.abs("sharpe") <= 3)
+    trials = float(table(spark, d, "universes", "universe_id").count())
 
     def batches(frames):
         for p in frames:
-            values = [dsr(r.sharpe, int(r.n), r.skew, r.kurtosis, float(r.trials)) for r in p.itertuples()]
+            values = [dsr(r.sharpe, int(r.n), r.skew, r.kurtosis, trials) if abs(r.sharpe) <= 3 else None for r in p.itertuples()]
             yield pd.DataFrame({"universe_id": p["universe_id"], "dsr": values})
 
     return rows.mapInPandas(batches, "universe_id string, dsr double")
