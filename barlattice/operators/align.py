@@ -20,6 +20,11 @@ def normalise_units(bars: DataFrame) -> DataFrame:
     return bars.withColumn("ms", epoch_ms(F.col("timestamp_open")))
 
 
+def closed(bars: DataFrame, now_ms: int) -> DataFrame:
+    """Bars that are over at ``now_ms``; a bar without a closing time is not known to be."""
+    return bars.filter(epoch_ms(F.col("timestamp_close")) <= now_ms)
+
+
 def in_range(bars: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     """Bars whose ``ms`` lies in the range, both ends included."""
     return bars.filter(F.col("ms").between(start_ms, end_ms))

@@ -77,6 +77,27 @@ def phase_randomised(rows: DataFrame, iterations: int = 100, seed: int = 0) -> D
     return rows.select("universe_id", "symbol", "t", "open", "high", "low", "close", "volume").groupBy("universe_id", "symbol").applyInPandas(one, BAR_SCHEMA)
 
 
+def resampled_panel(rows: DataFrame, value: str, length: float = 48.0, seed: int = 0) -> DataFrame:
+    """Rows of a universe at resampled instants, the same for all its assets: ``k`` (new order), ``t`` (drawn), ``value``.
+
+    The indices are drawn per universe from its sorted instants (one row per
+    instant); the assets' rows come by a join on the drawn instant.
+    """
+    instants = rows.groupBy("universe_id").agg(F.array_sort(F.collect_set("t")).alias("ts"))
+
+    def draw(frames):
+        for pdf in frames:
+            out = []
+            for u, ts in zip(pdf["universe_id"], pdf["ts"]):
+                ts = np.asarray(ts)
+                drawn = ts[block_indices(len(ts), length, _seed(seed, u))]
+                out.append(pd.DataFrame({"universe_id": u, "k": np.arange(len(ts)), "t": drawn}))
+            yield pd.concat(out) if out else pd.DataFrame({"universe_id": [], "k": [], "t": []})
+
+    drawn = instants.mapInPandas(draw, "universe_id string, k long, t long")
+    return drawn.join(rows.select("universe_id", "symbol", "t", F.col(value).alias("value")), ["universe_id", "t"])
+
+
 def bootstrap_test(spark: SparkSession, returns: list[float], replicates: int = 1000, length: float = 48.0, seed: int = 42) -> DataFrame:
     """Null test of a mean: centred series, stationary bootstrap, one row with ``observed``, ``p_value`` and the 95 % band.
 

@@ -3,10 +3,10 @@
 import pytest
 from oracle import compare
 
-from barlattice.plans import data_problems, research
+from barlattice.plans import data_problems, reports, research
 
-QUERIES = data_problems.QUERIES | research.QUERIES
-ORACLE = data_problems.ORACLE | research.ORACLE
+QUERIES = data_problems.QUERIES | research.QUERIES | reports.QUERIES
+ORACLE = data_problems.ORACLE | research.ORACLE | reports.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
