@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlattice.operators import anomalies, dedupe, grid, instants, rejects, rolling
+from barlattice.operators import anomalies, dedupe, delivery_store, grid, instants, rejects, rolling
 
 UTC = dt.timezone.utc
 BAR = "bar_id long, universe_id string, symbol string, timestamp_open long, high double, low double, close double, volume double"
@@ -327,3 +327,17 @@ def test_posteriors_equal_the_sum_over_all_paths():
         for i, s in enumerate(path):
             want[i, s] += p
     assert np.allclose(got, want / want.sum(axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("limit", [dedupe.BROADCAST_BYTES, 0])
+def test_store_keeps_one_delivery_over_batches(spark, tmp_path, limit):
+    store = delivery_store.DeliveryStore(spark, str(tmp_path), ("run_id", "trade_id"), "received_at", "delivery_id", 30 * 86_400, 1 << 12)
+    rows = tickets(seed=4, n=900)
+    random.seed(9)
+    random.shuffle(rows)
+    kept = []
+    for part in range(3):
+        batch = spark.createDataFrame(rows[part * 300 : part * 300 + 300], TICKET)
+        kept += [(r.run_id, r.trade_id) for r in store.ingest(batch, limit).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == {r[:2] for r in rows}
+    assert store.ingest(spark.createDataFrame(rows[:50], TICKET), limit).count() == 0
