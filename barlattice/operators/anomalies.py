@@ -206,6 +206,8 @@ _OUT = pa.schema(
     ]
 )
 _OUT_DDL = "universe_id string, symbol string, open_ms long, p_spike double, p_stuck double, flag string"
+_SERIES = ("u", "un", "s", "sn")
+_KEYS = (*_SERIES, "shard")
 _NUMBERS = ("close", "high", "low", "volume")
 
 
@@ -213,16 +215,19 @@ def _doubles(column) -> np.ndarray:
     return column.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
 
 
+def _named(table: pa.Table, name: str, null: str) -> pa.Array:
+    """A key column with its nulls."""
+    return pc.if_else(table[null], pa.scalar(None, pa.string()), table[name]).combine_chunks()
+
+
 def _judge(table: pa.Table) -> pa.RecordBatch:
     table = table.combine_chunks()
     n = table.num_rows
     change = np.zeros(n, bool)
     change[0] = True
-    for name in ("universe_id", "symbol", "shard"):
+    for name in _KEYS:
         c = table[name]
-        a, b = c.slice(1), c.slice(0, n - 1)
-        differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
-        change[1:] |= differs.to_numpy()
+        change[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy()
     group = np.cumsum(change) - 1
     ms = table["ms"].to_numpy().astype(np.int64)
     data = {c: _doubles(table[c]) for c in _NUMBERS}
@@ -259,8 +264,8 @@ def _judge(table: pa.Table) -> pa.RecordBatch:
     spike[back], stuck[back], flags[back] = p[mine, SPIKE], p[mine, STUCK], flag[mine]
     return pa.record_batch(
         [
-            table["universe_id"].combine_chunks() if isinstance(table["universe_id"], pa.ChunkedArray) else table["universe_id"],
-            table["symbol"].combine_chunks(),
+            _named(table, "u", "un"),
+            _named(table, "s", "sn"),
             pa.array(table["ms"].to_numpy(), pa.int64()),
             pa.array(spike),
             pa.array(stuck),
@@ -304,11 +309,13 @@ def judged_bars(bars: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
     whose close never moves has no usual move: its prices cannot spike.
     """
     ms = epoch_ms(F.col("timestamp_open"))
-    keys = ["universe_id", "symbol", "shard"]
+    # keys without nulls (the flags tell null from empty), so that joins keep the partitioning
+    keys = [*_KEYS]
+    named = [F.coalesce("universe_id", F.lit("")).alias("u"), F.col("universe_id").isNull().alias("un"), F.coalesce("symbol", F.lit("")).alias("s"), F.col("symbol").isNull().alias("sn")]
     numbers = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in _NUMBERS]
     base = (
         bars.filter(F.col("timestamp_open").isNotNull())
-        .select("universe_id", "symbol", floor_div(ms, shard_ms).alias("shard"), ms.alias("ms"), *numbers)
+        .select(*named, floor_div(ms, shard_ms).alias("shard"), ms.alias("ms"), *numbers)
         .repartition(*keys)
         .groupBy(*keys, "ms")
         .agg(*[F.max(c).alias(c) for c in _NUMBERS])
@@ -321,15 +328,15 @@ def judged_bars(bars: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
     move = F.abs(F.ln("close") - F.lag(F.ln("close")).over(timed))
     scales = (
         base.filter(F.col("close").isNotNull() & F.coalesce(good, F.col("close") > 0))
-        .select("universe_id", "symbol", move.alias("move"))
+        .select(*_SERIES, move.alias("move"))
         .filter("move > 0")
-        .groupBy("universe_id", "symbol")
+        .groupBy(*_SERIES)
         .agg(F.percentile_approx("move", 0.5, 1000).alias("scale"))
     )
     # a series may have one shard only (then nothing travels): its edges are dropped early
     row = F.struct("ms", *_NUMBERS)
     edge = base.filter((F.col("rn") <= HALO) | (F.col("rn") > F.col("n") - HALO)).select(*keys, "rn", "n", row.alias("row"), "ms")
-    along = Window.partitionBy("universe_id", "symbol").orderBy("ms")
+    along = Window.partitionBy(*_SERIES).orderBy("ms")
     halos = edge.select(
         *keys,
         "rn",
@@ -341,14 +348,11 @@ def judged_bars(bars: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
         F.max(F.when(F.col("rn") == 1, F.col("before"))).alias("before"),
         F.max(F.when(F.col("rn") == F.col("n"), F.col("after"))).alias("after"),
     )
-    same_series = ends["universe_id"].eqNullSafe(scales["universe_id"]) & ends["symbol"].eqNullSafe(scales["symbol"])
-    aux = ends.join(scales, same_series, "left").select(
-        *[ends[k].alias(f"__{k}") for k in keys], "before", "after", "scale"
-    )
-    on = F.lit(True)
+    aux = ends.join(scales, [*_SERIES], "left").select(*[F.col(k).alias(f"__{k}") for k in keys], "before", "after", "scale")
+    on = F.col("rn") == 1
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    joined = base.join(aux, on & (F.col("rn") == 1), "left").select(*keys, "ms", *_NUMBERS, "rn", "scale", "before", "after")
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    joined = base.join(aux, on, "left").select(*keys, "ms", *_NUMBERS, "rn", "scale", "before", "after")
     return joined.sortWithinPartitions(*keys, "ms").mapInArrow(_task, _OUT_DDL)
 
 
