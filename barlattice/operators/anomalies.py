@@ -217,7 +217,9 @@ def _doubles(column) -> np.ndarray:
 
 def _named(table: pa.Table, name: str, null: str) -> pa.Array:
     """A key column with its nulls."""
-    return pc.if_else(table[null], pa.scalar(None, pa.string()), table[name]).combine_chunks()
+    # by way of a dictionary: a new array without offsets into the sliced batches
+    coded = pa.concat_arrays([c.cast(pa.string()) for c in table[name].chunks]).dictionary_encode()
+    return coded.dictionary.take(pa.array(coded.indices.to_numpy(), mask=table[null].to_numpy()))
 
 
 def _judge(table: pa.Table) -> pa.RecordBatch:
