@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlattice.functions.epoch import epoch_us
+from barlattice.session import cut_lineage
 
 # Forms of a time of day, of a zone and of a date.
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
@@ -150,7 +151,7 @@ def parse_instants(
         .when(named.isin(*UNIVERSAL), 0)
         .otherwise(F.when(F.abs(offset_s) <= 64_800, offset_s))
     )
-    local = (F.col("__z") == "") & F.col("__wall").isNotNull() & F.col("__home").isin(*known_zones())
+    local = (F.col("__z") == "") & F.col("__wall").isNotNull() & F.expr("__home IN (" + ", ".join(f"'{z}'" for z in known_zones()) + ")")
     wall_ts = F.timestamp_micros("__wall")
     first = F.when(local, F.unix_micros(F.to_utc_timestamp(wall_ts, F.col("__home"))))
     parts = parts.withColumn("__local", local).withColumn("__first", first)
@@ -197,12 +198,15 @@ def ticket_instants(tickets: DataFrame) -> DataFrame:
     the later instant is taken if it is not after ``received_at``, else the
     earlier.  Rows of unknown time have a null ``utc_us``.
 
-    Only the repeated local times are joined with the runs; the runs' origins are
-    counted with partial aggregation, so one run may hold any share of the rows.
+    The parsed fields are kept in the checkpoint folder.  Only the repeated local
+    times are joined with the runs; the runs' origins are counted with partial
+    aggregation, so one run may hold any share of the rows.
     """
     rows = parse_instants(
         tickets.select("delivery_id", "run_id", "timestamp", "bar_index", "clock_zone", "received_at"), "timestamp", "clock_zone"
     )
+    # parsed once; three branches read the parsed fields (the texts and zones stay behind)
+    rows = cut_lineage(rows.select("delivery_id", "run_id", "bar_index", "received_at", "__t_us", "__t_later_us", "__t_status"))
     clear = rows.filter(F.col("__t_status") != "ambiguous").select("delivery_id", F.col("__t_us").alias("utc_us"), F.col("__t_status").alias("status"))
     twice = rows.filter(F.col("__t_status") == "ambiguous")
     hour = F.call_function("div", F.col("__t_us") - F.pmod("__t_us", F.lit(_HOUR_US)), F.lit(_HOUR_US))
