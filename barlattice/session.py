@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Makes the package importable for Python workers; call it once before using the operators.
+
+    Workers on this machine get its folder in their path; executors elsewhere get
+    the package as a zip file from the driver.
+    """
+    context = spark.sparkContext
+    root = str(Path(__file__).resolve().parents[1])
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        context.environment["PYTHONPATH"] = ":".join([root, *paths])
+        if not context.master.startswith("local"):
+            target = Path(tempfile.mkdtemp(prefix="barlattice-package-")) / "barlattice.zip"
+            with zipfile.ZipFile(target, "w") as z:
+                for f in sorted(Path(root, "barlattice").rglob("*.py")):
+                    z.write(f, f.relative_to(root))
+            context.addPyFile(str(target))
+    return spark

@@ -9,14 +9,14 @@ import pytest
 sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
-from barlattice.session import local_session  # noqa: E402
+from barlattice.session import local_session, prepare  # noqa: E402
 
 DATA = os.environ.get("BARLATTICE_TESTDATA", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests")
+    session = prepare(local_session(4, "tests"))
     yield session
     session.stop()
 
