@@ -11,7 +11,9 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,16 +66,52 @@ def _with_words(documents: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return documents.select(*keep, F.monotonically_increasing_id().alias("__row"), words_of(F.col(text)).alias("words"))
 
 
-def _looked_up(rows: DataFrame, explode, table: DataFrame, values: list[str], broadcast_bytes: int, hot_share: float) -> DataFrame:
-    """``explode(rows)`` with the table's ``values`` of column ``word`` (null words get nulls)."""
+def _fits(table: DataFrame, limit: int) -> tuple[bool, int]:
+    """(whether the table may be broadcast, all words counted), by its exact size."""
     size, total = table.agg(F.sum(F.octet_length("word") + 8 * F.size("ids") + 64), F.sum("n")).first()
-    small = table.select("word", *values)
-    if (size or 0) <= broadcast_bytes:
-        return explode(rows).join(F.broadcast(small), "word", "left")
-    # frequent words (at most 1/share) are broadcast, the others are shuffled; the row numbers
-    # must be the same in both branches, so the words are kept in the checkpoint folder
-    exploded = explode(cut_lineage(rows))
+    return (size or 0) <= limit, total or 0
+
+
+def _shared(table: DataFrame):
+    """The word table as one Arrow buffer for the workers; its size was checked."""
+    arrow = table.select("word", "ids").toArrow().combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, arrow.schema) as writer:
+        writer.write_table(arrow)
+    return table.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def _lookup(shared, counts_only: bool):
+    """Rows (id, words) to (id, ids) or (id, size): words meet the table in one vectorised hash join
+    per batch, and what they find is put together by position."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
+        words, ids = (pa.concat_arrays(table[c].chunks) if table[c].num_chunks else pa.array([], table[c].type) for c in ("word", "ids"))
+        lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        for batch in batches:
+            lists = batch.column(1)
+            place = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+            at = pc.index_in(lists.flatten(), value_set=words)
+            if at.null_count:
+                raise ValueError("a word is missing in the word table")
+            ends = np.concatenate([[0], np.cumsum(lengths[at.to_numpy()])])[place]
+            if counts_only:
+                result, name = pa.array(np.diff(ends)), "size"
+            else:
+                result, name = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids.take(at).flatten()), "ids"
+            yield pa.record_batch([batch.column(0), result], names=[batch.schema.names[0], name])
+
+    return task
+
+
+def _looked_up(exploded: DataFrame, table: DataFrame, values: list[str], total: int, hot_share: float) -> DataFrame:
+    """``exploded`` with the table's ``values`` of column ``word`` (null words get nulls), for a table of any size.
+
+    Frequent words (at most 1/share) are broadcast, the others are shuffled.
+    """
     least = int(total * hot_share) + 1
+    small = table.select("word", *values)
     hot = table.filter(F.col("n") >= least).select("word", *[F.col(v).alias(f"__{v}") for v in values], F.lit(True).alias("__hot"))
     marked = exploded.join(F.broadcast(hot), "word", "left")
     done = F.col("__hot") | F.col("word").isNull()
@@ -95,14 +133,20 @@ def encode_documents(
 
     Null and empty texts have the empty list.  Rows with equal identifiers stay
     apart.  Whole texts are encoded; strings of special tokens are ordinary text.
+
+    A word table of up to ``broadcast_bytes`` goes to the workers and the documents
+    stay where they are.  Beyond that, words and positions are shuffled to the
+    table; the row numbers must then be the same in two branches, so the words are
+    kept in the checkpoint folder.
     """
     rows = _with_words(documents, text, [identifier])
     table = word_table(rows, tokenizer, folder)
-
-    def explode(r: DataFrame) -> DataFrame:
-        return r.repartition("__row").select(identifier, "__row", F.posexplode_outer("words").alias("pos", "word"))
-
-    found = _looked_up(rows, explode, table, ["ids"], broadcast_bytes, hot_share)
+    fits, total = _fits(table, broadcast_bytes)
+    if fits:
+        kind = documents.schema[identifier].dataType.simpleString()
+        return rows.select(identifier, "words").mapInArrow(_lookup(_shared(table), False), f"`{identifier}` {kind}, ids array<int>")
+    exploded = cut_lineage(rows).repartition("__row").select(identifier, "__row", F.posexplode_outer("words").alias("pos", "word"))
+    found = _looked_up(exploded, table, ["ids"], total, hot_share)
     placed = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "ids")))
     return found.groupBy("__row", identifier).agg(F.flatten(F.sort_array(placed).getField("ids")).alias("ids")).select(identifier, "ids")
 
@@ -118,12 +162,13 @@ def token_counts(
 ) -> DataFrame:
     """``identifier`` and ``size`` (tokens) of each row; null and empty texts have 0."""
     rows = _with_words(documents, text, [identifier])
-    table = word_table(rows, tokenizer, folder).withColumn("size", F.size("ids").cast("long"))
-
-    def explode(r: DataFrame) -> DataFrame:
-        return r.select(identifier, "__row", F.explode_outer("words").alias("word"))
-
-    found = _looked_up(rows, explode, table, ["size"], broadcast_bytes, hot_share)
+    table = word_table(rows, tokenizer, folder)
+    fits, total = _fits(table, broadcast_bytes)
+    if fits:
+        kind = documents.schema[identifier].dataType.simpleString()
+        return rows.select(identifier, "words").mapInArrow(_lookup(_shared(table), True), f"`{identifier}` {kind}, size long")
+    exploded = cut_lineage(rows).select(identifier, "__row", F.explode_outer("words").alias("word"))
+    found = _looked_up(exploded, table.withColumn("size", F.size("ids").cast("long")), ["size"], total, hot_share)
     return found.groupBy("__row", identifier).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).select(identifier, "size")
 
 
