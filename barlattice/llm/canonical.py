@@ -117,14 +117,14 @@ def canonical_keys(records: DataFrame, identifier: str, code: str, name: str) ->
     return records.select(F.col(identifier).cast("long").alias("id"), F.col(code), F.col(name)).mapInArrow(_keys, "id long, key binary")
 
 
-def _split_hot(keyed: DataFrame, share: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows of hot keys, the other rows, the hot keys); all keys are counted exactly, with partial counts."""
+def _split_hot(keyed: DataFrame, share: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of hot keys, the other rows); all keys are counted exactly, with partial counts."""
     counts = keyed.groupBy("key").count()
     total = keyed.count()
     hot = counts.filter(F.col("count") >= max(least, int(total * share) + 1)).select("key")
     found = [bytes(r[0]) for r in hot.collect()]  # at most 1 / share keys of 16 bytes
     is_hot = F.col("key").isin(found) if found else F.lit(False)
-    return keyed.filter(is_hot), keyed.filter(~is_hot), hot
+    return keyed.filter(is_hot), keyed.filter(~is_hot)
 
 
 def collapse(
@@ -145,7 +145,7 @@ def collapse(
     a null identifier count as copies and can only represent a group alone.
     """
     keyed = cut_lineage(canonical_keys(records, identifier, code, name))
-    hot, cold, _ = _split_hot(keyed, hot_share, hot_rows)
+    hot, cold = _split_hot(keyed, hot_share, hot_rows)
     salted = hot.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
     hot_groups = salted.groupBy("key").agg(F.min("low").alias("representative"), F.sum("n").alias("copies"))
     cold_groups = cold.groupBy("key").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("copies"))
