@@ -44,7 +44,7 @@ def subset_match(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def numbered(trials: DataFrame, family: str, order: str, tie: str) -> DataFrame:
-    """``family_trial`` (1, 2, ... in order of time within a family) and ``gap``: trials since the same family, in the ledger's order."""
+    """``family_trial``: 1, 2, ... in order of time within a family."""
     w = Window.partitionBy(family).orderBy(order, tie)
     return trials.withColumn("family_trial", F.row_number().over(w))
 

@@ -182,11 +182,6 @@ def spot_simulation(rows: DataFrame, capital: float = 100_000.0, fee_bps: float
     )
 
 
-def leader_weights_sum(rows: DataFrame) -> DataFrame:
-    """Total weight per instant, for checking that a portfolio is fully or not invested."""
-    return rows.groupBy("universe_id", "t").agg(F.sum("weight").alias("invested"))
-
-
 def equity(returns: DataFrame, column: str = "net", key: str = "universe_id", scale: float = 1.0) -> DataFrame:
     """``equity`` (compounded, at least 1e-12), ``nav_dd`` and ``cum_dd`` (cumulative-sum convention) per bar."""
     w = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
