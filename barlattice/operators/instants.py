@@ -95,11 +95,16 @@ def parse_instants(
     zone: str,
     prefix: str = "__t",
     default_zone: str = "UTC",
+    repeated: str = "earlier",
+    skipped: str = "null",
 ) -> DataFrame:
     """Adds the instant that ``text`` denotes, read by the clock of ``zone`` where it names no zone.
 
-    New columns: ``<prefix>_us`` (epoch microseconds, of a repeated local time the
-    earlier), ``<prefix>_later_us`` (the later instant of a repeated local time,
+    Policy: of a repeated local time the ``earlier`` or ``later`` instant is taken, or
+    none (``null``); a skipped one has no instant (``null``) or goes on by the length
+    of the gap (``forward``).
+
+    New columns: ``<prefix>_us`` (epoch microseconds), ``<prefix>_later_us`` (the later instant of a repeated local time,
     else null) and ``<prefix>_status``: ``ok``, ``ambiguous`` (a local time that
     occurs twice), ``nonexistent`` (skipped by the clock; no instant), ``unparsed``
     (no form fits, a field is out of range, or the zone is unknown), ``missing``
@@ -108,6 +113,8 @@ def parse_instants(
     slashes, a date that does not start with the year is month first; with dots,
     day first.  Finer parts than a microsecond are cut off.
     """
+    if repeated not in ("earlier", "later", "null") or skipped not in ("null", "forward"):
+        raise ValueError("repeated is earlier, later or null; skipped is null or forward")
     spark = df.sparkSession
     value = F.regexp_replace(F.col(text).cast("string"), _OUTER, "")
     home = F.coalesce(F.col(zone).cast("string"), F.lit(default_zone))
@@ -169,15 +176,18 @@ def parse_instants(
     parts = parts.withColumn("__exists", exists).withColumn(
         f"{prefix}_later_us", F.when(changing & F.col("__exists"), later)
     )
+    twice = F.col(f"{prefix}_later_us")
+    one = {"earlier": F.col("__first"), "later": F.coalesce(twice, F.col("__first")), "null": F.when(twice.isNull(), F.col("__first"))}[repeated]
+    chosen = F.when(F.col("__exists"), one).otherwise(F.col("__first") if skipped == "forward" else F.lit(None).cast("long"))
     parts = parts.withColumn(
         f"{prefix}_us",
-        F.coalesce(epoch, F.when(F.col("__local"), F.when(F.col("__exists"), F.col("__first"))).otherwise(F.when(F.col("__z") != "", zoned))),
+        F.coalesce(epoch, F.when(F.col("__local"), chosen).otherwise(F.when(F.col("__z") != "", zoned))),
     )
     status = (
         F.when(F.coalesce(F.col("__v"), F.lit("")) == "", "missing")
         .when(F.col("__local") & ~F.col("__exists"), "nonexistent")
-        .when(F.col(f"{prefix}_us").isNull(), "unparsed")
         .when(F.col(f"{prefix}_later_us").isNotNull(), "ambiguous")
+        .when(F.col(f"{prefix}_us").isNull(), "unparsed")
         .otherwise("ok")
     )
     return parts.withColumn(f"{prefix}_status", status).select(

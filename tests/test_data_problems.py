@@ -174,6 +174,20 @@ def test_instants(spark):
     assert instants.parse_instants(df.limit(0), "txt", "z").count() == 0
 
 
+def test_policy_of_local_times(spark):
+    df = spark.createDataFrame([(1, "2021-11-07 01:30:00"), (2, "2021-03-14 02:30:00"), (3, "2021-06-01 00:00:00")], "i int, t string").withColumn("z", F.lit("America/New_York"))
+
+    def got(**policy):
+        return [r["__t_us"] for r in instants.parse_instants(df, "t", "z", **policy).orderBy("i").collect()]
+
+    summer = us(2021, 6, 1, 4)
+    assert got() == [us(2021, 11, 7, 5, 30), None, summer]
+    assert got(repeated="later", skipped="forward") == [us(2021, 11, 7, 6, 30), us(2021, 3, 14, 7, 30), summer]
+    assert got(repeated="null") == [None, None, summer]
+    with pytest.raises(ValueError):
+        got(repeated="both")
+
+
 def test_bar_index_decides_repeated_local_times(spark):
     at = dt.datetime(2021, 11, 8, tzinfo=UTC)
     rows = [
