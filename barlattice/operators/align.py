@@ -64,8 +64,9 @@ def period_bars(bars: DataFrame, universes: DataFrame) -> DataFrame:
         (volume * 0.5).alias("taker_buy_volume"),
         F.col("quote_volume").isNull().alias("substituted"),
     )
+    # by instant: the assets of a period meet here anyway, so aligning them needs no other shuffle
     return (
-        rows.groupBy(*SERIES, "t", "step", "asset_count").agg(F.max_by(reading, F.struct("ms", "bar_id")).alias("r")).select(*SERIES, "t", "step", "asset_count", "r.*")
+        rows.repartition("universe_id", "t").groupBy(*SERIES, "t", "step", "asset_count").agg(F.max_by(reading, F.struct("ms", "bar_id")).alias("r")).select(*SERIES, "t", "step", "asset_count", "r.*")
     )
 
 
