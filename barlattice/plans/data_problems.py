@@ -156,9 +156,48 @@ judged AS (
   FROM n)
 """
 
+# the cases by thresholds, without a model: excursions above 12.5 usual moves, volumes above 19 times the bars around
+_JUDGED = f"""
+WITH once AS (
+  SELECT universe_id, symbol, {_MS} AS ms, max(close) AS close, max(high) AS high, max(low) AS low, max(volume) AS volume FROM bars GROUP BY ALL),
+b AS (SELECT *, coalesce(close <= 0 OR high <= 0 OR low <= 0, false) OR coalesce(high < low, false) OR coalesce(close < low, false) OR coalesce(close > high, false) AS off FROM once),
+scale AS (
+  SELECT universe_id, symbol, median(d) AS scale FROM (
+    SELECT universe_id, symbol, abs(ln(close) - lag(ln(close)) OVER (PARTITION BY universe_id, symbol ORDER BY ms)) AS d FROM b WHERE close > 0 AND NOT off)
+  WHERE d > 0 GROUP BY ALL),
+x AS (
+  SELECT universe_id, symbol, ms, k, ln(v) AS v FROM (
+    SELECT universe_id, symbol, ms, off, unnest(['c', 'h', 'l']) AS k, unnest([close, high, low]) AS v FROM b) WHERE v > 0 AND NOT off),
+n AS (
+  SELECT *, lag(v, 1) OVER w AS p1, lag(v, 2) OVER w AS p2, lag(v, 3) OVER w AS p3, lead(v, 1) OVER w AS n1, lead(v, 2) OVER w AS n2, lead(v, 3) OVER w AS n3
+  FROM x WINDOW w AS (PARTITION BY universe_id, symbol, k ORDER BY ms)),
+e AS (
+  SELECT *, CASE WHEN sign(v - p1) = sign(v - n1) THEN least(abs(v - p1), abs(v - n1)) ELSE 0 END AS one,
+    CASE WHEN sign(v - p1) = sign(v - n2) THEN sign(v - p1) * least(abs(v - p1), abs(v - n2)) ELSE 0 END AS a,
+    CASE WHEN sign(v - p2) = sign(v - n1) THEN sign(v - p2) * least(abs(v - p2), abs(v - n1)) ELSE 0 END AS z,
+    abs(v - list_aggregate(list_filter([p1, p2, p3, n1, n2, n3], lambda q: q IS NOT NULL), 'median')) AS away FROM n),
+s AS (
+  SELECT *, CASE WHEN sign(a) = sign(lead(z) OVER w) THEN least(abs(a), abs(lead(z) OVER w)) ELSE 0 END AS two,
+    CASE WHEN sign(z) = sign(lag(a) OVER w) THEN least(abs(z), abs(lag(a) OVER w)) ELSE 0 END AS too
+  FROM e WINDOW w AS (PARTITION BY universe_id, symbol, k ORDER BY ms)),
+vol AS (
+  SELECT universe_id, symbol, ms, volume / median(volume) OVER w AS r, count(*) OVER w AS n FROM b WHERE volume > 0
+  WINDOW w AS (PARTITION BY universe_id, symbol ORDER BY ms ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING EXCLUDE CURRENT ROW)),
+rep AS (
+  SELECT *, coalesce(volume > 0 AND close = lag(close) OVER w AND high = lag(high) OVER w AND low = lag(low) OVER w, false) AS same
+  FROM b WHERE close IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL WINDOW w AS (PARTITION BY universe_id, symbol ORDER BY ms)),
+isl AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY universe_id, symbol ORDER BY ms) AS i FROM rep),
+run AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY universe_id, symbol, i) AS run FROM isl)
+SELECT universe_id, symbol, ms AS open_ms FROM b WHERE off OR volume < 0
+UNION SELECT universe_id, symbol, ms FROM run WHERE same AND run >= 5
+UNION SELECT universe_id, symbol, ms FROM vol WHERE n >= 3 AND r > 19
+UNION SELECT universe_id, symbol, ms FROM s JOIN scale USING (universe_id, symbol) WHERE least(greatest(coalesce(one, 0), coalesce(two, 0), coalesce(too, 0)), away) / scale > 12.5
+"""
+
 QUERIES = {"p5_found": p5_found, "p5_bars": p5_bars, "p7_found": p7_found, "p7_flags": p7_flags, "p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid}
 
 ORACLE = {
+    "p7_found": _JUDGED,
     "p1_found": _DAILY + "SELECT universe_id, symbol, day FROM rolled WHERE day_no >= 30 AND v7 / 7 > v30 / 30",
     "p1_rolling": _DAILY
     + "SELECT universe_id, symbol, day, floor(v7 * 1e4 + 0.5) / 1e4 AS volume_7d, floor(v30 * 1e4 + 0.5) / 1e4 AS volume_30d,"
