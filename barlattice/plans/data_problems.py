@@ -156,6 +156,44 @@ judged AS (
   FROM n)
 """
 
+# fixed values: zone abbreviations of the zones in the tables, with their offsets in hours
+_ABBREVIATIONS = "('EST', -5), ('EDT', -4), ('CST', -6), ('CDT', -5), ('GMT', 0), ('BST', 1), ('CET', 1), ('CEST', 2), ('IST', 5.5), ('JST', 9), ('AEST', 10), ('AEDT', 11)"
+_ZONE_END = " ?(Z|UTC|[A-Z]{3,4}|[+-][0-9]{2}(:?[0-9]{2})?)$"
+_INSTANTS = f"""
+WITH txt AS (
+  SELECT 'tickets' AS src, delivery_id AS id, run_id, bar_index, trim(timestamp) AS v, coalesce(clock_zone, 'UTC') AS z, epoch_us(received_at) AS seen FROM tickets
+  UNION ALL SELECT 'live_states', state_id, NULL, NULL, trim(last_processed_datetime_str), coalesce(clock_zone, 'UTC'), epoch_us(saved_at) FROM live_states),
+cut AS (
+  SELECT *, regexp_extract(v, '{_ZONE_END}', 1) AS zn, regexp_replace(v, '{_ZONE_END}', '') AS body FROM txt),
+wall AS (
+  SELECT *, try_strptime(body, ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%dT%H:%M:%S.%g',
+      '%Y-%m-%d %H:%M:%S.%g', '%Y%m%dT%H%M%S', '%Y/%m/%d %H:%M:%S', '%m/%d/%Y %I:%M:%S %p', '%d.%m.%Y %H:%M:%S', '%d %b %Y %H:%M:%S', '%a, %d %b %Y %H:%M:%S']) AS w,
+    CASE WHEN regexp_full_match(v, '[0-9]{{9,11}}[.][0-9]+') THEN CAST(CAST(v AS DECIMAL(24, 6)) * 1000000 AS BIGINT)
+      WHEN regexp_full_match(v, '[0-9]{{9,19}}') THEN CASE WHEN length(v) < 12 THEN CAST(v AS BIGINT) * 1000000 WHEN length(v) < 15 THEN CAST(v AS BIGINT) * 1000
+        WHEN length(v) < 18 THEN CAST(v AS BIGINT) ELSE CAST(v AS BIGINT) // 1000 END END AS ep,
+    CASE WHEN zn IN ('Z', 'UTC') THEN 0 WHEN regexp_matches(zn, '^[+-]') THEN
+      (CASE WHEN zn LIKE '-%' THEN -1 ELSE 1 END) * (CAST(zn[2:3] AS INT) * 3600 + coalesce(try_cast(regexp_extract(zn, '([0-9]{{2}})$', 1) AS INT), 0) * CASE WHEN length(zn) > 3 THEN 60 ELSE 0 END) END AS off
+  FROM cut),
+loc AS (
+  SELECT wall.*, CASE WHEN zn = '' AND w IS NOT NULL THEN epoch_us(timezone(z, w)) END AS late, coalesce(off, CAST(a.h * 3600 AS INT)) AS shift
+  FROM wall LEFT JOIN (VALUES {_ABBREVIATIONS}) a(name, h) ON zn = a.name),
+two AS (
+  SELECT *, CASE WHEN timezone(z, timezone('UTC', make_timestamp(late))) = w THEN late END AS l,
+    CASE WHEN timezone(z, timezone('UTC', make_timestamp(late - 3600000000))) = w THEN late - 3600000000 END AS e FROM loc),
+got AS (
+  SELECT *, coalesce(ep, CASE WHEN zn = '' THEN coalesce(e, l) ELSE epoch_us(w) - CAST(shift AS BIGINT) * 1000000 END) AS us, e IS NOT NULL AND l IS NOT NULL AS twice FROM two),
+origin AS (
+  SELECT run_id, mode(us // 3600000000 - bar_index) AS o FROM got WHERE src = 'tickets' AND NOT twice AND us IS NOT NULL GROUP BY run_id)
+SELECT src, id AS row_id, CASE WHEN NOT twice THEN us WHEN src = 'live_states' THEN CASE WHEN l + 3600000000 <= seen THEN l ELSE e END
+    WHEN abs(l // 3600000000 - o - bar_index) < abs(e // 3600000000 - o - bar_index) THEN l ELSE e END AS utc_us
+FROM got LEFT JOIN origin ON got.run_id = origin.run_id
+WHERE us IS NOT NULL AND NOT (src = 'live_states' AND id IN (SELECT state_id FROM live_states WHERE coalesce(last_processed_timestamp_utc, 0) <> 0))
+UNION ALL SELECT 'live_states', state_id, CASE WHEN t < 100000000000 THEN t * 1000000 WHEN t < 100000000000000 THEN t * 1000 WHEN t < 100000000000000000 THEN t ELSE t // 1000 END
+  FROM (SELECT state_id, last_processed_timestamp_utc AS t FROM live_states) WHERE coalesce(t, 0) <> 0
+UNION ALL SELECT 'bars', bar_id, CASE WHEN t < 100000000000 THEN t * 1000000 WHEN t < 100000000000000000 THEN t ELSE t // 1000 END
+  FROM (SELECT bar_id, timestamp_open AS t FROM bars) WHERE t < 100000000000 OR t >= 100000000000000
+"""
+
 # the cases by thresholds, without a model: excursions above 12.5 usual moves, volumes above 19 times the bars around
 _JUDGED = f"""
 WITH once AS (
@@ -197,6 +235,7 @@ UNION SELECT universe_id, symbol, ms FROM s JOIN scale USING (universe_id, symbo
 QUERIES = {"p5_found": p5_found, "p5_bars": p5_bars, "p7_found": p7_found, "p7_flags": p7_flags, "p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid}
 
 ORACLE = {
+    "p3_found": _INSTANTS,
     "p7_found": _JUDGED,
     "p1_found": _DAILY + "SELECT universe_id, symbol, day FROM rolled WHERE day_no >= 30 AND v7 / 7 > v30 / 30",
     "p1_rolling": _DAILY
