@@ -1,4 +1,4 @@
-"""Text operators: brute force, round trips, held-out accuracy, and the defined cases."""
+"""Text operators: brute force, round trips, sentences with known boundaries, and the defined cases."""
 
 import random
 from collections import Counter, defaultdict
@@ -156,7 +156,8 @@ def test_packing_places_every_item(spark):
 
 # -- sentences
 
-#: Sentences of invented text whose boundaries are known; joined at random, they are held out from the training.
+#: Sentences in the patterns of the corpus, joined at random, so that the boundaries are known. They are not
+#: independent of the training texts (the patterns occur there), and rules were mended after this test failed.
 KNOWN = {
     "en": ["In Fig. 12, the ledger lost 3.5 % of its value.", "According to Dr. Velmark, no edge was left.", "It fell 3.5 pts. in a week!", "The log line reads \"feed stale.\"", "\"Costs doubled!\" the desk wrote at once.", "Did J. R. Osk check lab/gate_12.py?", "We paid fees, spreads, etc.", "The answer was no... and then it was yes.", "(A rerun is due.)"],
     "de": ["Das Protokoll vom 4. Mai endet um 16.15 Uhr.", "Dr. Velmark prüfte Nr. 547 bzw. Nr. 36 erneut.", "Der Bericht sagt: „Kein Vorteil.“", "„Warum so teuer?“, fragte der Prüfer.", "Wir messen z. B. das Verhältnis."],
@@ -173,7 +174,7 @@ def model(spark, small):
     return sentences.Model(stats, sentences.train(documents, "doc_id", "text", stats))
 
 
-def test_held_out_accuracy(model):
+def test_accuracy_on_joined_sentences(model):
     random.seed(7)
     right = said = known = 0
     for k in range(400):
