@@ -44,12 +44,13 @@ def period_bars(bars: DataFrame, universes: DataFrame) -> DataFrame:
     ``t`` is the start of the period in ms.  A missing open, high or low is the
     close; a missing volume is 0; a missing quote volume is volume times close and
     a missing taker volume half the volume (``substituted`` tells).  Readings
-    without a positive close are none.
+    without a positive close are none.  ``state``, if the bars have it, is the reading's.
     """
+    more = [c for c in ("state",) if c in bars.columns]
     steps = universes.select("universe_id", period_ms(F.col("frequency")).alias("step"), "asset_count")
     close, volume = F.col("close"), F.coalesce(F.col("volume"), F.lit(0.0))
     rows = (
-        bars.select(*SERIES, epoch_ms(F.col("timestamp_open")).alias("ms"), "bar_id", "open", "high", "low", "close", "volume", "quote_volume")
+        bars.select(*SERIES, epoch_ms(F.col("timestamp_open")).alias("ms"), "bar_id", "open", "high", "low", "close", "volume", "quote_volume", *more)
         .filter((close > 0) & F.col("ms").isNotNull())
         .join(steps, "universe_id")
         .withColumn("t", F.col("ms") - F.pmod("ms", "step"))
@@ -63,6 +64,7 @@ def period_bars(bars: DataFrame, universes: DataFrame) -> DataFrame:
         F.coalesce(F.col("quote_volume"), volume * close).alias("quote_volume"),
         (volume * 0.5).alias("taker_buy_volume"),
         F.col("quote_volume").isNull().alias("substituted"),
+        *more,
     )
     # by instant: the assets of a period meet here anyway, so aligning them needs no other shuffle
     return (

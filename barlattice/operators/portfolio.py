@@ -145,11 +145,17 @@ def spot_simulation(rows: DataFrame, capital: float = 100_000.0, fee_bps: float
 
     def simulate(pdf: pd.DataFrame) -> pd.DataFrame:
         cash, units, price, waiting = capital, {}, {}, {}
+        pdf = pdf.sort_values(["t", "symbol"])
+        universe, times = pdf["universe_id"].iloc[0], pdf["t"].to_numpy()
+        rows = list(zip(*[pdf[c].tolist() for c in ("symbol", "open", "close", "state", "weight")]))
+        starts = [0, *(np.flatnonzero(np.diff(times)) + 1).tolist(), len(times)]
         out = []
-        for t, bar in pdf.sort_values(["t", "symbol"]).groupby("t", sort=True):
-            tradable = {r.symbol: r.open for r in bar.itertuples() if r.state not in ("NO_TRADES", "DATA_GAP", "EXCHANGE_OUTAGE", "DELISTED") and r.open > 0}
-            gone = set(bar.loc[bar["state"] == "DELISTED", "symbol"])
-            for s in gone:
+        for low, high in zip(starts, starts[1:]):
+            bar = rows[low:high]
+            tradable = {s: o for s, o, _, state, _ in bar if state not in ("NO_TRADES", "DATA_GAP", "EXCHANGE_OUTAGE", "DELISTED") and o > 0}
+            gone = {s for s, _, _, state, _ in bar if state == "DELISTED"}
+            price.update({s: c for s, _, c, _, _ in bar if s in gone and c > 0})  # the last known close is this bar's
+            for s in sorted(gone):
                 cash += units.pop(s, 0.0) * price.get(s, 0.0) * (1 - penalty_bps / 10_000)
                 waiting.pop(s, None)
             nav = cash + sum(q * price.get(s, 0.0) for s, q in units.items())
@@ -167,14 +173,14 @@ def spot_simulation(rows: DataFrame, capital: float = 100_000.0, fee_bps: float
                 cash -= change * p + abs(change) * p * cost
                 units[s] = units.get(s, 0.0) + change
                 del waiting[s]
-            price.update({r.symbol: r.close for r in bar.itertuples() if r.close > 0})
-            total = max(1.0, bar["weight"].clip(lower=0).sum())
+            price.update({s: c for s, _, c, _, _ in bar if c > 0})
+            total = max(1.0, sum(w for *_, w in bar if w > 0))
             nav = cash + sum(q * price.get(s, 0.0) for s, q in units.items())
-            for r in bar.itertuples():
-                held = units.get(r.symbol, 0.0) * price.get(r.symbol, 0.0) / nav if nav > 0 else 0.0
-                if r.symbol not in gone and abs(max(0.0, r.weight) / total - held) > 1e-4:
-                    waiting[r.symbol] = (max(0.0, r.weight) / total, waiting.get(r.symbol, (0, 0))[1] if r.symbol in waiting else 0)
-            out.append((pdf["universe_id"].iloc[0], int(t), nav, cash, len(waiting)))
+            for s, _, _, _, w in bar:
+                held = units.get(s, 0.0) * price.get(s, 0.0) / nav if nav > 0 else 0.0
+                if s not in gone and abs(max(0.0, w) / total - held) > 1e-4:
+                    waiting[s] = (max(0.0, w) / total, waiting.get(s, (0, 0))[1])
+            out.append((universe, int(times[low]), nav, cash, len(waiting)))
         return pd.DataFrame(out, columns=["universe_id", "t", "nav", "cash", "deferred"])
 
     return rows.select("universe_id", "symbol", "t", "open", "close", "state", "weight").groupBy("universe_id").applyInPandas(

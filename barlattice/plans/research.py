@@ -19,24 +19,24 @@ BARS = ("bar_id", "universe_id", "symbol", "timestamp_open", "open", "high", "lo
 FEE = 0.0010
 
 
-def _aligned(spark: SparkSession, d: str) -> DataFrame:
-    return align.aligned_bars(table(spark, d, "bars", *BARS), table(spark, d, "universes", "universe_id", "frequency", "asset_count"))
+def _aligned(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return align.aligned_bars(table(spark, d, "bars", *BARS, *more), table(spark, d, "universes", "universe_id", "frequency", "asset_count"))
 
 
 def _period(spark: SparkSession, d: str) -> DataFrame:
     return align.period_bars(table(spark, d, "bars", *BARS), table(spark, d, "universes", "universe_id", "frequency", "asset_count"))
 
 
-def _returns(spark: SparkSession, d: str) -> DataFrame:
-    return features.simple_returns(_aligned(spark, d))
+def _returns(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return features.simple_returns(_aligned(spark, d, *more))
 
 
-def _positions(spark: SparkSession, d: str) -> DataFrame:
-    return signals.hysteresis(features.canonical_factor(_returns(spark, d)))
+def _positions(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return signals.hysteresis(features.canonical_factor(_returns(spark, d, *more)))
 
 
-def _weights(spark: SparkSession, d: str) -> DataFrame:
-    return signals.cap_leverage(signals.target_weights(_positions(spark, d)))
+def _weights(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return signals.cap_leverage(signals.target_weights(_positions(spark, d, *more)))
 
 
 def _portfolio(spark: SparkSession, d: str) -> DataFrame:
@@ -579,8 +579,7 @@ def paper_simulation(spark, d):
 
 @_query()
 def spot_simulation(spark, d):
-    rows = _weights(spark, d).withColumn("state", F.lit("NORMAL"))
-    return portfolio.spot_simulation(rows)
+    return portfolio.spot_simulation(_weights(spark, d, "state"))
 
 
 @_query()
