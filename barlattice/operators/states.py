@@ -46,6 +46,12 @@ def side_by_side(rows: DataFrame, value: str, names: Sequence[str]) -> DataFrame
     return marked.groupBy("universe_id", "t").agg(*[F.max(F.when(F.col("__k") == i + 1, F.col("__v"))).alias(n) for i, n in enumerate(names)])
 
 
+def all_side_by_side(rows: DataFrame, value: str) -> DataFrame:
+    """The values of all assets of a universe in one row per instant: ``symbols`` in order and ``values`` beside them."""
+    per = rows.groupBy("universe_id", "t").agg(F.array_sort(F.collect_list(F.struct("symbol", F.col(value).alias("value")))).alias("__all"))
+    return per.select("universe_id", "t", F.col("__all.symbol").alias("symbols"), F.col("__all.value").alias("values"))
+
+
 def apply_factor(rows: DataFrame, factor: Callable[[pd.DataFrame], pd.Series], limit: float = 1.05) -> DataFrame:
     """``factor`` of each series by a Python function of its frame (in order of ``t``).
 

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from barlattice.plans import research
+from barlattice.plans import reports, research
 
 HOUR = 3_600_000
 BASE = 19_000 * 24 * HOUR
@@ -33,3 +33,9 @@ def test_spot_simulation_uses_recorded_states(spark, tmp_path):
     sold = got[40].cash - got[39].cash
     assert sold == pytest.approx(got[39].nav * 1.02 / 2 * 0.98, rel=0.02)  # a at this bar's close less 200 bps
     assert got[40].nav == pytest.approx(got[39].cash + (got[39].nav - got[39].cash) * 1.02 - sold / 0.98 * 0.02, rel=1e-4)
+
+
+def test_wide_closes_of_all_assets(spark, tmp_path):
+    rows = [("u", s, k, 10.0 * i + k, "NORMAL") for i, s in enumerate("dbcae", 1) for k in range(2)] + [("v", "z", 0, 7.0, "NORMAL")]
+    got = {(r.universe_id, (r.t - BASE) // HOUR): (r.symbols, r.closes) for r in reports.QUERIES["wide_closes_all"](spark, write_bars(spark, str(tmp_path), rows, {"u": list("abcde"), "v": ["z"]})).collect()}
+    assert got == {("u", k): (list("abcde"), [40.0 + k, 20.0 + k, 30.0 + k, 10.0 + k, 50.0 + k]) for k in range(2)} | {("v", 0): (["z"], [7.0])}
