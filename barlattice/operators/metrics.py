@@ -192,3 +192,12 @@ def effective_trials(pairs: DataFrame, trials: int) -> DataFrame:
     bounded = lambda x: F.least(F.lit(k), F.greatest(F.lit(1.0), x))
     return pairs.agg(bounded(k / (1 + (k - 1) * mean)).alias("k_mean"), bounded(k * k / squares).alias("k_rank"))
 
+
+def effective_trials_by(pairs: DataFrame, series: DataFrame, key: str) -> DataFrame:
+    """``effective_trials`` of each key on its own: ``k`` is the number of its ``series``, ``pairs`` are those between them."""
+    sums = pairs.groupBy(key).agg(F.avg("rho").alias("__m"), F.sum(F.col("rho") * F.col("rho")).alias("__q"))
+    k = F.col("k").cast("double")
+    mean = F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.coalesce("__m", F.lit(0.0))))
+    bounded = lambda x: F.least(k, F.greatest(F.lit(1.0), x))
+    rows = series.groupBy(key).agg(F.count(F.lit(1)).alias("k")).join(sums, key, "left")
+    return rows.select(key, "k", bounded(k / (1 + (k - 1) * mean)).alias("k_mean"), bounded(k * k / (k + 2 * F.coalesce("__q", F.lit(0.0)))).alias("k_rank"))

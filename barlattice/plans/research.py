@@ -441,11 +441,11 @@ def _asset_pairs(spark, d) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.universe_id") == F.col("b.universe_id")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.series") < F.col("b.series")))
     x, y = F.col("a.ret"), F.col("b.ret")
-    sums = pairs.groupBy(F.col("a.series").alias("a"), F.col("b.series").alias("b")).agg(
+    sums = pairs.groupBy(F.col("a.universe_id").alias("universe_id"), F.col("a.series").alias("a"), F.col("b.series").alias("b")).agg(
         F.count(F.lit(1)).alias("overlap"), F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("x"), F.stddev_pop(y).alias("y")
     )
     usable = (F.col("x") > 1e-12) & (F.col("y") > 1e-12)
-    return sums.select("a", "b", "overlap", F.when(usable, F.col("c") / F.when(usable, F.col("x") * F.col("y"))).otherwise(0.0).alias("rho"))
+    return sums.select("universe_id", "a", "b", "overlap", F.when(usable, F.col("c") / F.when(usable, F.col("x") * F.col("y"))).otherwise(0.0).alias("rho"))
 
 
 _PAIRS = """(SELECT a.universe_id || '/' || a.symbol AS a, b.universe_id || '/' || b.symbol AS b, count(*) AS overlap,
@@ -467,11 +467,35 @@ def pair_correlations(spark, d):
     )
 )
 def effective_trials(spark, d):
+    """Of all series, with pairs of different universes left out (``k_rank`` takes them as unrelated); see ``effective_trials_by_universe``."""
     pairs = _asset_pairs(spark, d)
     n = _returns(spark, d).select("universe_id", "symbol").distinct().count()
     return _rounded(metrics.effective_trials(pairs, n).withColumn("k", F.lit(n)), [], {"k_mean": 6, "k_rank": 6})
 
 
+@_query(
+    _chain(
+        "ret",
+        _sql_rounded(
+            "universe_id, k",
+            {"k_mean": 6, "k_rank": 6},
+            """(SELECT n.universe_id, k, least(k, greatest(1e0, k / (1 + (k - 1) * least(0.999e0, greatest(0e0, coalesce(m, 0e0)))))) AS k_mean,
+              least(k, greatest(1e0, k * k / (k + 2 * coalesce(q, 0e0)))) AS k_rank
+            FROM (SELECT universe_id, count(DISTINCT symbol) AS k FROM ret GROUP BY universe_id) n LEFT JOIN (
+              SELECT universe_id, avg(rho) AS m, sum(rho * rho) AS q FROM (
+                SELECT a.universe_id, CASE WHEN stddev_pop(a.ret) > 1e-12 AND stddev_pop(b.ret) > 1e-12 THEN covar_pop(a.ret, b.ret) / (stddev_pop(a.ret) * stddev_pop(b.ret)) ELSE 0e0 END AS rho
+                FROM ret a JOIN ret b ON a.universe_id = b.universe_id AND a.t = b.t AND a.symbol < b.symbol GROUP BY a.universe_id, a.symbol, b.symbol)
+              GROUP BY universe_id) p ON n.universe_id = p.universe_id)""",
+        ),
+    )
+)
+def effective_trials_by_universe(spark, d):
+    """Of each universe by itself: all pairs of its series are measured."""
+    series = _returns(spark, d).select("universe_id", "symbol").distinct()
+    rows = metrics.effective_trials_by(_asset_pairs(spark, d), series, "universe_id")
+    return _rounded(rows, ["universe_id", "k"], {"k_mean": 6, "k_rank": 6})
+
+
 @_query(
     """SELECT delivery_id, CASE WHEN reject IS NULL THEN q ELSE 0e0 END AS filled_qty, reject FROM (
       SELECT *, CASE WHEN NOT coalesce(fill_price > 0, false) THEN 'price' WHEN abs(q) < min_qty - 1e-12 THEN 'min_qty' WHEN abs(q * fill_price) < min_notional - 1e-12 THEN 'min_notional' END AS reject FROM (

@@ -39,3 +39,10 @@ def test_wide_closes_of_all_assets(spark, tmp_path):
     rows = [("u", s, k, 10.0 * i + k, "NORMAL") for i, s in enumerate("dbcae", 1) for k in range(2)] + [("v", "z", 0, 7.0, "NORMAL")]
     got = {(r.universe_id, (r.t - BASE) // HOUR): (r.symbols, r.closes) for r in reports.QUERIES["wide_closes_all"](spark, write_bars(spark, str(tmp_path), rows, {"u": list("abcde"), "v": ["z"]})).collect()}
     assert got == {("u", k): (list("abcde"), [40.0 + k, 20.0 + k, 30.0 + k, 10.0 + k, 50.0 + k]) for k in range(2)} | {("v", 0): (["z"], [7.0])}
+
+
+def test_effective_trials_of_each_universe(spark, tmp_path):
+    wave = [100 + 10 * ((k * 7) % 5) for k in range(30)]
+    rows = [(u, s, k, float(c), "NORMAL") for u in ("u", "v") for s in "ab" for k, c in enumerate(wave)] + [("w", "a", k, float(c), "NORMAL") for k, c in enumerate(wave)]
+    got = research.QUERIES["effective_trials_by_universe"](spark, write_bars(spark, str(tmp_path), rows, {"u": ["a", "b"], "v": ["a", "b"], "w": ["a"]})).collect()
+    assert {r.universe_id: (r.k, r.k_rank) for r in got} == {"u": (2, 1.0), "v": (2, 1.0), "w": (1, 1.0)}  # equal series are one trial
