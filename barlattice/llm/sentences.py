@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlattice.session import cut_lineage
+
 #: Documents and labelled places that the model is fitted on, at most.
 SAMPLE_DOCUMENTS = 4_000
 SAMPLE_PLACES = 40_000
@@ -190,11 +192,17 @@ class Stats:
     after a question or exclamation mark, inside, after a stop).
     """
 
-    def __init__(self, rows: dict[str, tuple[int, int, int, int, int]]):
-        self.rows = rows
-        self.base = self._share(sum(r[1] for r in rows.values()), sum(r[0] for r in rows.values()))
-        starts = sum(r[2] for r in rows.values())
-        self.start = self._share(starts, starts + sum(r[4] for r in rows.values()))
+    def __init__(self, rows: dict[str, tuple[int, int, int, int, int]], sums: tuple[int, ...] | None = None, rest: DataFrame | None = None):
+        """``rows``: all types, or the most frequent beside the ``sums`` over all and ``rest``, the table of all."""
+        self.rows, self.rest = rows, rest
+        self.rare: dict[str, tuple[int, int, int, int, int]] = {}  # those of the present text that ``rows`` lacks
+        self.sums = tuple(sums) if sums else tuple(sum(r[i] for r in rows.values()) for i in range(5))
+        stops, final, starts, _, after = self.sums
+        self.base = self._share(final, stops)
+        self.start = self._share(starts, starts + after)
+
+    def _of(self, kind: str) -> tuple[int, int, int, int, int]:
+        return self.rows.get(kind) or self.rare.get(kind, (0, 0, 0, 0, 0))
 
     @staticmethod
     def _share(k: int, n: int) -> float:
@@ -208,16 +216,16 @@ class Stats:
 
     def final(self, kind: str) -> str:
         """How far the type's stops are found at the end of blocks, against chance."""
-        n, k, *_ = self.rows.get(kind, (0, 0, 0, 0, 0))
+        n, k, *_ = self._of(kind)
         return str(self._ratio(k, n, self.base))
 
     def starter(self, word: str) -> int:
         """How far a word that comes after stops is one that begins sentences."""
-        _, _, k, _, m = self.rows.get(word, (0, 0, 0, 0, 0))
+        _, _, k, _, m = self._of(word)
         return self._ratio(k, k + m, self.start)
 
     def begins(self, word: str) -> str:
-        _, _, k, n, _ = self.rows.get(word, (0, 0, 0, 0, 0))
+        _, _, k, n, _ = self._of(word)
         if k + n < 2:
             return "rare"
         share = (k + 0.1) / (k + n + 0.2)
@@ -395,16 +403,72 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def corpus_stats(documents: DataFrame, text: str, max_types: int = MAX_TYPES) -> Stats:
-    """Statistics of token types over all texts; of more than ``max_types`` types the most frequent are kept."""
+    """Statistics of all token types over all texts; of more than ``max_types`` types the rarer stay in a table."""
     counted = (
         documents.select(F.col(text))
         .mapInArrow(_count_task, "kind string, " + ", ".join(f"{c} long" for c in _COUNTED))
         .groupBy("kind")
         .agg(*[F.sum(c).alias(c) for c in _COUNTED])
-        .filter("stops > 0 OR starts > 0 OR after > 0 OR inside > 2")
+        .filter("stops > 0 OR starts > 0 OR after > 0 OR inside > 1")  # the others say as much as none
     )
-    rows = counted.orderBy(F.desc(F.col("stops") + F.col("starts") + F.col("after")), F.desc("inside"), "kind").limit(max_types).collect()
-    return Stats({r[0]: tuple(r[1:]) for r in rows})
+    order = (F.desc(F.col("stops") + F.col("starts") + F.col("after")), F.desc("inside"), "kind")
+    rows = counted.orderBy(*order).limit(max_types + 1).collect()
+    if len(rows) <= max_types:
+        return Stats({r[0]: tuple(r[1:]) for r in rows})
+    counted = cut_lineage(counted)
+    return Stats({r[0]: tuple(r[1:]) for r in rows[:max_types]}, tuple(counted.agg(*[F.sum(c) for c in _COUNTED]).first()), counted)
+
+
+_RARE = "array<struct<" + ", ".join(["kind: string", *[f"{c}: bigint" for c in _COUNTED]]) + ">>"
+
+
+def _with_rare(rows: DataFrame, text: str, kinds: Callable[[str], set[str]], stats: Stats) -> DataFrame:
+    """``rows`` and, in ``__rare``, the statistics of those of the ``kinds`` of a text that are not in ``stats.rows``.
+
+    Only rare types are joined, so none of them is hot.
+    """
+    if stats.rest is None:
+        return rows.withColumn("__rare", F.lit(None).cast(_RARE))
+    shared = rows.sparkSession.sparkContext.broadcast(frozenset(stats.rows))
+    held = cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(r, k) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for k in kinds(t) - shared.value]
+            yield pa.record_batch([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], names=["__row", "kind"])
+
+    wanted = held.select("__row", text).mapInArrow(task, "__row long, kind string")
+    found = wanted.join(stats.rest, "kind").groupBy("__row").agg(F.collect_list(F.struct("kind", *_COUNTED)).alias("__rare"))
+    return held.join(found, "__row", "left").drop("__row")
+
+
+def _rare(found: list[dict] | None) -> dict[str, tuple[int, int, int, int, int]]:
+    return {r["kind"]: tuple(r[c] for c in _COUNTED) for r in found or ()}
+
+
+def _asked(text: str) -> set[str]:
+    """The types that the model asks for where rules do not decide."""
+    small, out = _small(text), set()
+    for low, high, whole in blocks(text):
+        for m in () if whole else _MARK.finditer(text, low, high):
+            c = Candidate(text, m, high)
+            if rule(text, c, high, small) is None:
+                kind, _, _, _, word, _ = place(text, c.dot, c.at, low, high, low)
+                out |= {kind, word}
+    return out
+
+
+def _asked_in_training(text: str) -> set[str]:
+    out: set[str] = set()
+
+    class Asked(Stats):
+        def _of(self, kind: str) -> tuple[int, int, int, int, int]:
+            out.add(kind)
+            return (0, 0, 0, 0, 0)
+
+    for _ in _labelled(text, Asked({})):
+        pass
+    return out
 
 
 def _labelled(text: str, stats: Stats) -> Iterator[tuple[list[str], bool, float]]:
@@ -467,41 +531,51 @@ def fit(places: list[tuple[list[int], float, float]], rounds: int = 150, decay:
 
 def train(documents: DataFrame, identifier: str, text: str, stats: Stats, sample_documents: int = SAMPLE_DOCUMENTS, sample_places: int = SAMPLE_PLACES) -> np.ndarray:
     """Weights fitted on the reliable places of at most ``sample_documents`` documents (by the hash of their id)."""
-    shared = documents.sparkSession.sparkContext.broadcast(stats.rows)
+    shared = documents.sparkSession.sparkContext.broadcast((stats.rows, stats.sums))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Stats(shared.value)
+        known = Stats(*shared.value)
         for batch in batches:
-            got = [(_indices(f), float(y), w) for t in batch.column(0).to_pylist() if t for f, y, w in _labelled(t, known)]
+            got = []
+            for t, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if t:
+                    known.rare = _rare(found)
+                    got += [(_indices(f), float(y), w) for f, y, w in _labelled(t, known)]
             yield pa.record_batch(
                 [pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())],
                 names=["at", "label", "weight"],
             )
 
-    sample = documents.select(F.col(identifier), F.col(text)).orderBy(F.xxhash64(identifier), identifier).limit(sample_documents).select(text)
+    order = (F.xxhash64(identifier), identifier)
+    sample = documents.select(F.col(identifier), F.col(text)).orderBy(*order).limit(sample_documents)
+    sample = _with_rare(sample, text, _asked_in_training, stats)
+    if stats.rest is not None:
+        sample = sample.orderBy(*order).limit(sample_documents)  # the join lost the order
+    sample = sample.select(text, "__rare")
     rows = sample.mapInArrow(task, "at array<int>, label double, weight double").limit(sample_places).collect()
     return fit([(list(r[0]), r[1], r[2]) for r in rows])
 
 
-def sentence_units(documents: DataFrame, identifier: str, text: str) -> DataFrame:
+def sentence_units(documents: DataFrame, identifier: str, text: str, max_types: int = MAX_TYPES) -> DataFrame:
     """``identifier``, ``start_char``, ``end_char`` of each sentence: code points, end excluded.
 
     Null, empty and blank texts have none; a text of a word or a few signs is one
-    unit; rows with equal identifiers are split each.  Statistics cover all texts,
-    the model is fitted on a bounded sample, and every text is split as a whole.
+    unit; rows with equal identifiers are split each.  Statistics cover all texts
+    and all their token types (beyond ``max_types`` by a join), the model is fitted on a bounded sample, and every text is split as a whole.
     An empty table gives an empty result.
     """
-    stats = corpus_stats(documents, text)
+    stats = corpus_stats(documents, text, max_types)
     weights = train(documents, identifier, text, stats)
-    shared = documents.sparkSession.sparkContext.broadcast((stats.rows, weights))  # bounded by MAX_TYPES and WEIGHTS
+    shared = documents.sparkSession.sparkContext.broadcast((stats.rows, stats.sums, weights))  # bounded by MAX_TYPES and WEIGHTS
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, w = shared.value
-        model = Model(Stats(rows), w)
+        rows, sums, w = shared.value
+        model = Model(Stats(rows, sums), w)
         for batch in batches:
             ids = batch.column(0)
             at, starts, ends = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            for i, (t, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                model.stats.rare = _rare(found)
                 for a, b in sentences(t, model) if t else ():
                     at.append(i)
                     starts.append(a)
@@ -512,4 +586,5 @@ def sentence_units(documents: DataFrame, identifier: str, text: str) -> DataFram
             )
 
     kind = documents.schema[identifier].dataType.simpleString()
-    return documents.select(F.col(identifier), F.col(text)).mapInArrow(task, f"`{identifier}` {kind}, start_char long, end_char long")
+    ready = _with_rare(documents.select(F.col(identifier), F.col(text)), text, _asked, stats)
+    return ready.select(identifier, text, "__rare").mapInArrow(task, f"`{identifier}` {kind}, start_char long, end_char long")
