@@ -7,8 +7,8 @@ whether it breaks a bound.  Forward-backward posteriors assign spikes; bounds
 and the length of a stuck run are checked exactly.
 
 Series are cut into time shards, so one source may hold any share of the rows.
-The first and last bars of each shard travel to the neighbouring shards as a
-halo.  All shards of a partition are computed together in numpy.
+The bars nearest to a shard on both sides travel to it as a halo, enough of each
+kind that is looked at, whatever lies between.  All shards of a partition are computed together in numpy.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from barlattice.functions.epoch import epoch_ms, floor_div
 
-#: Length of a time shard and bars of its neighbours that a shard sees.
+#: Length of a time shard and bars on each side of it that a shard sees.
 SHARD_MS = 8192 * 3_600_000
 HALO = 16
 #: Traded bars on each side that tell the usual volume; least of them that can.
 AROUND, AROUND_LEAST = 12, 3
+#: Bars of each kind in a halo, from as far away as they are: any, usable close, high and low, all three prices, traded.
+HALO_LEAST = (HALO, HALO, HALO, HALO, HALO, AROUND)
 #: Repeats in a row that make a stuck run.
 STUCK_RUN = 5
 #: Chunk and margin of the forward-backward passes.
@@ -300,6 +302,67 @@ def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _judge(pa.Table.from_batches(held))
 
 
+_HALO = pa.struct([("ms", pa.int64()), *[(c, pa.float64()) for c in _NUMBERS]])
+_HALO_ROWS = "array<struct<ms:bigint," + ",".join(f"{c}:double" for c in _NUMBERS) + ">>"
+_HALO_DDL = f"u string, un boolean, s string, sn boolean, shard long, before {_HALO_ROWS}, after {_HALO_ROWS}"
+
+
+def _series_halos(table: pa.Table) -> pa.RecordBatch:
+    """The halo of each shard of whole series, given the edges of their shards in order of time."""
+    table = table.combine_chunks()
+    n = table.num_rows
+
+    def changes(names: tuple[str, ...]) -> np.ndarray:
+        new = np.zeros(n, bool)
+        new[0] = True
+        for name in names:
+            c = table[name]
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy()
+        return np.flatnonzero(new)
+
+    series, shards = np.append(changes(_SERIES), n), np.append(changes(_KEYS), n)
+    first = np.searchsorted(series, shards[:-1], side="right") - 1
+    at = [np.flatnonzero(table[f"k{i}"].to_numpy()) for i in range(len(HALO_LEAST))]
+    found: dict[str, list[np.ndarray]] = {"before": [], "after": []}
+    for low, high, begin, end in zip(shards[:-1], shards[1:], series[first], series[first + 1]):
+        for side, a, b in (("before", begin, low), ("after", high, end)):
+            parts = []
+            for p, least in zip(at, HALO_LEAST) if a < b else ():
+                i, j = np.searchsorted(p, (a, b))
+                parts.append(p[max(i, j - least) : j] if side == "before" else p[i : min(j, i + least)])
+            found[side].append(np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64))
+    rows = pa.StructArray.from_arrays([table[f.name].combine_chunks().cast(f.type) for f in _HALO], fields=list(_HALO))
+    lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found[side])]), pa.int32()), rows.take(pa.array(np.concatenate(found[side]), pa.int64()))) for side in found]
+    own = [table[k].combine_chunks().take(pa.array(shards[:-1], pa.int64())) for k in _KEYS]
+    return pa.record_batch([*own, *lists], names=[*_KEYS, "before", "after"])
+
+
+def _halos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Halos of whole series, a block of rows at a time; the rows come sorted by series and time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < BLOCK_ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        # the last series may go on in the next batch: keep it
+        new = np.zeros(rows, bool)
+        for name in _SERIES:
+            c = table[name].combine_chunks()
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if cut:
+            yield _series_halos(table.slice(0, cut))
+            table = table.slice(cut)
+        held, rows = table.to_batches(), table.num_rows
+    if rows:
+        yield _series_halos(pa.Table.from_batches(held))
+
+
 def judged_bars(bars: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
     """One row per bar (universe, symbol, instant): ``open_ms``, ``p_spike``, ``p_stuck``, ``flag``.
 
@@ -324,7 +387,7 @@ def judged_bars(bars: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
     )
     within = Window.partitionBy(*keys)
     timed = within.orderBy("ms")
-    base = base.withColumn("rn", F.row_number().over(timed)).withColumn("n", F.count(F.lit(1)).over(within))
+    base = base.withColumn("rn", F.row_number().over(timed))
 
     good = (F.col("close") > 0) & ~(F.col("close") > F.col("high")) & ~(F.col("close") < F.col("low"))
     move = F.abs(F.ln("close") - F.lag(F.ln("close")).over(timed))
@@ -335,21 +398,16 @@ def judged_bars(bars: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
         .groupBy(*_SERIES)
         .agg(F.percentile_approx("move", 0.5, 1000).alias("scale"))
     )
-    # a series may have one shard only (then nothing travels): its edges are dropped early
-    row = F.struct("ms", *_NUMBERS)
-    edge = base.filter((F.col("rn") <= HALO) | (F.col("rn") > F.col("n") - HALO)).select(*keys, "rn", "n", row.alias("row"), "ms")
-    along = Window.partitionBy(*_SERIES).orderBy("ms")
-    halos = edge.select(
-        *keys,
-        "rn",
-        "n",
-        F.collect_list("row").over(along.rowsBetween(-HALO, -1)).alias("before"),
-        F.collect_list("row").over(along.rowsBetween(1, HALO)).alias("after"),
-    )
-    ends = halos.filter((F.col("rn") == 1) | (F.col("rn") == F.col("n"))).groupBy(*keys).agg(
-        F.max(F.when(F.col("rn") == 1, F.col("before"))).alias("before"),
-        F.max(F.when(F.col("rn") == F.col("n"), F.col("after"))).alias("after"),
-    )
+    finite = {c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in _NUMBERS}
+    broken = F.coalesce((F.least("close", "high", "low") <= 0) | (F.col("high") < F.col("low")) | (F.col("close") < F.col("low")) | (F.col("close") > F.col("high")), F.lit(False))
+    kinds = [F.lit(True), *[finite[c] & (F.col(c) > 0) & ~broken for c in _NUMBERS[:3]], finite["close"] & finite["high"] & finite["low"], finite["volume"] & (F.col("volume") > 0)]
+    edge = base.select(*keys, "ms", *_NUMBERS, *[k.alias(f"k{i}") for i, k in enumerate(kinds)])
+    inside = F.lit(False)
+    for i, least in enumerate(HALO_LEAST):
+        before = F.count_if(f"k{i}").over(timed.rowsBetween(Window.unboundedPreceding, 0))
+        inside = inside | (F.col(f"k{i}") & ((before <= least) | (F.count_if(f"k{i}").over(within) - before < least)))
+    edge = edge.withColumn("edge", inside).filter("edge").drop("edge")
+    ends = edge.repartition(*_SERIES).sortWithinPartitions(*_SERIES, "ms").mapInArrow(_halos, _HALO_DDL)
     aux = ends.join(scales, [*_SERIES], "left").select(*[F.col(k).alias(f"__{k}") for k in keys], "before", "after", "scale")
     on = F.col("rn") == 1
     for k in keys:

@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 
+from barlattice.operators import anomalies
 from barlattice.plans import reports, research
 
 HOUR = 3_600_000
@@ -46,3 +48,23 @@ def test_effective_trials_of_each_universe(spark, tmp_path):
     rows = [(u, s, k, float(c), "NORMAL") for u in ("u", "v") for s in "ab" for k, c in enumerate(wave)] + [("w", "a", k, float(c), "NORMAL") for k, c in enumerate(wave)]
     got = research.QUERIES["effective_trials_by_universe"](spark, write_bars(spark, str(tmp_path), rows, {"u": ["a", "b"], "v": ["a", "b"], "w": ["a"]})).collect()
     assert {r.universe_id: (r.k, r.k_rank) for r in got} == {"u": (2, 1.0), "v": (2, 1.0), "w": (1, 1.0)}  # equal series are one trial
+
+
+def test_flags_beside_an_outage_at_a_shard_end(spark):
+    shard = 256
+    start = -(-BASE // (shard * HOUR)) * shard * HOUR
+    rng = np.random.default_rng(5)
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 4 * shard)))
+    volume = rng.uniform(4, 6, 4 * shard)
+    dark = lambda k: 2 * shard - 40 <= k < 2 * shard or 3 * shard <= k < 3 * shard + 300
+    idle = lambda k: shard - 30 <= k < shard
+    close[2 * shard] *= 3  # the first priced bar after the outage
+    close[3 * shard - 1] *= 3  # the last one before the other
+    volume[shard] *= 30  # the first traded bar after idle ones
+    volume[shard + 1 : shard + 13] *= 30 ** (np.arange(12) % 2)
+    rows = [("u", "a", start + k * HOUR, *([None] * 4 if dark(k) else [float(c), float(c * 1.001), float(c * 0.999), 0.0 if idle(k) else float(v)])) for k, (c, v) in enumerate(zip(close, volume)) if k < 3 * shard + 320 and k < 4 * shard]
+    rows += [("u", "a", start + k * HOUR, 100.0 + k % 3, 110.0, 90.0, 5.0) for k in range(4 * shard + 60, 4 * shard + 90)]
+    df = spark.createDataFrame(rows, "universe_id string, symbol string, timestamp_open long, close double, high double, low double, volume double")
+    got = [{(r.open_ms - start) // HOUR: r.flag for r in anomalies.judged_bars(df, n * HOUR).filter("flag IS NOT NULL").collect()} for n in (shard, 64, 1 << 20)]
+    assert got[2][2 * shard] == got[2][3 * shard - 1] == "spike"
+    assert got[0] == got[2] and got[1] == got[2]
