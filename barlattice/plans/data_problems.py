@@ -111,7 +111,7 @@ filled AS (
   FROM days d LEFT JOIN daily x ON d.universe_id = x.universe_id AND d.symbol = x.symbol AND d.dn = x.dn),
 rolled AS (
   SELECT universe_id, symbol, strftime(DATE '1970-01-01' + CAST(dn AS INT), '%Y-%m-%d') AS day, day_no,
-         CAST(sum(v) OVER s AS DOUBLE) AS v7, CAST(sum(v) OVER l AS DOUBLE) AS v30,
+         sum(v) OVER s AS x7, sum(v) OVER l AS x30, CAST(sum(v) OVER s AS DOUBLE) AS v7, CAST(sum(v) OVER l AS DOUBLE) AS v30,
          CAST(sum(cs) OVER s AS DOUBLE) / nullif(sum(cc) OVER s, 0) AS c7, CAST(sum(cs) OVER l AS DOUBLE) / nullif(sum(cc) OVER l, 0) AS c30
   FROM filled
   WINDOW s AS (PARTITION BY universe_id, symbol ORDER BY dn ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
@@ -237,7 +237,7 @@ QUERIES = {"p5_found": p5_found, "p5_bars": p5_bars, "p7_found": p7_found, "p7_f
 ORACLE = {
     "p3_found": _INSTANTS,
     "p7_found": _JUDGED,
-    "p1_found": _DAILY + "SELECT universe_id, symbol, day FROM rolled WHERE day_no >= 30 AND v7 / 7 > v30 / 30",
+    "p1_found": _DAILY + "SELECT universe_id, symbol, day FROM rolled WHERE day_no >= 30 AND CAST(x7 AS DECIMAL(30, 9)) * 30 > CAST(x30 AS DECIMAL(30, 9)) * 7",
     "p1_rolling": _DAILY
     + "SELECT universe_id, symbol, day, floor(v7 * 1e4 + 0.5) / 1e4 AS volume_7d, floor(v30 * 1e4 + 0.5) / 1e4 AS volume_30d,"
     + " floor(c7 * 1e6 + 0.5) / 1e6 AS close_avg_7d, floor(c30 * 1e6 + 0.5) / 1e6 AS close_avg_30d FROM rolled",
