@@ -47,29 +47,79 @@ def known_zones() -> tuple[str, ...]:
     return tuple(sorted(z for z in zoneinfo.available_timezones() if z not in ("localtime", "Factory", "posixrules")))
 
 
-@lru_cache(maxsize=1)
-def abbreviations() -> tuple[tuple[str, str, int], ...]:
-    """(zone, abbreviation, offset in s) of every zone: what its clocks were called in 2010 to 2036.
+#: Years that zone abbreviations are looked up in; before and after, the nearest use holds.
+FIRST_YEAR, LAST_YEAR = 1970, 2037
+_ALWAYS = (-(1 << 62), 1 << 62)
+
+
+def _uses(name: str) -> list[tuple[str, int, int, int]]:
+    """(abbreviation, offset, from, until) in s of the clock of a zone, in order of time; numeric names left out."""
+    zone, utc = zoneinfo.ZoneInfo(name), dt.timezone.utc
+
+    def at(s: int) -> tuple[str, int]:
+        t = dt.datetime.fromtimestamp(s, utc).astimezone(zone)
+        return (t.tzname() or "").upper(), int(t.utcoffset().total_seconds())
+
+    months = [int(dt.datetime(y, m, 1, tzinfo=utc).timestamp()) for y in range(FIRST_YEAR, LAST_YEAR + 1) for m in range(1, 13)]
+    since, now = months[0], at(months[0])
+    uses = []
+    for a, b in zip(months, months[1:]):
+        new = at(b)
+        if new != now:
+            while b - a > 1:
+                middle = (a + b) // 2
+                a, b = (middle, b) if at(middle) == now else (a, middle)
+            uses.append((*now, since, b))
+            since, now = b, new
+    uses.append((*now, since, months[-1]))
+    return [u for u in uses if u[0][:1].isalpha()]
+
 
-    Bounded by the time zone database: a few thousand rows, whatever the data.
+@lru_cache(maxsize=1)
+def abbreviations() -> tuple[tuple[str, str, int, int, int, int | None], ...]:
+    """(zone, abbreviation, from, until, offset, later offset): what the clocks of every zone are called.
+
+    ``from`` and ``until`` are wall clock times in s: an abbreviation that stood for
+    several offsets has each in its own years (between two uses, the nearer one).
+    Within a repeated wall time both of whose offsets had the same name there is a
+    later offset too.  Bounded by the time zone database: a few thousand rows,
+    whatever the data.
     """
-    rows = set()
+    rows = []
     for name in known_zones():
-        zone = zoneinfo.ZoneInfo(name)
-        for year in range(2010, 2037, 2):
-            for month in (1, 4, 7, 10):
-                at = dt.datetime(year, month, 1, 12, tzinfo=zone)
-                label = at.tzname() or ""
-                if label[:1].isalpha():
-                    rows.add((name, label.upper(), int(at.utcoffset().total_seconds())))
-    seen: dict[tuple[str, str], set[int]] = {}
-    for name, label, offset in rows:
-        seen.setdefault((name, label), set()).add(offset)
-    return tuple(sorted((n, a, min(o)) for (n, a), o in seen.items() if len(o) == 1))
+        named: dict[str, list[tuple[int, int, int]]] = {}
+        for label, offset, start, end in _uses(name):
+            runs = named.setdefault(label, [])
+            if runs and runs[-1][0] == offset:
+                runs[-1] = (offset, runs[-1][1], end)
+            else:
+                runs.append((offset, start, end))
+        for label, runs in named.items():
+            low = _ALWAYS[0]
+            for (offset, _, end), (following, start, _) in zip(runs, runs[1:]):
+                ends, starts = end + offset, start + following
+                if starts < ends:  # the clock was put back and kept its name
+                    rows += [(name, label, low, starts, offset, None), (name, label, starts, ends, offset, following)]
+                    low = ends
+                else:
+                    rows.append((name, label, low, (ends + starts) // 2, offset, None))
+                    low = (ends + starts) // 2
+            rows.append((name, label, low, _ALWAYS[1], runs[-1][0], None))
+    return tuple(rows)
 
 
 def abbreviation_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(abbreviations()), "__a_zone string, __a_name string, __a_offset int")
+    return spark.createDataFrame(list(abbreviations()), "__a_zone string, __a_name string, __a_from long, __a_until long, __a_offset int, __a_later int")
+
+
+def with_source_zone(df: DataFrame, source: str, zones: DataFrame, zone: str) -> DataFrame:
+    """``df`` with null values of ``zone`` filled from the lookup ``zones`` (``source``, ``zone``).
+
+    Of several zones of one source the first in order of name holds; a source that is not listed stays null.
+    """
+    lookup = zones.filter(F.col("source").isNotNull()).groupBy(F.col("source").alias("__source")).agg(F.min("zone").alias("__default"))
+    joined = df.join(lookup, F.col(source) == F.col("__source"), "left")
+    return joined.withColumn(zone, F.coalesce(F.col(zone).cast("string"), "__default")).drop("__source", "__default")
 
 
 def _fields(text: Column) -> Column:
@@ -108,8 +158,9 @@ def parse_instants(
     else null) and ``<prefix>_status``: ``ok``, ``ambiguous`` (a local time that
     occurs twice), ``nonexistent`` (skipped by the clock; no instant), ``unparsed``
     (no form fits, a field is out of range, or the zone is unknown), ``missing``
-    (null or blank).  A null ``zone`` is ``default_zone``.  A named zone
-    abbreviation is one of the row's zone; digits alone are an epoch; with
+    (null or blank).  A null ``zone`` is ``default_zone`` (``with_source_zone`` fills
+    it from a lookup by source).  A named zone abbreviation is one of the row's
+    zone, with the offset it had at that date; digits alone are an epoch; with
     slashes, a date that does not start with the year is month first; with dots,
     day first.  Finer parts than a microsecond are cut off.
     """
@@ -152,7 +203,9 @@ def parse_instants(
         .withColumn("__abbr", F.when(F.col("__z").rlike("^[A-Za-z]+$") & ~named.isin(*UNIVERSAL), named))
     )
     names = F.broadcast(abbreviation_table(spark))  # bounded by the time zone database
-    parts = parts.join(names, (F.col("__abbr") == F.col("__a_name")) & (F.col("__home") == F.col("__a_zone")), "left")
+    wall_s = F.call_function("div", F.col("__wall") - F.pmod("__wall", F.lit(1_000_000)), F.lit(1_000_000))
+    on = (F.col("__abbr") == F.col("__a_name")) & (F.col("__home") == F.col("__a_zone")) & (wall_s >= F.col("__a_from")) & (wall_s < F.col("__a_until"))
+    parts = parts.join(names, on, "left")
     shift_s = (
         F.when(F.col("__abbr").isNotNull(), F.col("__a_offset"))
         .when(named.isin(*UNIVERSAL), 0)
@@ -172,16 +225,20 @@ def parse_instants(
         later = F.when(shows(F.col("__first") + step), F.col("__first") + step).otherwise(later)
     exists = F.when(changing, shows(F.col("__first"))).otherwise(F.lit(True))
     zoned = F.col("__wall") - shift_s.cast("long") * 1_000_000
+    zoned_later = F.when(F.col("__abbr").isNotNull(), F.col("__wall") - F.col("__a_later").cast("long") * 1_000_000)
     epoch = F.when(F.col("__v").rlike(EPOCH), _epoch_text_us(F.col("__v")))
     parts = parts.withColumn("__exists", exists).withColumn(
-        f"{prefix}_later_us", F.when(changing & F.col("__exists"), later)
+        f"{prefix}_later_us", F.coalesce(F.when(changing & F.col("__exists"), later), zoned_later)
     )
     twice = F.col(f"{prefix}_later_us")
-    one = {"earlier": F.col("__first"), "later": F.coalesce(twice, F.col("__first")), "null": F.when(twice.isNull(), F.col("__first"))}[repeated]
-    chosen = F.when(F.col("__exists"), one).otherwise(F.col("__first") if skipped == "forward" else F.lit(None).cast("long"))
+
+    def one(first: Column) -> Column:
+        return {"earlier": first, "later": F.coalesce(twice, first), "null": F.when(twice.isNull(), first)}[repeated]
+
+    chosen = F.when(F.col("__exists"), one(F.col("__first"))).otherwise(F.col("__first") if skipped == "forward" else F.lit(None).cast("long"))
     parts = parts.withColumn(
         f"{prefix}_us",
-        F.coalesce(epoch, F.when(F.col("__local"), chosen).otherwise(F.when(F.col("__z") != "", zoned))),
+        F.coalesce(epoch, F.when(F.col("__local"), chosen).otherwise(F.when(F.col("__z") != "", one(zoned)))),
     )
     status = (
         F.when(F.coalesce(F.col("__v"), F.lit("")) == "", "missing")
