@@ -1,14 +1,19 @@
 """Implausible bars (problem 7): a hidden Markov model per source and hard bounds.
 
-States are normal, spike, stuck and out of range.  A bar is observed as its
-two-sided excursion (in units of the usual move of its own series), its volume
-against the traded bars around it, whether it repeats the preceding bar, and
-whether it breaks a bound.  Forward-backward posteriors assign spikes; bounds
-and the length of a stuck run are checked exactly.
+A bar is observed as its two-sided excursion (in units of the usual move of its own
+series), its volume against the traded bars around it, whether it repeats the
+preceding bar, and whether it breaks a bound.  The states are normal (calm or
+busy), spike (first and second bar), stuck and out of range: a busy spell may last,
+a spike cannot outlast two bars.  Emissions and transitions start from the same
+values for all sources and are fitted to each source by expectation and
+maximisation; the forward-backward posteriors of the fitted model decide.  A
+broken bound and the length of a stuck run are checked exactly beside them.
 
 Series are cut into time shards, so one source may hold any share of the rows.
 The bars nearest to a shard on both sides travel to it as a halo, enough of each
-kind that is looked at, whatever lies between.  All shards of a partition are computed together in numpy.
+kind that is looked at, whatever lies between.  A shard's observations are one row,
+kept in the checkpoint folder; its expected counts are added up over the shards of
+its source.  All shards of a batch are computed together in numpy.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.functions.epoch import epoch_ms, floor_div
+from barlattice.session import cut_lineage
 
 #: Length of a time shard and bars on each side of it that a shard sees.
 SHARD_MS = 8192 * 3_600_000
@@ -36,24 +42,29 @@ STUCK_RUN = 5
 CHUNK, MARGIN = 256, 32
 #: Rows taken together.
 BLOCK_ROWS = 1 << 17
+#: Fitting steps, and the weight of the starting values beside a source's own bars: a share of them, and some bars more.
+EM_STEPS, PRIOR_SHARE, PRIOR_BARS = 2, 0.5, 200.0
 
-NORMAL, SPIKE, STUCK, RANGE = range(4)
-#: Rows: from normal, spike, stuck, out of range.
+CALM, BUSY, SPIKE, SECOND, STUCK, RANGE = range(6)
+STATES = 6
+#: Transitions to start from: from calm, busy, spike, its second bar, stuck, out of range.
 TRANSITIONS = np.array(
     [
-        [0.9975, 0.0010, 0.0010, 0.0005],
-        [0.6000, 0.3000, 0.0500, 0.0500],
-        [0.1000, 0.0010, 0.8980, 0.0010],
-        [0.9000, 0.0300, 0.0500, 0.0200],
+        [0.9890, 0.0060, 0.0020, 0.0, 0.0020, 0.0010],
+        [0.1000, 0.8910, 0.0030, 0.0, 0.0030, 0.0030],
+        [0.6300, 0.0500, 0.0, 0.2700, 0.0200, 0.0300],
+        [0.8895, 0.0500, 0.0005, 0.0, 0.0300, 0.0300],
+        [0.1000, 0.0030, 0.0010, 0.0, 0.8950, 0.0010],
+        [0.8700, 0.0300, 0.0300, 0.0, 0.0500, 0.0200],
     ]
 )
-#: Chance of repeating the preceding bar in each state.
-REPEAT = np.array([0.005, 0.02, 0.99, 0.005])
-#: Normal bars: density exp(-x) of the excursion and exp(-VOLUME_DECAY x) of the log volume
-#: ratio; spikes: log-uniform excursion from PRICE_LEAST moves over six decades, or a flat log
-#: volume ratio from VOLUME_LEAST on (so that a busy spell of moderate bars is no chain of spikes).
-VOLUME_DECAY, VOLUME_SPIKE, LOG_SPAN = 3.3, 0.1, np.log(1e6)
-PRICE_LEAST, VOLUME_LEAST = 8.0, np.log(12.0)
+#: Chance of repeating the preceding bar, to start from; the chances of spikes and broken bars are not fitted.
+REPEAT = np.array([0.005, 0.005, 0.02, 0.02, 0.99, 0.005])
+#: Spread of excursions and of log volume ratios above 0 in calm and in busy bars (half-normal), to start from.
+SPREAD = {CALM: (0.7, 0.5), BUSY: (2.5, 1.1)}
+#: A spike is about this many usual moves, or times the usual volume, or more: below it its
+#: likelihood falls by this power of the ratio, above it as a Pareto tail.
+PRICE_TIMES, VOLUME_TIMES, SHARPNESS = 15.0, 20.0, 20.0
 IMPOSSIBLE = -60.0
 
 
@@ -136,35 +147,77 @@ def observe(group, close, high, low, volume, scale):
     return score, ratio, repeat, broken, run
 
 
-def emissions(score, ratio, repeat, broken) -> np.ndarray:
-    """Log likelihood of each row in each state."""
-    up = np.maximum(ratio, 0.0)
-    normal = -score - VOLUME_DECAY * up
-    price_gain = np.where(score > PRICE_LEAST, score - np.log(np.maximum(score, 1.0) * LOG_SPAN), IMPOSSIBLE)
-    volume_gain = np.where(up > VOLUME_LEAST, VOLUME_DECAY * up + np.log(VOLUME_SPIKE), IMPOSSIBLE)
-    out = np.stack([normal, normal + np.logaddexp(price_gain, volume_gain), normal, np.full(len(score), IMPOSSIBLE)], axis=1)
-    out += np.where(repeat[:, None], np.log(REPEAT), np.log(1 - REPEAT))
-    out[broken] = IMPOSSIBLE
-    out[broken, RANGE] = 0.0
-    return out
-
-
-def posteriors(group: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """Forward-backward posteriors; sequences are rows of equal ``group``.
-
+class Parameters:
+    """Transitions and emissions of each of some sources."""
+
+    #: Sums that a source is fitted from: transitions; weight, squared excursion and volume of calm and busy bars; repeats of these; weight and repeats of stuck bars; bars.
+    SUMS = STATES * STATES + 6 + 1 + 2 + 1
+
+    def __init__(self, sums: np.ndarray):
+        """``sums``: one row of sums for each source; zeros give the values to start from."""
+        n = len(sums)
+        weight = PRIOR_SHARE * sums[:, -1] + PRIOR_BARS
+        usual = np.linalg.matrix_power(TRANSITIONS, 64)[0]
+        moves = sums[:, : STATES * STATES].reshape(n, STATES, STATES) + (weight[:, None] * usual)[:, :, None] * TRANSITIONS
+        self.transitions = moves / moves.sum(axis=2, keepdims=True)
+        at = STATES * STATES
+        self.spread = np.empty((n, 2, 2))
+        for state in (CALM, BUSY):
+            bars = weight * usual[state]
+            for k in range(2):
+                self.spread[:, state, k] = np.sqrt((bars * SPREAD[state][k] ** 2 + sums[:, at + 3 * state + 1 + k]) / (bars + sums[:, at + 3 * state]))
+        self.spread[:, BUSY] = np.maximum(self.spread[:, BUSY], self.spread[:, CALM])  # busy bars are not calmer
+        normal, stuck = weight * (usual[CALM] + usual[BUSY]), weight * usual[STUCK]
+        self.repeat = np.tile(REPEAT, (n, 1))
+        common = (normal * REPEAT[CALM] + sums[:, at + 6]) / (normal + sums[:, at] + sums[:, at + 3])
+        self.repeat[:, CALM] = self.repeat[:, BUSY] = common
+        self.repeat[:, STUCK] = (stuck * REPEAT[STUCK] + sums[:, at + 8]) / (stuck + sums[:, at + 7])
+
+    def emissions(self, group, score, ratio, repeat, broken) -> np.ndarray:
+        """Log likelihood of each row in each state; ``group`` is the number of its source."""
+        up = np.maximum(ratio, 0.0)
+        spread = self.spread[group]
+        with np.errstate(divide="ignore"):
+            x, y = np.log(score / PRICE_TIMES), up - np.log(VOLUME_TIMES)
+        price = -np.log(PRICE_TIMES) + np.where(x < 0, np.maximum(SHARPNESS * x, 2 * IMPOSSIBLE), -2.0 * x)
+        volume = np.log(0.5) + np.where(y < 0, SHARPNESS * y, -0.5 * y)
+
+        def half_normal(v: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+            return 0.5 * np.log(2 / np.pi) - np.log(sigma) - 0.5 * (v / sigma) ** 2
+
+        moved = {s: half_normal(score, spread[:, s, 0]) for s in (CALM, BUSY)}
+        traded = {s: half_normal(up, spread[:, s, 1]) for s in (CALM, BUSY)}
+        out = np.empty((len(score), STATES))
+        out[:, CALM] = out[:, STUCK] = moved[CALM] + traded[CALM]
+        out[:, BUSY] = moved[BUSY] + traded[BUSY]
+        # in price, in volume or in both
+        out[:, SPIKE] = np.logaddexp(np.logaddexp(price + traded[BUSY], volume + moved[BUSY]), price + volume) - np.log(3.0)
+        out[:, SECOND] = out[:, SPIKE]
+        chance = self.repeat[group]
+        out += np.where(repeat[:, None], np.log(chance), np.log(1 - chance))
+        out[:, RANGE] = IMPOSSIBLE
+        out[broken] = IMPOSSIBLE
+        out[broken, RANGE] = 0.0
+        return out
+
+
+def posteriors(group: np.ndarray, logs: np.ndarray, transitions: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(posteriors of the rows, expected transitions of each group into its rows marked in ``count``).
+
+    Sequences are rows of equal ``group`` (0, 1, ...; in order), each with its own ``transitions``.
     Long sequences are cut into chunks with a margin of neighbours on both sides;
     chunks of like length are computed together.
     """
     n = len(group)
-    result = np.zeros((n, 4))
+    result, moves = np.zeros((n, STATES)), np.zeros((len(transitions), STATES, STATES))
     if not n:
-        return result
+        return result, moves
+    count = np.ones(n, bool) if count is None else count
     starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
     ends = np.concatenate([starts[1:], [n]])
     pieces = [(max(s, c - MARGIN), c, min(c + CHUNK, e), min(e, c + CHUNK + MARGIN)) for s, e in zip(starts, ends) for c in range(s, e, CHUNK)]
     pieces.sort(key=lambda p: p[3] - p[0])
-    prior = np.linalg.matrix_power(TRANSITIONS, 64)[0]
-    shifted = np.exp(logs - logs.max(axis=1, keepdims=True))
+    shifted = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -300.0))
     i = 0
     while i < len(pieces):
         longest = pieces[i][3] - pieces[i][0]
@@ -176,25 +229,33 @@ def posteriors(group: np.ndarray, logs: np.ndarray) -> np.ndarray:
         t = int(length.max())
         at = part[:, :1] + np.minimum(np.arange(t), length[:, None] - 1)
         inside = np.arange(t) < length[:, None]
+        core = inside & (at >= part[:, 1:2]) & (at < part[:, 2:3])
+        into = core & count[at]
         e = np.where(inside[:, :, None], shifted[at], 1.0)
-        forward = np.empty((j - i, t, 4))
-        now = prior * e[:, 0]
+        of = group[part[:, 0]]
+        move = transitions[of]
+        forward = np.empty((j - i, t, STATES))
+        now = np.linalg.matrix_power(move, 64)[:, 0] * e[:, 0]
         forward[:, 0] = now = now / now.sum(axis=1, keepdims=True)
         for k in range(1, t):
-            now = (now @ TRANSITIONS) * e[:, k]
+            now = (now[:, None, :] @ move)[:, 0] * e[:, k]
             now /= now.sum(axis=1, keepdims=True)
             forward[:, k] = now
-        back = np.ones((j - i, 4))
+        back, seen = np.ones((j - i, STATES)), np.zeros((j - i, STATES, STATES))
         for k in range(t - 1, -1, -1):
+            if k:
+                ahead = back * e[:, k]
+                pair = forward[:, k - 1, :, None] * move * ahead[:, None, :]
+                seen += pair * (into[:, k] / pair.sum(axis=(1, 2)))[:, None, None]
             forward[:, k] *= back
             if k:
-                back = (back * e[:, k]) @ TRANSITIONS.T
+                back = (move @ ahead[:, :, None])[:, :, 0]
                 back /= back.sum(axis=1, keepdims=True)
-        core = inside & (at >= part[:, 1:2]) & (at < part[:, 2:3])
         got = forward[core]
         result[at[core]] = got / got.sum(axis=1, keepdims=True)
+        np.add.at(moves, of, seen)
         i = j
-    return result
+    return result, moves
 
 
 _OUT = pa.schema(
@@ -217,14 +278,19 @@ def _doubles(column) -> np.ndarray:
     return column.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
 
 
-def _named(table: pa.Table, name: str, null: str) -> pa.Array:
+def _named(block: pa.RecordBatch, name: str, null: str) -> pa.Array:
     """A key column with its nulls."""
     # by way of a dictionary: a new array without offsets into the sliced batches
-    coded = pa.concat_arrays([c.cast(pa.string()) for c in table[name].chunks]).dictionary_encode()
-    return coded.dictionary.take(pa.array(coded.indices.to_numpy(), mask=table[null].to_numpy()))
+    coded = pa.concat_arrays([block.column(name).cast(pa.string())]).dictionary_encode()
+    return coded.dictionary.take(pa.array(coded.indices.to_numpy(), mask=block.column(null).to_numpy(zero_copy_only=False)))
 
 
-def _judge(table: pa.Table) -> pa.RecordBatch:
+_OBSERVED_DDL = "u string, un boolean, s string, sn boolean, shard long, first int, ms binary, score binary, ratio binary, bits binary"
+_REPEAT_BIT, _BROKEN_BIT, _RUN_BIT = 1, 2, 4
+
+
+def _observe(table: pa.Table) -> pa.RecordBatch:
+    """One row for each shard: the observations of its halo and its bars in order of time; ``first`` is the place of its first bar."""
     table = table.combine_chunks()
     n = table.num_rows
     change = np.zeros(n, bool)
@@ -236,7 +302,7 @@ def _judge(table: pa.Table) -> pa.RecordBatch:
     ms = table["ms"].to_numpy().astype(np.int64)
     data = {c: _doubles(table[c]) for c in _NUMBERS}
     scale = _doubles(table["scale"])[np.flatnonzero(change)]  # on the first row of its shard
-    own = np.arange(n)
+    own = np.ones(n, bool)
 
     halo_group, halo = [], []
     for side in ("before", "after"):
@@ -251,36 +317,27 @@ def _judge(table: pa.Table) -> pa.RecordBatch:
         ms = np.concatenate([ms, extra[:, 0].astype(np.int64)])
         for k, c in enumerate(_NUMBERS):
             data[c] = np.concatenate([data[c], extra[:, k + 1]])
-        own = np.concatenate([own, np.full(len(halo), -1)])
+        own = np.concatenate([own, np.zeros(len(halo), bool)])
     order = np.lexsort((ms, group))
-    group, own = group[order], own[order]
+    group, own, ms = group[order], own[order], ms[order]
     data = {c: x[order] for c, x in data.items()}
 
     score, ratio, repeat, broken, run = observe(group, *[data[c] for c in _NUMBERS], scale[group])
-    p = posteriors(group, emissions(score, ratio, repeat, broken))
-    flag = np.full(len(group), None, dtype=object)
-    flag[p[:, SPIKE] > 0.5] = "spike"
-    flag[run] = "stuck"
-    flag[broken] = "range"
-    mine = own >= 0
-    back = own[mine]
-    spike, stuck, flags = np.empty(n), np.empty(n), np.empty(n, dtype=object)
-    spike[back], stuck[back], flags[back] = p[mine, SPIKE], p[mine, STUCK], flag[mine]
-    return pa.record_batch(
-        [
-            _named(table, "u", "un"),
-            _named(table, "s", "sn"),
-            pa.array(table["ms"].to_numpy(), pa.int64()),
-            pa.array(spike),
-            pa.array(stuck),
-            pa.array(flags.tolist(), pa.string()),
-        ],
-        schema=_OUT,
-    )
-
-
-def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Judges whole shards, a block of rows at a time; the rows come sorted by shard."""
+    bits = (repeat * _REPEAT_BIT + broken * _BROKEN_BIT + run * _RUN_BIT).astype(np.uint8)
+    score, ratio = score.astype(np.float32), ratio.astype(np.float32)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+    columns: dict[str, list] = {"first": [], "ms": [], "score": [], "ratio": [], "bits": []}
+    for a, b in zip(starts, starts[1:]):
+        columns["first"].append(int(np.argmax(own[a:b])))
+        columns["ms"].append(ms[a:b][own[a:b]].tobytes())
+        for name, values in (("score", score), ("ratio", ratio), ("bits", bits)):
+            columns[name].append(values[a:b].tobytes())
+    keys = [pa.concat_arrays(table[k].chunks).take(pa.array(np.flatnonzero(change))) for k in _KEYS]
+    return pa.record_batch([*keys, pa.array(columns["first"], pa.int32()), *[pa.array(columns[c], pa.binary()) for c in ("ms", "score", "ratio", "bits")]], names=[*_KEYS, *columns])
+
+
+def _observe_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Observes whole shards, a block of rows at a time; the rows come sorted by shard."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -295,11 +352,87 @@ def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(table["rn"].to_numpy() == 1)
         cut = int(starts[-1]) if len(starts) else 0
         if cut:
-            yield _judge(table.slice(0, cut))
+            yield _observe(table.slice(0, cut))
             table = table.slice(cut)
         held, rows = table.to_batches(), table.num_rows
     if rows:
-        yield _judge(pa.Table.from_batches(held))
+        yield _observe(pa.Table.from_batches(held))
+
+
+class _Shards:
+    """The observations of some shards, with the parameters of their sources."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        def joined(name: str, kind: type) -> np.ndarray:
+            return np.frombuffer(b"".join(x.as_py() for x in batch.column(name)), kind)
+
+        self.ms, bits = joined("ms", np.int64), joined("bits", np.uint8)
+        self.score, self.ratio = joined("score", np.float32).astype(float), joined("ratio", np.float32).astype(float)
+        self.repeat, self.broken, self.run = (bits & b > 0 for b in (_REPEAT_BIT, _BROKEN_BIT, _RUN_BIT))
+        length = pc.binary_length(batch.column("bits")).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.bars = pc.binary_length(batch.column("ms")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        self.group = np.repeat(np.arange(len(length)), length)
+        place = np.arange(len(self.group)) - np.repeat(np.cumsum(length) - length, length)
+        first = np.repeat(batch.column("first").to_numpy(), length)
+        self.own = (place >= first) & (place < first + np.repeat(self.bars, length))
+        sums = batch.column("sums")
+        if sums.null_count:
+            self.sums = np.zeros((len(length), Parameters.SUMS))
+        else:
+            self.sums = sums.flatten().to_numpy().reshape(len(length), Parameters.SUMS)
+
+    def posteriors(self) -> tuple[np.ndarray, np.ndarray]:
+        p = Parameters(self.sums)
+        logs = p.emissions(self.group, self.score, self.ratio, self.repeat, self.broken)
+        return posteriors(self.group, logs, p.transitions, self.own)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BLOCK_ROWS bars."""
+    for batch in batches:
+        length = pc.binary_length(batch.column("bits")).to_numpy(zero_copy_only=False)
+        block = np.cumsum(length) // BLOCK_ROWS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
+_SUMS = [f"s{i}" for i in range(Parameters.SUMS)]
+_SUMS_DDL = "u string, un boolean, s string, sn boolean, shard long, " + ", ".join(f"{c} double" for c in _SUMS)
+
+
+def _expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The expected counts of each shard, of its own bars."""
+    for block in _blocks(batches):
+        shards = _Shards(block)
+        p, moves = shards.posteriors()
+        p = p * shards.own[:, None]
+        n = block.num_rows
+
+        def total(weight: np.ndarray) -> np.ndarray:
+            return np.bincount(shards.group, weights=weight, minlength=n)
+
+        up = np.maximum(shards.ratio, 0.0)
+        of = [x for s in (CALM, BUSY) for x in (total(p[:, s]), total(p[:, s] * shards.score**2), total(p[:, s] * up**2))]
+        of += [total((p[:, CALM] + p[:, BUSY]) * shards.repeat), total(p[:, STUCK]), total(p[:, STUCK] * shards.repeat), total(shards.own)]
+        sums = np.concatenate([moves.reshape(n, -1), np.stack(of, axis=1)], axis=1)
+        yield pa.record_batch([*[block.column(k) for k in _KEYS], *[pa.array(c) for c in sums.T]], names=[*_KEYS, *_SUMS])
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The posteriors and flags of each bar, by the fitted parameters of its source."""
+    for block in _blocks(batches):
+        shards = _Shards(block)
+        p = shards.posteriors()[0][shards.own]
+        spike = p[:, SPIKE] + p[:, SECOND]
+        flag = np.full(len(p), None, dtype=object)
+        flag[spike > 0.5] = "spike"
+        flag[(p[:, STUCK] > 0.5) & shards.run[shards.own]] = "stuck"  # an exact check: the length of the run
+        flag[p[:, RANGE] > 0.5] = "range"
+        at = pa.array(np.repeat(np.arange(block.num_rows), shards.bars))
+        names = [_named(block, name, null).take(at) for name, null in (("u", "un"), ("s", "sn"))]
+        yield pa.record_batch([*names, pa.array(shards.ms), pa.array(spike), pa.array(p[:, STUCK]), pa.array(flag.tolist(), pa.string())], schema=_OUT)
 
 
 _HALO = pa.struct([("ms", pa.int64()), *[(c, pa.float64()) for c in _NUMBERS]])
@@ -363,7 +496,7 @@ def _halos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _series_halos(pa.Table.from_batches(held))
 
 
-def judged_bars(bars: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
+def judged_bars(bars: DataFrame, shard_ms: int = SHARD_MS, steps: int = EM_STEPS) -> DataFrame:
     """One row per bar (universe, symbol, instant): ``open_ms``, ``p_spike``, ``p_stuck``, ``flag``.
 
     ``flag`` is ``range`` for an impossible reading, ``stuck`` for a repeat in a
@@ -372,6 +505,9 @@ def judged_bars(bars: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
     NaN counts as null; null readings are not judged; bars without an instant do
     not come out; null universes and symbols form series of their own.  A series
     whose close never moves has no usual move: its prices cannot spike.
+
+    The bars are shuffled once, by shard.  Each of the ``steps`` of the fit reads the
+    kept observations and adds one small row for each shard up over its source.
     """
     ms = epoch_ms(F.col("timestamp_open"))
     # keys without nulls (the flags tell null from empty), so that joins keep the partitioning
@@ -413,7 +549,14 @@ def judged_bars(bars: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
     joined = base.join(aux, on, "left").select(*keys, "ms", *_NUMBERS, "rn", "scale", "before", "after")
-    return joined.sortWithinPartitions(*keys, "ms").mapInArrow(_task, _OUT_DDL)
+    observed = cut_lineage(joined.sortWithinPartitions(*keys, "ms").mapInArrow(_observe_task, _OBSERVED_DDL))
+    given = observed.withColumn("sums", F.lit(None).cast("array<double>"))
+    for _ in range(steps):
+        source = Window.partitionBy(*_SERIES)
+        counted = given.mapInArrow(_expect, _SUMS_DDL)
+        sums = counted.select(*keys, F.array(*[F.sum(c).over(source) for c in _SUMS]).alias("sums"))
+        given = observed.join(sums, [*keys])
+    return given.mapInArrow(_decide, _OUT_DDL)
 
 
 def implausible_bars(bars: DataFrame) -> DataFrame:

@@ -331,15 +331,20 @@ def test_bars_with_nulls_are_judged_by_what_they_have(spark):
 
 
 def test_posteriors_equal_the_sum_over_all_paths():
-    rng = np.random.default_rng(1)
-    logs = rng.normal(0, 2, (5, 4))
-    got = anomalies.posteriors(np.zeros(5, int), logs)
-    prior = np.linalg.matrix_power(anomalies.TRANSITIONS, 64)[0]
-    want = np.zeros((5, 4))
-    for path in np.ndindex(*[4] * 5):
-        p = prior[path[0]] * np.prod([anomalies.TRANSITIONS[a, b] for a, b in zip(path, path[1:])]) * np.exp(sum(logs[i, s] for i, s in enumerate(path)))
+    rng, k = np.random.default_rng(1), anomalies.STATES
+    logs = rng.normal(0, 2, (4, k))
+    moves = anomalies.TRANSITIONS
+    got, counted = anomalies.posteriors(np.zeros(4, int), logs, moves[None])
+    prior = np.linalg.matrix_power(moves, 64)[0]
+    want, pairs, total = np.zeros((4, k)), np.zeros((k, k)), 0.0
+    for path in np.ndindex(*[k] * 4):
+        p = prior[path[0]] * np.prod([moves[a, b] for a, b in zip(path, path[1:])]) * np.exp(sum(logs[i, s] for i, s in enumerate(path)))
+        total += p
         for i, s in enumerate(path):
             want[i, s] += p
+        for a, b in zip(path, path[1:]):
+            pairs[a, b] += p
+    assert np.allclose(counted[0], pairs / total)
     assert np.allclose(got, want / want.sum(axis=1, keepdims=True))
 
 

@@ -57,8 +57,9 @@ def test_filters_never_miss_a_repeat(ids, buckets):
 def test_posteriors_are_probabilities_in_any_chunking(n, seed):
     rng = np.random.default_rng(seed)
     group = np.sort(rng.integers(0, 4, n))
-    p = anomalies.posteriors(group, rng.normal(0, 3, (n, 4)))
+    p, moves = anomalies.posteriors(group, rng.normal(0, 3, (n, anomalies.STATES)), np.stack([anomalies.TRANSITIONS] * 4))
     assert np.allclose(p.sum(axis=1), 1) and (p >= 0).all()
+    assert np.isclose(moves.sum(), n - len(np.unique(group)))
 
 
 @given(st.text(alphabet='a1,". \t', max_size=40))
