@@ -9,27 +9,60 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.session import cut_lineage
 
-#: A form is hot from this share of all rows on (so there are at most 1/share of them) ...
-HOT_SHARE = 1 / 500
-#: ... but never below this many rows.
-HOT_ROWS = 10_000
+#: A form is hot from this share of all rows on (so there are at most 1/share of them), if it has that many rows.
+HOT_SHARE = 1 / 5000
+HOT_ROWS = 16
 #: Parts that the rows of a hot form are spread over.
 SALTS = 64
 
-_DROPPED = regex.compile(r"(?<![0-9])\.|\.(?![0-9])|[=`]|(?!\.)[\s\p{P}\p{C}\p{Z}]")
+# ASCII punctuation that computes in code, so that it is content there.
+OPERATORS = "*/%&@#-=!"
+
+
+def _is_mark(c: str) -> bool:
+    return unicodedata.category(c)[0] == "P"
+
+
+class _Loose(dict):
+    """Characters to themselves; to None what does not count: white space, punctuation, controls, ``=`` and backtick."""
+
+    def __missing__(self, point: int) -> int | None:
+        c = chr(point)
+        self[point] = kept = point if c == "." or not (c.isspace() or c in "=`" or unicodedata.category(c)[0] in "PCZ") else None
+        return kept
+
+
+class _Exact(_Loose):
+    """The same, but operators count; dashes of any kind are minus signs."""
+
+    def __missing__(self, point: int) -> int | None:
+        c = chr(point)
+        if c in OPERATORS or unicodedata.category(c) == "Pd":
+            self[point] = ord("-") if unicodedata.category(c) == "Pd" else point
+            return self[point]
+        return super().__missing__(point)
+
+
+_LOOSE, _EXACT = _Loose(), _Exact()
+_POINT = re.compile(r"(?<![0-9])\.|\.(?![0-9])")
+_STRAY_POINT = re.compile(r"(?<=\w)\.(?![0-9])|(?<=[^0-9\s(\[{,:;=<>+*/%&|^~-])\.(?=[0-9])|(?<!\w)\.(?![0-9])")
+_HYPHEN = re.compile(r"(?<=\w)-(?=\w)")
+_NOT = re.compile(r"!(?!=)")
 _DEF = re.compile(r"\bdef\s+(\w+)\s*\(", re.I)
 _BRACKET = re.compile(r"[()\[\]{}]")
 _PARTS = re.compile(r"[()\[\]{}]|[,;\n\r]")
-_NAMED = regex.compile(r"[\s\p{P}--[(\[{]]*?[\p{L}_][\w \-]*[\s\p{P}--[:(\[{]]*?[:=](?!=)", regex.V1)
+_MARKS = "".join(re.escape(c) for c in map(chr, range(0x20000)) if _is_mark(c) and c not in "([{")
+_NAMED = re.compile(rf"[\s{_MARKS}]*?[^\W\d][\w \-]*(?:(?!:)[\s{_MARKS}])*?[:=](?!=)")
 
 
 def squash(text: str) -> str:
@@ -38,7 +71,24 @@ def squash(text: str) -> str:
     White space, punctuation marks (Unicode P), control characters and the signs
     ``=`` and backtick, which only tie names to values and quote, are dropped.
     """
-    return _DROPPED.sub("", text.casefold())
+    text = text.casefold()
+    return (_POINT.sub("", text) if "." in text else text).translate(_LOOSE)
+
+
+def squash_code(text: str) -> str:
+    """Like ``squash``, but operators count: ``* / % & @ # - =`` and ``!=``, and the point that begins a number."""
+    text = text.casefold()
+    text = (_STRAY_POINT.sub("", text) if "." in text else text).translate(_EXACT)
+    return _NOT.sub("", text) if "!" in text else text
+
+
+def squash_value(text: str) -> str:
+    """Like ``squash_code`` for the value of a named field; a hyphen within a word (or a date) does not count."""
+    return squash_code(_HYPHEN.sub("", text) if "-" in text else text)
+
+
+#: The same for names of fields and parameters, of which there are few.
+_squash_name = lru_cache(maxsize=1 << 14)(squash)
 
 
 def _top_level(text: str, separators: str) -> list[str]:
@@ -67,8 +117,15 @@ def _closing(text: str, start: int) -> int:
 
 
 def _field(text: str) -> str:
-    name, sign, value = (lambda m: (text[: m.end() - 1], "=", text[m.end() :]) if m else (text, "", ""))(_NAMED.match(text))
-    return squash(name) + sign + squash(value)
+    m = _NAMED.match(text)
+    if not m:
+        return squash_value(text)
+    return _squash_name(text[: m.end() - 1]) + "=" + squash_value(text[m.end() :])
+
+
+def _parameter(text: str) -> str:
+    name, _, value = text.partition("=")
+    return _squash_name(name) + "=" + squash_code(value)
 
 
 def canonical_code(code: str) -> str:
@@ -77,16 +134,17 @@ def canonical_code(code: str) -> str:
     Two texts have the same form if they differ only in white space, letter case,
     punctuation and the order of the named fields: in Python code, the parameters
     with a default of the first function; else the top-level ``name: value`` or
-    ``name = value`` parts between commas, semicolons or line breaks.
+    ``name = value`` parts between commas, semicolons or line breaks.  Operators and
+    the signs of numbers are no punctuation: ``a * b``, ``a / b`` and ``-a`` differ.
     """
     m = _DEF.search(code)
     if m:
         end = _closing(code, m.end())
-        given = [p for p in _top_level(code[m.end() : end], ",") if squash(p)]
-        named = sorted(squash(p.partition("=")[0]) + "=" + squash(p.partition("=")[2]) for p in given if "=" in p)
-        plain = [squash(p) for p in given if "=" not in p]
-        head = squash(code[: m.start()]) + "def" + squash(m[1])
-        return "\x1e".join(["code", head, *plain, "", *named, "", squash(code[end:])])
+        given = [p for p in _top_level(code[m.end() : end], ",") if not p.isspace() and squash(p)]
+        named = sorted(_parameter(p) for p in given if "=" in p)
+        plain = [squash_code(p) for p in given if "=" not in p]
+        head = squash_code(code[: m.start()]) + "def" + _squash_name(m[1])
+        return "\x1e".join(["code", head, *plain, "", *named, "", squash_code(code[end:])])
     body = code.strip()
     if body[:1] == "{" and _closing(body, 1) == len(body) - 1:
         body = body[1:-1]
@@ -152,7 +210,7 @@ def collapse(
 
     # few hot groups (at most 1 / share): their rows stay where they are
     hot_members = hot.join(F.broadcast(hot_groups), "key").select("representative", "id")
-    # a cold group is at most a share of the rows and is met by its window in one task
+    # a cold group has at most a share of the rows, less than its task would have of other groups
     low = F.min("id").over(Window.partitionBy("key"))
     cold_members = cold.withColumn("representative", low).select("representative", "id")
     members = hot_members.unionByName(cold_members).filter("id <> representative")
