@@ -1,35 +1,43 @@
 """Messages delivered more than once (problem 2).
 
-Screening: for each time bucket a Bloom filter of the identifiers that arrived in
-it, counting to two.  A delivery whose identifier is once in its own bucket's
-filter and in no other bucket's is definitely new and is never shuffled.  The
-possible repeats are verified exactly, against only the storage of the matching
-buckets: every copy of a repeated identifier matches the bucket of each other
-copy, so the rows that matched are that part of the storage.  False positives
-cost work and change nothing; there are no false negatives.
+The deliveries' identifiers go once into storage that is bucketed by time, in the
+shared folder.  On the way each time bucket has a Bloom filter of the identifiers
+that arrived in it, counting to two, in segments by the identifier's hash.  A
+delivery whose identifier is once in its own bucket's filter and in no other
+bucket's is definitely new.  The possible repeats are verified exactly against the
+storage of the buckets that matched and no other: every copy of a repeated
+identifier matches the bucket of each other copy.  False positives cost work and
+change nothing; there are no false negatives.
+
+There is one way for any size.  Copies that meet in a block of a task are told
+apart there, so an identifier with any share of the rows reaches its segment at
+most once for each block.  What is shuffled is the identifier, arrival and number
+of a delivery, once; a segment's filters never leave the task that holds it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Seconds in a time bucket, at first; doubled until no more than MAX_BUCKETS are in use.
+from barlattice.session import shared_folder
+
+#: Seconds in a time bucket, at first; doubled until no more than MAX_BUCKETS are in use (one more holds rows without a time).
 BUCKET_SECONDS = 7 * 86_400
-MAX_BUCKETS = 64
-#: Identifiers that one filter segment is made for, bits for each, bits set by each.
+MAX_BUCKETS = 16
+#: Identifiers in a segment, bits of a filter for each, bits set by each.
 SEGMENT_KEYS = 1 << 17
 BITS_PER_KEY = 16
 HASHES = 4
-#: Filters up to this size are broadcast; larger ones are met by a shuffle of distinct hashes.
-BROADCAST_BYTES = 48 << 20
-#: Parts that the copies of one identifier are spread over.
+#: Rows that are looked at together in a task.
+BLOCK_ROWS = 1 << 17
+#: Parts that the copies of one identifier are spread over when they are ranked.
 SALTS = 32
 
 
@@ -43,197 +51,144 @@ def _mix(h: np.ndarray, by: int) -> np.ndarray:
     return x
 
 
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
+def positions(h: np.ndarray, bits: int) -> np.ndarray:
     """HASHES bit positions of each hash, by double hashing."""
     a, b = _mix(h, 1), _mix(h, 2) | np.uint64(1)
     with np.errstate(over="ignore"):
         return np.stack([(a + np.uint64(i) * b) & np.uint64(bits - 1) for i in range(HASHES)], axis=1).astype(np.int64)
 
 
-class _Layout:
-    """Where an identifier's bits lie: shard by hash, ``bits`` in a segment."""
-
-    def __init__(self, largest_bucket: int):
-        self.shards = 1 << max(0, math.ceil(math.log2(max(1, largest_bucket) / SEGMENT_KEYS)))
-        per = max(1, min(SEGMENT_KEYS, largest_bucket))
-        self.bits = 1 << max(10, math.ceil(math.log2(per * BITS_PER_KEY)))
-
-    def shard(self, h: np.ndarray) -> np.ndarray:
-        return (_mix(h, 3) & np.uint64(self.shards - 1)).astype(np.int64)
-
-
-def _segments(layout: _Layout, bucket: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(bucket, shard, positions, positions set at least twice) of some rows."""
-    shard = layout.shard(h)
-    group = bucket * layout.shards + shard
-    order = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.diff(group[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            at, n = np.unique(_positions(h[part], layout.bits), return_counts=True)
-            yield int(bucket[part[0]]), int(shard[part[0]]), at.astype(np.int32), at[n > 1].astype(np.int32)
-
-
-def _build(layout: _Layout):
-    schema = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+def filter_bits(keys: int) -> int:
+    """Bits of a filter for so many identifiers: a power of two."""
+    return 1 << max(10, math.ceil(math.log2(max(1, keys) * BITS_PER_KEY)))
+
+
+def matches(bucket: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """For each row of a segment the buckets, as bits of a number, in which its identifier may have another delivery."""
+    at = positions(h, bits)
+    result = np.zeros(len(h), np.int64)
+    for b in np.unique(bucket):
+        own = bucket == b
+        count = np.bincount(at[own].ravel(), minlength=bits)
+        found = np.where(own, (count[at] > 1).all(axis=1), (count[at] > 0).all(axis=1))
+        result |= np.where(found, np.int64(1) << np.int64(b), np.int64(0))
+    return result
+
+
+def blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK_ROWS, whole: str | None = None) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows; rows of equal ``whole``, which come together, stay together."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table, cut = pa.Table.from_batches(held), n
+        if whole:
+            of = table[whole].to_numpy()
+            cut = int(np.searchsorted(of, of[-1]))  # sorted: the last group may go on in the next batch
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        table = table.slice(cut)
+        held, n = table.to_batches(), table.num_rows
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(table[name].chunks)
+
+
+def _local(keys: Sequence[str], arrived: str, tie: str) -> Callable:
+    """Marks (``__sure``) the rows of a block that come after another row of their identifier in it."""
+    order = [(c, "ascending") for c in ("__h", arrived, tie)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            got = list(_segments(layout, t["bucket"].to_numpy().astype(np.int64), t["h"].to_numpy()))
-            return pa.record_batch(
-                [
-                    pa.array([g[0] for g in got], pa.int32()),
-                    pa.array([g[1] for g in got], pa.int32()),
-                    pa.array([g[2].tobytes() for g in got], pa.binary()),
-                    pa.array([g[3].tobytes() for g in got], pa.binary()),
-                ],
-                schema=schema,
-            )
-
-        held, rows = [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 1 << 18:
-                yield flush(held)
-                held, rows = [], 0
-        if rows:
-            yield flush(held)
+        for table in blocks(batches):
+            n = table.num_rows
+            at = pc.sort_indices(table, sort_keys=order, null_placement="at_end")
+            same = np.ones(n - 1, bool)
+            for c in ("__h", *keys):
+                x = _column(table, c).take(at)
+                a, b = x.slice(1), x.slice(0, n - 1)
+                equal = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+                same &= equal.to_numpy(zero_copy_only=False)
+            sure = np.zeros(n, bool)
+            sure[at.to_numpy()[1:]] = same
+            yield from table.append_column("__sure", pa.array(sure)).to_batches()
 
     return task
 
 
-def _merge(layout: _Layout):
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        count = np.zeros(layout.bits, np.uint8)
-        for once, twice in zip(pdf["once"], pdf["twice"]):
-            at = np.frombuffer(once, np.int32)
-            count[at] = np.minimum(count[at] + 1, 2)
-            count[np.frombuffer(twice, np.int32)] = 2
-        return pd.DataFrame(
-            {
-                "bucket": pdf["bucket"].iloc[:1],
-                "shard": pdf["shard"].iloc[:1],
-                "once": [np.packbits(count > 0, bitorder="little").tobytes()],
-                "twice": [np.packbits(count > 1, bitorder="little").tobytes()],
-            }
-        )
-
-    return merge
-
-
-class _Filters:
-    """The filters of some shards, for probing."""
-
-    def __init__(self, rows: Sequence[tuple[int, int, bytes, bytes]], layout: _Layout):
-        self.layout = layout
-        self.once = {(b, s): np.frombuffer(o, np.uint8) for b, s, o, _ in rows}
-        self.twice = {(b, s): np.frombuffer(t, np.uint8) for b, s, _, t in rows}
-        self.buckets = sorted({b for b, _, _, _ in rows})
-
-    def repeats(self, bucket: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """True where the identifier may have another delivery, in its own bucket or another."""
-        shard = self.layout.shard(h)
-        result = np.zeros(len(h), bool)
-        for s in np.unique(shard):
-            rows = np.flatnonzero(shard == s)
-            at = _positions(h[rows], self.layout.bits)
-            byte, bit = at >> 3, (at & 7).astype(np.uint8)
-            found = np.zeros(len(rows), bool)
-            for b in self.buckets:
-                if (once := self.once.get((b, int(s)))) is None:
-                    continue
-                own = bucket[rows] == b
-                other = ~own & ~found
-                if own.any():
-                    found[own] |= ((self.twice[(b, int(s))][byte[own]] >> bit[own]) & 1).all(axis=1)
-                if other.any():
-                    found[other] |= ((once[byte[other]] >> bit[other]) & 1).all(axis=1)
-            result[rows] = found
-        return result
-
-
-def _probe(shared, layout_):
+def _screen(bits: int) -> Callable:
+    """Adds ``__seen`` (matching buckets) to whole segments; the rows come sorted by segment."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = _Filters(shared.value, layout_)
-        for batch in batches:
-            hit = filters.repeats(batch.column("__bucket").to_numpy().astype(np.int64), batch.column("__h").to_numpy())
-            yield batch.filter(pa.array(hit))
+        for table in blocks(batches, whole="__segment"):
+            segment = table["__segment"].to_numpy()
+            bucket, h, sure = (_column(table, c).to_numpy(zero_copy_only=False) for c in ("__bucket", "__h", "__sure"))
+            seen = np.zeros(len(h), np.int64)
+            for s in np.split(np.arange(len(h)), np.flatnonzero(np.diff(segment)) + 1):
+                rows = s[~sure[s]]
+                if len(rows):
+                    seen[rows] = matches(bucket[rows], h[rows], bits)
+            yield from table.drop_columns(["__segment"]).append_column("__seen", pa.array(seen)).to_batches()
 
     return task
 
 
-def _probe_shard(layout_):
-    def probe(hashes: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-        known = _Filters(list(filters[["bucket", "shard", "once", "twice"]].itertuples(index=False, name=None)), layout_)
-        hit = known.repeats(hashes["bucket"].to_numpy(np.int64), hashes["h"].to_numpy(np.int64))
-        return pd.DataFrame({"h": np.unique(hashes["h"].to_numpy(np.int64)[hit])})
+def bucket_of(arrived: str, seconds: int) -> Column:
+    """Number of the time bucket; null where there is no time."""
+    t = F.unix_seconds(arrived)
+    return F.call_function("div", t - F.pmod(t, F.lit(seconds)), F.lit(seconds))
 
-    return probe
 
+def stored_deliveries(rows: DataFrame, keys: Sequence[str], arrived: str, tie: str, bucket_seconds: int = BUCKET_SECONDS, segment_keys: int = SEGMENT_KEYS) -> DataFrame | None:
+    """The storage: ``keys``, ``arrived``, ``tie`` of every row, in parquet partitioned by ``__bucket``.
 
-def possible_repeats(
-    rows: DataFrame,
-    keys: Sequence[str],
-    arrived: str,
-    bucket_seconds: int = BUCKET_SECONDS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """The rows whose ``keys`` may occur in another row, by the buckets' filters.
-
-    ``arrived`` is a timestamp; rows without one share a bucket of their own.
-    The counts per bucket (at most a few thousand numbers) decide the layout.
-    Filters of up to ``broadcast_bytes`` are broadcast and the rows stay where
-    they are.  Beyond that, distinct (bucket, hash) pairs meet the filters by
-    shard, and the rows are matched with the hashes that may repeat.
+    ``__sure``: the row comes after another of its identifier in its block, so it is
+    surplus.  ``__seen``: buckets in which the identifier may have another delivery,
+    as bits; 0 for rows that are definitely new.  None for an empty table.
     """
     spark = rows.sparkSession
-    seconds = F.unix_seconds(arrived)
-    raw = F.coalesce(F.call_function("div", seconds - F.pmod(seconds, F.lit(bucket_seconds)), F.lit(bucket_seconds)), F.lit(-(1 << 40)))
-    counts = {int(r[0]): int(r[1]) for r in rows.groupBy(raw.alias("b")).count().collect()}
+    few = rows.select(*keys, arrived, tie)
+    raw = bucket_of(arrived, bucket_seconds)
+    # one number for each bucket of the calendar: they decide the width of a bucket and the number of segments
+    counts = {r[0]: int(r[1]) for r in few.groupBy(raw.alias("b")).count().collect()}
     if not counts:
-        return rows.limit(0)
-    timed = sorted(b for b in counts if b != -(1 << 40))
+        return None
+    timed = sorted(b for b in counts if b is not None)
     start, width = (timed[0] if timed else 0), 1
     while timed and (timed[-1] - start) // width >= MAX_BUCKETS:
         width *= 2
     load: dict[int, int] = {}
     for b, n in counts.items():
-        k = 0 if b == -(1 << 40) else 1 + (b - start) // width
+        k = 0 if b is None else 1 + (b - start) // width
         load[k] = load.get(k, 0) + n
-    layout = _Layout(max(load.values()))
-    bucket = F.when(raw == -(1 << 40), 0).otherwise(1 + F.call_function("div", raw - start, F.lit(width))).cast("int")
-    marked = rows.withColumns({"__h": F.xxhash64(*keys), "__bucket": bucket})
-
-    filters = (
-        marked.select(F.col("__bucket").alias("bucket"), F.col("__h").alias("h"))
-        .mapInArrow(_build(layout), "bucket int, shard int, once binary, twice binary")
-        .groupBy("bucket", "shard")
-        .applyInPandas(_merge(layout), "bucket int, shard int, once binary, twice binary")
-    )
-    size = len(load) * layout.shards * layout.bits // 4
-    if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast([(r[0], r[1], bytes(r[2]), bytes(r[3])) for r in filters.collect()])
-        return marked.mapInArrow(_probe(shared, layout), marked.schema).drop("__h", "__bucket")
-
-    distinct = marked.select(F.col("__bucket").alias("bucket"), F.col("__h").alias("h")).distinct().mapInArrow(_with_shard(layout), "bucket int, h long, shard int")
-    hits = (
-        distinct.groupBy("shard")
-        .cogroup(filters.groupBy("shard"))
-        .applyInPandas(_probe_shard(layout), "h long")
-        .distinct()
-    )
-    return marked.join(hits.withColumnRenamed("h", "__h"), "__h", "left_semi").select(*rows.columns)
-
-
-def _with_shard(layout: _Layout):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard = pa.array(layout.shard(batch.column("h").to_numpy()).astype(np.int32))
-            yield pa.record_batch([batch.column("bucket"), batch.column("h"), shard], names=["bucket", "h", "shard"])
+    segments = max(1, -(-sum(load.values()) // segment_keys))
+    bits = filter_bits(-(-max(load.values()) // segments))
+
+    bucket = F.coalesce(F.call_function("div", raw - start, F.lit(width)) + 1, F.lit(0)).cast("int")
+    marked = few.withColumns({"__h": F.xxhash64(*keys), "__bucket": bucket})
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
+    local = marked.mapInArrow(_local(keys, arrived, tie), f"{fields}, __sure boolean")
+    # rows that are surplus for sure only wait in the storage of their bucket, in any segment
+    at = F.pmod(F.when(F.col("__sure"), F.xxhash64(tie, arrived)).otherwise(F.xxhash64("__h")), F.lit(segments)).cast("int")
+    placed = local.withColumn("__segment", at).repartition("__segment").sortWithinPartitions("__segment")
+    screened = placed.mapInArrow(_screen(bits), f"{fields}, __sure boolean, __seen long")
+    folder = shared_folder(spark, "deliveries")
+    screened.write.partitionBy("__bucket").parquet(folder)
+    return spark.read.schema(screened.schema).parquet(folder)
 
-    return task
+
+def possible_repeats(stored: DataFrame) -> DataFrame:
+    """The rows of the storage that may repeat another, of the matching buckets only."""
+    seen = stored.agg(F.bit_or("__seen")).first()[0] or 0
+    buckets = [b for b in range(MAX_BUCKETS + 1) if seen >> b & 1]
+    return stored.filter(F.col("__bucket").isin(buckets) & (F.col("__seen") != 0))
 
 
 def surplus_deliveries(
@@ -242,7 +197,7 @@ def surplus_deliveries(
     arrived: str,
     tie: str,
     bucket_seconds: int = BUCKET_SECONDS,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    segment_keys: int = SEGMENT_KEYS,
 ) -> DataFrame:
     """The deliveries that are not the kept one of their identifier: ``keys``, ``arrived``, ``tie``.
 
@@ -252,16 +207,18 @@ def surplus_deliveries(
     An empty table has no surplus.
 
     Exact verification ranks in two levels: within (identifier, salt), then among
-    the firsts of each salt, so that an identifier with a third of all rows is
-    never held by one task.
+    the firsts of each salt.
     """
-    few = rows.select(*keys, arrived, tie)
-    candidates = possible_repeats(few, keys, arrived, bucket_seconds, broadcast_bytes)
+    names = [*keys, arrived, tie]
+    stored = stored_deliveries(rows, keys, arrived, tie, bucket_seconds, segment_keys)
+    if stored is None:
+        return rows.select(*names).limit(0)
     order = [F.col(arrived).asc_nulls_last(), F.col(tie).asc_nulls_last()]
-    salted = candidates.withColumn("__salt", F.pmod(F.xxhash64(tie, arrived), F.lit(SALTS)))
+    salted = possible_repeats(stored).select(*names).withColumn("__salt", F.pmod(F.xxhash64(tie, arrived), F.lit(SALTS)))
     local = salted.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*order)))
     firsts = local.filter("__rank = 1").withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return local.filter("__rank > 1").unionByName(firsts.filter("__rank > 1")).select(*few.columns)
+    parts = (stored.filter("__sure"), local.filter("__rank > 1"), firsts.filter("__rank > 1"))
+    return parts[0].select(*names).unionByName(parts[1].select(*names)).unionByName(parts[2].select(*names))
 
 
 def kept_deliveries(

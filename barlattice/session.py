@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -53,6 +55,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _remove(context, folder: str) -> None:
+    try:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM may be gone; the folder is the cluster's to clear
+        pass
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints for a table that several steps read; removed when the driver ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark.sparkContext, folder)
+    return folder
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Makes the package importable for Python workers; call it once before using the operators.
 

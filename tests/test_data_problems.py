@@ -99,18 +99,19 @@ def brute_surplus(rows):
     return sorted(r[3] for r in rows if (r[2] or far, r[3]) != best[r[:2]])
 
 
-@pytest.mark.parametrize("limit", [dedupe.BROADCAST_BYTES, 0])
-def test_surplus_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("segment_keys", [dedupe.SEGMENT_KEYS, 100])
+def test_surplus_equals_brute_force(spark, segment_keys):
     rows = tickets()
     df = spark.createDataFrame(rows, TICKET).repartition(5).withColumn("bucket", F.lit(1)).withColumn("h", F.lit(None).cast("long"))
-    got = dedupe.surplus_deliveries(df, ("run_id", "trade_id"), "received_at", "delivery_id", 86_400, limit)
+    got = dedupe.surplus_deliveries(df, ("run_id", "trade_id"), "received_at", "delivery_id", 86_400, segment_keys)
     assert sorted(r.delivery_id for r in got.collect()) == brute_surplus(rows)
 
 
 def test_screen_lets_no_repeat_pass_and_few_others(spark):
     at = dt.datetime(2024, 1, 1, tzinfo=UTC)
     rows = [("r", i, at + dt.timedelta(hours=i % 5000), i) for i in range(20_000)] + [("r", i * 100, at + dt.timedelta(days=90), 50_000 + i) for i in range(100)]
-    got = dedupe.possible_repeats(spark.createDataFrame(rows, TICKET), ("run_id", "trade_id"), "received_at").collect()
+    stored = dedupe.stored_deliveries(spark.createDataFrame(rows, TICKET), ("run_id", "trade_id"), "received_at", "delivery_id", segment_keys=1 << 12)
+    got = dedupe.possible_repeats(stored).unionByName(stored.filter("__sure")).collect()
     ids = {r.delivery_id for r in got}
     assert {i * 100 for i in range(100)} | {50_000 + i for i in range(100)} <= ids
     assert len(ids) < 1500
@@ -348,15 +349,15 @@ def test_posteriors_equal_the_sum_over_all_paths():
     assert np.allclose(got, want / want.sum(axis=1, keepdims=True))
 
 
-@pytest.mark.parametrize("limit", [dedupe.BROADCAST_BYTES, 0])
-def test_store_keeps_one_delivery_over_batches(spark, tmp_path, limit):
-    store = delivery_store.DeliveryStore(spark, str(tmp_path), ("run_id", "trade_id"), "received_at", "delivery_id", 30 * 86_400, 1 << 12)
+@pytest.mark.parametrize("segments", [1, 4])
+def test_store_keeps_one_delivery_over_batches(spark, tmp_path, segments):
+    store = delivery_store.DeliveryStore(spark, str(tmp_path), ("run_id", "trade_id"), "received_at", "delivery_id", 30 * 86_400, segments, 1 << 12)
     rows = tickets(seed=4, n=900)
     random.seed(9)
     random.shuffle(rows)
     kept = []
     for part in range(3):
         batch = spark.createDataFrame(rows[part * 300 : part * 300 + 300], TICKET)
-        kept += [(r.run_id, r.trade_id) for r in store.ingest(batch, limit).collect()]
+        kept += [(r.run_id, r.trade_id) for r in store.ingest(batch, f"b{part}").collect()]
     assert len(kept) == len(set(kept)) and set(kept) == {r[:2] for r in rows}
-    assert store.ingest(spark.createDataFrame(rows[:50], TICKET), limit).count() == 0
+    assert store.ingest(spark.createDataFrame(rows[:50], TICKET), "again").count() == 0

@@ -39,15 +39,7 @@ def test_blocks_stay_inside_and_go_on(n, length, seed):
 def test_filters_never_miss_a_repeat(ids, buckets):
     h = np.array(ids, np.int64)
     bucket = np.arange(len(h)) % buckets
-    layout = dedupe._Layout(len(h))
-    merged = {}
-    for b, s, once, twice in dedupe._segments(layout, bucket, h):
-        count = np.zeros(layout.bits, np.uint8)
-        count[once] = 1
-        count[twice] = 2
-        merged[b, s] = count
-    rows = [(b, s, np.packbits(c > 0, bitorder="little").tobytes(), np.packbits(c > 1, bitorder="little").tobytes()) for (b, s), c in merged.items()]
-    found = dedupe._Filters(rows, layout).repeats(bucket, h)
+    found = dedupe.matches(bucket, h, dedupe.filter_bits(len(h))) != 0
     values, counts = np.unique(h, return_counts=True)
     assert found[np.isin(h, values[counts > 1])].all()
 
