@@ -5,7 +5,8 @@ are a histogram bounded by the capacity, not by the data.  The packing is planne
 on the histogram, in runs of equal containers: large items (above a third of the
 capacity) are matched greedily, at most two to a container; smaller ones fill the
 smallest gap that holds them.  Items then take their places by their rank among
-the items of their size, which is computed in two levels.
+the items of their size, which is computed in two levels: over the partitions of the
+numbered rows, then within each.
 """
 
 from __future__ import annotations
@@ -21,10 +22,8 @@ from pyspark.sql import functions as F
 
 from barlattice.session import cut_lineage
 
-#: Parts that the items of one size are spread over when they are ranked.
-SALTS = 64
-#: Most containers kinds in a plan's table.
-MOST_PACKS = 1000
+#: Most kinds of containers, and most sizes of all kinds together: a plan's histogram is held by the driver.
+MOST_PACKS, MOST_SIZES = 1000, 1 << 23
 
 
 class _Gaps:
@@ -122,23 +121,24 @@ def plan(capacity: int, histogram: dict[int, int]) -> tuple[list[tuple[int, int,
     return slots, made
 
 
-def _ranked(items: DataFrame, group: list[str], identifier: str, amount: str | None = None) -> DataFrame:
+def _ranked(items: DataFrame, group: list[str], amount: str | None = None) -> DataFrame:
     """``__rank``: how many items of the group (or how much ``amount``) come before each item.
 
-    Counted by salt, then within salt, so a group may hold any share of the rows.
+    Counted by partition of the numbered rows, then within the partition, so a group
+    may hold any share of the rows and a task holds no more than a partition did.
     """
-    salted = items.withColumn("__salt", F.pmod(F.xxhash64(identifier, "__row"), F.lit(SALTS)))
+    parted = items.withColumn("__part", F.shiftright("__row", 33))
     weight = F.col(amount) if amount else F.lit(1)
-    before = Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy(*group, "__salt").agg(F.sum(weight).alias("__w")).select(
-        *group, "__salt", F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__offset")
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parted.groupBy(*group, "__part").agg(F.sum(weight).alias("__w")).select(
+        *group, "__part", F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__offset")
     )
-    inside = Window.partitionBy(*group, "__salt").orderBy(identifier, "__row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        salted.withColumn("__inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(offsets, [*group, "__salt"])
+        parted.withColumn("__inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        .join(offsets, [*group, "__part"])
         .withColumn("__rank", F.col("__offset") + F.col("__inside"))
-        .drop("__salt", "__inside", "__offset")
+        .drop("__part", "__inside", "__offset")
     )
 
 
@@ -176,6 +176,8 @@ def pack(items: DataFrame, packs: DataFrame, identifier: str = "doc_id", size: s
     kinds = {int(r[0]): int(r[1]) for r in packs.groupBy("pack_id").agg(F.min("capacity")).limit(MOST_PACKS + 1).collect()}
     if len(kinds) > MOST_PACKS or any(c < 1 for c in kinds.values()):
         raise ValueError("packs must be a small table of positive capacities")
+    if sum(kinds.values()) > MOST_SIZES:
+        raise ValueError("the capacities are too large for a histogram")
     schema_order = ["pack_id", identifier, "piece", "container_id", "n_tokens"]
     base = items.select(F.col(identifier), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__size")).withColumn(
         "__row", F.monotonically_increasing_id()
@@ -202,14 +204,14 @@ def pack(items: DataFrame, packs: DataFrame, identifier: str = "doc_id", size: s
         plans[p] = (a[:, 0].copy(), a[:, 1].copy(), a[:, 2].copy(), a[:, 3].copy())
     shared = spark.sparkContext.broadcast(plans)  # bounded by the capacities
 
-    ranked = _ranked(sized.filter("__rest > 0"), ["pack_id", "__rest"], identifier).select(identifier, "__full", "pack_id", "__rest", F.col("__rank").cast("long").alias("__rank"))
+    ranked = _ranked(sized.filter("__rest > 0"), ["pack_id", "__rest"]).select(identifier, "__full", "pack_id", "__rest", F.col("__rank").cast("long").alias("__rank"))
     fields = {f.name: f.dataType.simpleString() for f in ranked.schema.fields}
     placed = ranked.mapInArrow(_placer(shared), ", ".join(f"`{n}` {t}" for n, t in fields.items()) + ", container_id long").select(
         "pack_id", identifier, F.col("__full").alias("piece"), "container_id", F.col("__rest").alias("n_tokens")
     )
     offset = F.create_map(*[x for p, n in made.items() for x in (F.lit(p).cast("long"), F.lit(n).cast("long"))])
     whole = (
-        _ranked(sized.filter("__full > 0"), ["pack_id"], identifier, "__full")
+        _ranked(sized.filter("__full > 0"), ["pack_id"], "__full")
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__full") - 1)))
         .select("pack_id", identifier, "piece", (offset[F.col("pack_id")] + F.col("__rank") + F.col("piece")).alias("container_id"), F.col("capacity").alias("n_tokens"))
     )

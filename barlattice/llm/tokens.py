@@ -3,6 +3,11 @@
 Spark splits the texts into words with the tokenizer's own pattern; each distinct
 word is encoded once; the ids come back by a join on the word and are put in
 order by position.  Decoding joins ids with the pieces of the vocabulary.
+
+The join has two parts.  The most frequent words, as many as fit a fixed size, go
+to the workers and are looked up where the documents are.  Of the others only the
+distinct ones of a block of documents are shuffled to the table; their ids return
+to the block and fill the gaps.  A block is at most one Arrow batch.
 """
 
 from __future__ import annotations
@@ -17,26 +22,29 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlattice.session import cut_lineage
+from barlattice.session import cut_lineage, shared_folder
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("BARLATTICE_TOKENIZERS", "/opt/tokenizers")
 #: The pre-tokenizer's words, as a Java pattern: contractions, letters, numbers, other signs, white space.
-WORD = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A word table of up to this size is broadcast; beyond it only its hot words are.
-BROADCAST_BYTES = 32 << 20
-#: A word is hot from this share of all words on (so there are at most 1/share of them).
-HOT_SHARE = 1 / 2000
+_WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD = r"(?U)" + _WORD
+#: The same for texts with signs that Java's Unicode tables do not know: what is between white space and holds one stays whole.
+WORD_OR_UNKNOWN = r"(?U) ?(?=\S*\p{Cn})\S+|" + _WORD
+#: The most frequent words go to the workers up to this size.
+HOT_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
     """The words of a text; null and empty texts have none.
 
-    A text with a character that Java's Unicode tables do not know yet is one
-    word: the tokenizer, which may know it as a letter, splits it itself.
+    What is between white space and holds a character that Java's Unicode tables do
+    not know yet stays whole: the tokenizer, which may know it as a letter, splits
+    it itself.  No word of the tokenizer reaches across that white space.
     """
     given = F.coalesce(text, F.lit(""))
-    return F.when(given.rlike(r"\p{Cn}"), F.array(given)).otherwise(F.regexp_extract_all(given, F.lit(WORD), F.lit(0)))
+    pattern = F.when(given.rlike(r"\p{Cn}"), F.regexp_extract_all(given, F.lit(WORD_OR_UNKNOWN), F.lit(0)))
+    return pattern.otherwise(F.regexp_extract_all(given, F.lit(WORD), F.lit(0)))
 
 
 def _encode(path: str):
@@ -62,18 +70,21 @@ def word_table(words: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str =
     return cut_lineage(counted.mapInArrow(_encode(f"{folder}/{tokenizer}.json"), "word string, ids array<int>, n long"))
 
 
-def _with_words(documents: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    return documents.select(*keep, F.monotonically_increasing_id().alias("__row"), words_of(F.col(text)).alias("words"))
-
-
-def _fits(table: DataFrame, limit: int) -> tuple[bool, int]:
-    """(whether the table may be broadcast, all words counted), by its exact size."""
-    size, total = table.agg(F.sum(F.octet_length("word") + 8 * F.size("ids") + 64), F.sum("n")).first()
-    return (size or 0) <= limit, total or 0
+def _hot(table: DataFrame, limit: int) -> tuple[int, bool]:
+    """(least frequency of a hot word, whether there are others), so that hot words take at most ``limit`` bytes."""
+    size = F.octet_length("word") + 8 * F.size("ids") + 64
+    # at most one row for each power of two
+    sizes = {int(r[0]): int(r[1]) for r in table.groupBy(F.floor(F.log2("n")).alias("e")).agg(F.sum(size)).collect()}
+    taken, least = 0, None
+    for e in sorted(sizes, reverse=True):
+        if taken + sizes[e] > limit:
+            return (1 << 62 if least is None else 1 << least), True
+        taken, least = taken + sizes[e], e
+    return 1, False
 
 
 def _shared(table: DataFrame):
-    """The word table as one Arrow buffer for the workers; its size was checked."""
+    """The hot words as one Arrow buffer for the workers; their size was checked."""
     arrow = table.select("word", "ids").toArrow().combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, arrow.schema) as writer:
@@ -81,43 +92,122 @@ def _shared(table: DataFrame):
     return table.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
-def _lookup(shared, counts_only: bool):
-    """Rows (id, words) to (id, ids) or (id, size): words meet the table in one vectorised hash join
-    per batch, and what they find is put together by position."""
+class _Table:
+    """Words with their values (ids, or how many), for looking up the distinct words of a batch."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
-        words, ids = (pa.concat_arrays(table[c].chunks) if table[c].num_chunks else pa.array([], table[c].type) for c in ("word", "ids"))
+    def __init__(self, words: pa.Array, ids: pa.Array, counts_only: bool):
+        self.place = dict(zip(words.to_pylist(), range(len(words))))
         lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-        for batch in batches:
+        self.values = lengths.astype(np.int32) if counts_only else ids.flatten().to_numpy()
+        self.lengths = np.ones(len(words), np.int64) if counts_only else lengths
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+
+def _expand(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + length], one after another."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
+
+
+def _lookup(shared, counts_only: bool, others: bool):
+    """Rows (id, words) to (id, ids, block, rare).
+
+    Words that are not hot leave a gap: -1 less their place among the distinct rare
+    words of the block, which come out in a row of their own (``rare``).  A row
+    without gaps has no block.  For counts ``ids`` holds a count for each word.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        hot = pa.ipc.open_stream(shared.value).read_all()
+        words, ids = (pa.concat_arrays(hot[c].chunks) if hot[c].num_chunks else pa.array([], hot[c].type) for c in ("word", "ids"))
+        table = _Table(words, ids, counts_only)
+        first = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(batches):
             lists = batch.column(1)
-            place = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
-            at = pc.index_in(lists.flatten(), value_set=words)
-            if at.null_count:
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+            coded = lists.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            at = np.fromiter((table.place.get(w, -1) for w in distinct), np.int64, len(distinct))
+            gaps = np.flatnonzero(at < 0)
+            if len(gaps) and not others:
                 raise ValueError("a word is missing in the word table")
-            ends = np.concatenate([[0], np.cumsum(lengths[at.to_numpy()])])[place]
-            if counts_only:
-                result, name = pa.array(np.diff(ends)), "size"
-            else:
-                result, name = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids.take(at).flatten()), "ids"
-            yield pa.record_batch([batch.column(0), result], names=[batch.schema.names[0], name])
+            # the gaps follow the table's values, one place each
+            values = np.concatenate([table.values, -1 - np.arange(len(gaps), dtype=np.int32)])
+            starts, lengths = np.empty(len(distinct), np.int64), np.ones(len(distinct), np.int64)
+            known = at >= 0
+            starts[known], lengths[known] = table.starts[at[known]], table.lengths[at[known]]
+            starts[gaps] = len(table.values) + np.arange(len(gaps))
+            of = coded.indices.to_numpy()
+            size = lengths[of]
+            found = _lists(_expand(values, starts[of], size), np.concatenate([[0], np.cumsum(size)])[ends])
+            if not others:
+                yield pa.record_batch([batch.column(0), found], names=["id", "ids"])
+                continue
+            open_ = np.diff(np.concatenate([[0], np.cumsum(~known[of])])[ends]) > 0
+            block = pa.array(np.full(len(open_), first + number), pa.int64(), mask=~open_)
+            yield pa.record_batch([batch.column(0), found, block, pa.nulls(len(open_), pa.list_(pa.string()))], names=["id", "ids", "block", "rare"])
+            if len(gaps):
+                rare = pa.array([[distinct[i] for i in gaps]], pa.list_(pa.string()))
+                yield pa.record_batch([pa.nulls(1, batch.column(0).type), pa.nulls(1, found.type), pa.array([first + number], pa.int64()), rare], names=["id", "ids", "block", "rare"])
 
     return task
 
 
-def _looked_up(exploded: DataFrame, table: DataFrame, values: list[str], total: int, hot_share: float) -> DataFrame:
-    """``exploded`` with the table's ``values`` of column ``word`` (null words get nulls), for a table of any size.
-
-    Frequent words (at most 1/share) are broadcast, the others are shuffled.
-    """
-    least = int(total * hot_share) + 1
-    small = table.select("word", *values)
-    hot = table.filter(F.col("n") >= least).select("word", *[F.col(v).alias(f"__{v}") for v in values], F.lit(True).alias("__hot"))
-    marked = exploded.join(F.broadcast(hot), "word", "left")
-    done = F.col("__hot") | F.col("word").isNull()
-    first = marked.filter(F.coalesce(done, F.lit(False))).select(*exploded.columns, *[F.col(f"__{v}").alias(v) for v in values])
-    rest = marked.filter(~F.coalesce(done, F.lit(False))).select(*exploded.columns)
-    return first.unionByName(rest.join(small.hint("shuffle_merge"), "word", "left"))
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, ids, block, found) to (id, ids) without gaps; a block's ``found`` comes before its rows."""
+    block, values, starts, lengths = None, None, None, None
+    for batch in batches:
+        of = batch.column("block").to_numpy()
+        for rows in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
+            if not len(rows):
+                continue
+            a, n = int(rows[0]), len(rows)
+            if of[a] != block:
+                block, told = of[a], pa.concat_arrays([batch.column("found").slice(a, 1).flatten()])
+                order = np.argsort(told.field("k").to_numpy(zero_copy_only=False))
+                ids = told.field("ids").take(pa.array(order))
+                lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+                values, starts = ids.flatten().to_numpy(), np.cumsum(lengths) - lengths
+                a, n = a + 1, n - 1
+            if not n:
+                continue
+            lists = batch.column("ids").slice(a, n)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+            flat = lists.flatten().to_numpy()
+            gap = flat < 0
+            size, at = np.ones(len(flat), np.int64), np.arange(len(flat))
+            size[gap], at[gap] = lengths[-1 - flat[gap]], len(flat) + starts[-1 - flat[gap]]
+            found = _lists(_expand(np.concatenate([flat, values]), at, size), np.concatenate([[0], np.cumsum(size)])[ends])
+            yield pa.record_batch([batch.column("id").slice(a, n), found], names=["id", "ids"])
+
+
+def _encoded(documents: DataFrame, identifier: str, text: str, tokenizer: str, folder: str, hot_bytes: int, counts_only: bool) -> DataFrame:
+    """``id`` and ``ids`` (or a count for each word) of each row."""
+    rows = documents.select(F.col(identifier).alias("id"), words_of(F.col(text)).alias("words"))
+    table = word_table(rows, tokenizer, folder)
+    least, others = _hot(table, hot_bytes)
+    kind = documents.schema[identifier].dataType.simpleString()
+    lookup = _lookup(_shared(table.filter(F.col("n") >= least)), counts_only, others)
+    if not others:
+        return rows.mapInArrow(lookup, f"id {kind}, ids array<int>")
+    # what the blocks hold and ask for is written once; both branches read the same
+    kept = shared_folder(documents.sparkSession, "encoded")
+    rows.mapInArrow(lookup, f"id {kind}, ids array<int>, block long, rare array<string>").write.parquet(kept)
+    stored = documents.sparkSession.read.schema(f"id {kind}, ids array<int>, block long, rare array<string>").parquet(kept)
+    asked = stored.filter(F.col("rare").isNotNull()).select("block", F.posexplode("rare").alias("k", "word"))
+    values = F.array(F.size("ids")) if counts_only else F.col("ids")
+    told = asked.join(table.filter(F.col("n") < least).select("word", values.alias("ids")).hint("shuffle_hash"), "word")
+    found = told.groupBy("block").agg(F.collect_list(F.struct("k", "ids")).alias("found"))  # at most the distinct words of a block
+    done = stored.filter(F.col("block").isNull() & F.col("rare").isNull()).select("id", "ids")
+    gaps = stored.filter(F.col("block").isNotNull() & F.col("rare").isNull()).select("id", "ids", "block", F.lit(None).cast("array<struct<k:int,ids:array<int>>>").alias("found"))
+    both = gaps.unionByName(found, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("found").isNull())
+    return done.unionByName(both.mapInArrow(_fill, f"id {kind}, ids array<int>"))
 
 
 def encode_documents(
@@ -126,29 +216,17 @@ def encode_documents(
     text: str,
     tokenizer: str = "byte_bpe_50k",
     folder: str = TOKENIZERS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    hot_share: float = HOT_SHARE,
+    hot_bytes: int = HOT_BYTES,
 ) -> DataFrame:
     """``identifier`` and ``ids`` (array of int) of each row, without special tokens.
 
     Null and empty texts have the empty list.  Rows with equal identifiers stay
     apart.  Whole texts are encoded; strings of special tokens are ordinary text.
 
-    A word table of up to ``broadcast_bytes`` goes to the workers and the documents
-    stay where they are.  Beyond that, words and positions are shuffled to the
-    table; the row numbers must then be the same in two branches, so the words are
-    kept in the checkpoint folder.
+    A text without rare words is done where it is.  Of the others the ids found so
+    far are shuffled once by block, and so are the distinct rare words of a block.
     """
-    rows = _with_words(documents, text, [identifier])
-    table = word_table(rows, tokenizer, folder)
-    fits, total = _fits(table, broadcast_bytes)
-    if fits:
-        kind = documents.schema[identifier].dataType.simpleString()
-        return rows.select(identifier, "words").mapInArrow(_lookup(_shared(table), False), f"`{identifier}` {kind}, ids array<int>")
-    exploded = cut_lineage(rows).repartition("__row").select(identifier, "__row", F.posexplode_outer("words").alias("pos", "word"))
-    found = _looked_up(exploded, table, ["ids"], total, hot_share)
-    placed = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "ids")))
-    return found.groupBy("__row", identifier).agg(F.flatten(F.sort_array(placed).getField("ids")).alias("ids")).select(identifier, "ids")
+    return _encoded(documents, identifier, text, tokenizer, folder, hot_bytes, False).select(F.col("id").alias(identifier), "ids")
 
 
 def token_counts(
@@ -157,19 +235,12 @@ def token_counts(
     text: str,
     tokenizer: str = "byte_bpe_50k",
     folder: str = TOKENIZERS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    hot_share: float = HOT_SHARE,
+    hot_bytes: int = HOT_BYTES,
 ) -> DataFrame:
     """``identifier`` and ``size`` (tokens) of each row; null and empty texts have 0."""
-    rows = _with_words(documents, text, [identifier])
-    table = word_table(rows, tokenizer, folder)
-    fits, total = _fits(table, broadcast_bytes)
-    if fits:
-        kind = documents.schema[identifier].dataType.simpleString()
-        return rows.select(identifier, "words").mapInArrow(_lookup(_shared(table), True), f"`{identifier}` {kind}, size long")
-    exploded = cut_lineage(rows).select(identifier, "__row", F.explode_outer("words").alias("word"))
-    found = _looked_up(exploded, table.withColumn("size", F.size("ids").cast("long")), ["size"], total, hot_share)
-    return found.groupBy("__row", identifier).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).select(identifier, "size")
+    encoded = _encoded(documents, identifier, text, tokenizer, folder, hot_bytes, True)
+    size = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return encoded.select(F.col("id").alias(identifier), size.alias("size"))
 
 
 def pieces(spark: SparkSession, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

@@ -83,15 +83,15 @@ def tokenizer():
     return t
 
 
-@pytest.mark.parametrize("limit", [tokens.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [tokens.HOT_BYTES, 400, 0])
 def test_ids_equal_the_tokenizers_and_round_trip(spark, tokenizer, limit):
     df = spark.createDataFrame([(i % 9, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("ids", F.lit(2))
-    encoded = tokens.encode_documents(df, "doc_id", "text", broadcast_bytes=limit, hot_share=0.05)
+    encoded = tokens.encode_documents(df, "doc_id", "text", hot_bytes=limit)
     got = Counter((r.doc_id, tuple(r.ids)) for r in encoded.collect())
     assert got == Counter((i % 9, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(TEXTS))
     back = Counter((r.doc_id, r.text) for r in tokens.decode_documents(encoded, "doc_id").collect())
     assert back == Counter((i % 9, t or "") for i, t in enumerate(TEXTS))
-    sizes = Counter((r.doc_id, r.size) for r in tokens.token_counts(df, "doc_id", "text", broadcast_bytes=limit, hot_share=0.05).collect())
+    sizes = Counter((r.doc_id, r.size) for r in tokens.token_counts(df, "doc_id", "text", hot_bytes=limit).collect())
     assert sizes == Counter((i, len(ids)) for (i, ids), n in got.items() for _ in range(n))
     assert tokens.encode_documents(df.limit(0), "doc_id", "text").count() == 0
     lost = spark.createDataFrame([(1, [50_256])], "doc_id long, ids array<int>")
