@@ -11,9 +11,12 @@ boundaries; full stops before a small letter and places inside a sentence are no
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from barlattice.session import cut_lineage
 #: Documents and labelled places that the model is fitted on, at most.
 SAMPLE_DOCUMENTS = 4_000
 SAMPLE_PLACES = 40_000
-#: Token types with statistics of their own, at most: the most frequent.
+#: Token types whose statistics go to the workers, at most: the most frequent; those of the others are joined to the texts that ask for them.
 MAX_TYPES = 50_000
 #: Weights of the model.
 WEIGHTS = 1 << 14
@@ -51,7 +54,7 @@ _MARK = regex.compile(
 #: A high-low quote closes only where no word follows: elsewhere it opens.
 _CLOSE = regex.compile(rf"(?:[{regex.escape(''.join(c for c in CLOSERS if c not in HIGH))}]|[{HIGH}](?!\w)|[^\S\r\n]?[»›](?!\w))*")
 _THAI_SPACE = regex.compile(r"(?<=(\S))[^\S\r\n \u0085]+(?=(\S))")
-_BEFORE = regex.compile(r"[^\s(\[{\"'“”‘’„«»‚‹›—–/]*\Z")
+_BEFORE = regex.compile(r"(?r)[^\s(\[{\"'“”‘’„«»‚‹›—–/]*")
 _NEXT = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’][\p{L}\p{N}]+)*")
 _OPENERS = "\"'“‘„«»‚‹(¿¡[「『（"
 
@@ -61,7 +64,9 @@ _CJK = regex.compile(rf"[{_CJK_CLASS}]")
 _LATIN_DIGIT = regex.compile(r"\p{Latin}|\p{Nd}")
 _UPPER, _LOWER = regex.compile(r"[\p{Lu}\p{Lt}]"), regex.compile(r"\p{Ll}")
 _WORDLIKE = regex.compile(r"[\p{L}\p{N}]")
-_DIGITS = regex.compile(r"\d+")
+_DIGITS = re.compile(r"\d+")
+#: Types up to this length are written out, longer ones end in a hash.
+_WRITTEN = 48
 _SCRIPTS = tuple((name, regex.compile(rf"\p{{{name}}}")) for name in ("Latin", "Cyrillic", "Arabic", "Devanagari", "Thai", "Han"))
 
 
@@ -89,14 +94,26 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
             yield a, b, False
 
 
+def _short(kind: str) -> str:
+    """A name of a type, of bounded length."""
+    return kind if len(kind) <= _WRITTEN else kind[: _WRITTEN // 2] + hashlib.blake2b(kind.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+@lru_cache(maxsize=1 << 16)
 def _kind(token: str) -> str:
     """Type of a token: small letters, digits as #."""
-    return _DIGITS.sub("#", token.casefold())[-24:]
+    return _short(_DIGITS.sub("#", token.casefold()))
 
 
 def _token_before(text: str, at: int, low: int) -> str:
-    m = _BEFORE.search(text, max(low, at - 40), at)
-    return m[0] if m else ""
+    """The token that ends at ``at``, read backwards."""
+    return _BEFORE.match(text, low, at)[0]
+
+
+@lru_cache(maxsize=1 << 16)
+def _token_of(stop: str) -> str:
+    """The token of a piece between white space that ends in a full stop."""
+    return _token_before(stop, len(stop) - 1, 0)
 
 
 def _word_after(text: str, at: int, high: int) -> str:
@@ -104,13 +121,14 @@ def _word_after(text: str, at: int, high: int) -> str:
         at += 1
     if text[at : at + 1] in (".", ",") and text[at + 1 : at + 2].isdigit():
         at += 1
-    m = _NEXT.match(text, at, min(high, at + 40))
+    m = _NEXT.match(text, at, high)
     return m[0] if m else text[at : at + 1]
 
 
+@lru_cache(maxsize=1 << 16)
 def _word(word: str) -> str:
     """Type of a word as a beginning: its capitals count."""
-    return "^" + _DIGITS.sub("#", word)[:24]
+    return "^" + _short(_DIGITS.sub("#", word))
 
 
 def _shape(c: str) -> str:
@@ -137,10 +155,14 @@ class Candidate:
     __slots__ = ("mark", "dot", "end", "at", "quoted", "spaced")
 
     def __init__(self, text: str, m: regex.Match, high: int):
-        closers = _CLOSE.match(text, m.end(), high)[0]
-        self.mark, self.dot, self.end = m[0], m.start(), m.end() + len(closers)
-        self.quoted = any(c in QUOTES for c in closers)
-        at = self.end
+        end = m.end()
+        self.mark, self.dot, self.quoted = m[0], m.start(), False
+        # most marks are followed by a blank and a letter: no closers to look for
+        if end < high and not (text[end].isspace() and text[end + 1 : end + 2] not in ("»", "›")):
+            closers = _CLOSE.match(text, end, high)[0]
+            end += len(closers)
+            self.quoted = any(c in QUOTES for c in closers)
+        self.end = at = end
         while at < high and text[at].isspace():
             at += 1
         self.spaced, self.at = at > self.end, at
@@ -154,7 +176,7 @@ def rule(text: str, c: Candidate, high: int, small: bool) -> bool | None:
     if c.at >= high:
         return True
     after = text[c.at]
-    wide = any(x in WIDE for x in c.mark)
+    wide = c.mark != "." and any(x in WIDE for x in c.mark)
     if not c.spaced:
         if c.mark.strip("….") == "" or not (wide or _CJK.match(after)):
             return False
@@ -163,7 +185,7 @@ def rule(text: str, c: Candidate, high: int, small: bool) -> bool | None:
         return after not in _GO_ON
     if after in _GO_ON and not (after in "-—–" and wide):
         return False
-    if _CJK.match(text[c.dot - 1 : c.dot]) and wide:
+    if wide and _CJK.match(text[c.dot - 1 : c.dot]):
         return True
     shape = _shape(after)
     if c.mark == ".":
@@ -173,7 +195,7 @@ def rule(text: str, c: Candidate, high: int, small: bool) -> bool | None:
             return True
         if c.quoted and small:
             return True
-        if _CJK.match(after):  # another script begins
+        if after > "\u10ff" and _CJK.match(after):  # another script begins
             return True
         return None
     if c.mark.strip(".…") == "":  # dots of omission
@@ -357,66 +379,96 @@ def sentences(text: str, model: Model) -> list[tuple[int, int]]:
 
 
 _COUNTED = ("stops", "final", "starts", "inside", "after")
+
+
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}#]+(?:[.'’][\p{L}\p{N}#]+)*")
 _AFTER_MARK = regex.compile(rf"([{regex.escape(MARKS)}]+)[{regex.escape(CLOSERS)}]*\s+[\s{regex.escape(_OPENERS)}]*({_WORDS.pattern})")
 
 
-def _count(text: str, counts: dict[str, list[int]]) -> None:
-    """Adds the types of a text: stops and final stops of tokens, words that start, go on, follow a stop."""
-    for low, high, whole in blocks(text):
-        if whole:
-            continue
-        block = _DIGITS.sub("#", text[low:high].strip())
-        tokens = block.split()
-        for i, token in enumerate(tokens):
-            if token[-1] == "." and token[-2:-1] != "." and (i or len(token) > 1):
-                row = counts.setdefault(_kind(_BEFORE.search(token, max(0, len(token) - 41), len(token) - 1)[0]), [0, 0, 0, 0, 0])
-                row[0] += 1
-                row[1] += i == len(tokens) - 1
-        words = _WORDS.findall(block)
-        for word, n in Counter(words).items():
-            counts.setdefault("^" + word[:24], [0, 0, 0, 0, 0])[3] += n
-        for mark, word in [("!", w) for w in words[:1]] + _AFTER_MARK.findall(block):
-            row = counts.setdefault("^" + word[:24], [0, 0, 0, 0, 0])
-            row[4 if mark.strip("!?؟") else 2] += 1
-            row[3] -= 1
+class _Counts:
+    """Counts of tokens with a stop (anywhere, at the end of a block) and of words (all, starting, after a stop)."""
+
+    def __init__(self) -> None:
+        self.stops, self.final, self.words, self.starts, self.after = (Counter() for _ in range(5))
+
+    def add(self, text: str) -> None:
+        for low, high, whole in blocks(text):
+            if whole:
+                continue
+            block = _DIGITS.sub("#", text[low:high].strip())
+            tokens = block.split()
+            stops = [t for t in tokens if t[-1] == "." and t[-2:-1] != "."]
+            if stops and stops[0] == "." and tokens[0] == ".":
+                del stops[0]
+            self.stops.update(stops)
+            if stops and tokens[-1] == stops[-1]:
+                self.final[stops[-1]] += 1
+            found = _WORDS.findall(block)
+            self.words.update(found)
+            self.starts.update(found[:1])
+            for mark, word in _AFTER_MARK.findall(block):
+                (self.after if mark.strip("!?؟") else self.starts)[word] += 1
+
+    def __len__(self) -> int:
+        return len(self.stops) + len(self.words)
+
+    def rows(self) -> dict[str, list[int]]:
+        """The counts by type, in the order of ``_COUNTED``."""
+        rows: dict[str, list[int]] = {}
+        for counter, at in ((self.stops, 0), (self.final, 1)):
+            for stop, n in counter.items():
+                rows.setdefault(_kind(_token_of(stop)), [0, 0, 0, 0, 0])[at] += n
+        for counter, at, inside in ((self.words, 3, 0), (self.starts, 2, 1), (self.after, 4, 1)):
+            for word, n in counter.items():
+                row = rows.setdefault("^" + _short(word), [0, 0, 0, 0, 0])
+                row[at] += n
+                row[3] -= inside * n
+        return rows
 
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(counts: dict[str, list[int]]) -> pa.RecordBatch:
-        rows = list(counts.items())
+    def flush(counts: _Counts) -> pa.RecordBatch:
+        rows = list(counts.rows().items())
         return pa.record_batch(
             [pa.array([k for k, _ in rows], pa.string()), *(pa.array([r[i] for _, r in rows], pa.int64()) for i in range(5))],
             names=["kind", *_COUNTED],
         )
 
-    counts: dict[str, list[int]] = {}
+    counts = _Counts()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                _count(text, counts)
+                counts.add(text)
         if len(counts) > 200_000:
             yield flush(counts)
-            counts = {}
-    if counts:
+            counts = _Counts()
+    if len(counts):
         yield flush(counts)
 
 
 def corpus_stats(documents: DataFrame, text: str, max_types: int = MAX_TYPES) -> Stats:
     """Statistics of all token types over all texts; of more than ``max_types`` types the rarer stay in a table."""
-    counted = (
+    counted = cut_lineage(
         documents.select(F.col(text))
         .mapInArrow(_count_task, "kind string, " + ", ".join(f"{c} long" for c in _COUNTED))
         .groupBy("kind")
         .agg(*[F.sum(c).alias(c) for c in _COUNTED])
         .filter("stops > 0 OR starts > 0 OR after > 0 OR inside > 1")  # the others say as much as none
     )
-    order = (F.desc(F.col("stops") + F.col("starts") + F.col("after")), F.desc("inside"), "kind")
-    rows = counted.orderBy(*order).limit(max_types + 1).collect()
-    if len(rows) <= max_types:
-        return Stats({r[0]: tuple(r[1:]) for r in rows})
-    counted = cut_lineage(counted)
-    return Stats({r[0]: tuple(r[1:]) for r in rows[:max_types]}, tuple(counted.agg(*[F.sum(c) for c in _COUNTED]).first()), counted)
+    level = F.floor(F.log2(F.col("stops") + F.col("starts") + F.col("after") + 1))
+    taken, least = 0, None
+    levels = {int(r[0]): int(r[1]) for r in counted.groupBy(level.alias("level")).count().collect()}  # at most one row for each power of two
+    for e in sorted(levels, reverse=True):
+        if taken + levels[e] > max_types:
+            break
+        taken, least = taken + levels[e], e
+    found = counted.filter(level >= least).collect() if least is not None else []
+    if taken < sum(levels.values()):  # any of the next level: what is left out is joined where it is asked for
+        found += counted.filter(level == max(e for e in levels if least is None or e < least)).limit(max_types - taken).collect()
+    rows = {r[0]: tuple(r[1:]) for r in found}
+    if len(rows) == sum(levels.values()):
+        return Stats(rows)
+    return Stats(rows, tuple(counted.agg(*[F.sum(c) for c in _COUNTED]).first()), counted)
 
 
 _RARE = "array<struct<" + ", ".join(["kind: string", *[f"{c}: bigint" for c in _COUNTED]]) + ">>"
@@ -546,8 +598,12 @@ def train(documents: DataFrame, identifier: str, text: str, stats: Stats, sample
                 names=["at", "label", "weight"],
             )
 
-    order = (F.xxhash64(identifier), identifier)
-    sample = documents.select(F.col(identifier), F.col(text)).orderBy(*order).limit(sample_documents)
+    number = F.xxhash64(identifier)
+    order = (number, identifier)
+    rows, total = documents.select(F.col(identifier), F.col(text)), documents.count()
+    if total > sample_documents:  # a bound on the hash leaves a few less than the sample may hold, so little is sorted
+        rows = rows.filter(number < int(-(1 << 63) + (0.95 * sample_documents / total) * (1 << 64)))
+    sample = rows.orderBy(*order).limit(sample_documents)
     sample = _with_rare(sample, text, _asked_in_training, stats)
     if stats.rest is not None:
         sample = sample.orderBy(*order).limit(sample_documents)  # the join lost the order
