@@ -386,43 +386,53 @@ _AFTER_MARK = regex.compile(rf"([{regex.escape(MARKS)}]+)[{regex.escape(CLOSERS)
 
 
 class _Counts:
-    """Counts of tokens with a stop (anywhere, at the end of a block) and of words (all, starting, after a stop)."""
+    """Counts of tokens with a stop (anywhere, at the end of a block) and of words (all, starting, after a stop).
+
+    Pieces between white space are counted as they are; their tokens and words are
+    looked for once for each distinct piece.
+    """
 
     def __init__(self) -> None:
-        self.stops, self.final, self.words, self.starts, self.after = (Counter() for _ in range(5))
+        self.pieces, self.final, self.starts, self.after = (Counter() for _ in range(4))
 
     def add(self, text: str) -> None:
         for low, high, whole in blocks(text):
             if whole:
                 continue
             block = _DIGITS.sub("#", text[low:high].strip())
-            tokens = block.split()
-            stops = [t for t in tokens if t[-1] == "." and t[-2:-1] != "."]
-            if stops and stops[0] == "." and tokens[0] == ".":
-                del stops[0]
-            self.stops.update(stops)
-            if stops and tokens[-1] == stops[-1]:
-                self.final[stops[-1]] += 1
-            found = _WORDS.findall(block)
-            self.words.update(found)
-            self.starts.update(found[:1])
+            pieces = block.split()
+            self.pieces.update(pieces)
+            if pieces[0] == ".":  # a lone stop at the start has no token
+                self.pieces["."] -= 1
+            if pieces[-1][-1] == "." and (len(pieces) > 1 or pieces[0] != "."):
+                self.final[pieces[-1]] += 1
+            if first := _WORDS.search(block):
+                self.starts[first[0]] += 1
             for mark, word in _AFTER_MARK.findall(block):
                 (self.after if mark.strip("!?؟") else self.starts)[word] += 1
 
     def __len__(self) -> int:
-        return len(self.stops) + len(self.words)
+        return len(self.pieces)
 
     def rows(self) -> dict[str, list[int]]:
         """The counts by type, in the order of ``_COUNTED``."""
         rows: dict[str, list[int]] = {}
-        for counter, at in ((self.stops, 0), (self.final, 1)):
-            for stop, n in counter.items():
-                rows.setdefault(_kind(_token_of(stop)), [0, 0, 0, 0, 0])[at] += n
-        for counter, at, inside in ((self.words, 3, 0), (self.starts, 2, 1), (self.after, 4, 1)):
+
+        def row(kind: str) -> list[int]:
+            return rows.setdefault(kind, [0, 0, 0, 0, 0])
+
+        for counter, at in ((self.pieces, 0), (self.final, 1)):
+            for piece, n in counter.items():
+                if n and piece[-1] == "." and piece[-2:-1] != ".":
+                    row(_kind(_token_of(piece)))[at] += n
+        for piece, n in self.pieces.items():
+            for word in _WORDS.findall(piece):
+                row("^" + _short(word))[3] += n
+        for counter, at in ((self.starts, 2), (self.after, 4)):
             for word, n in counter.items():
-                row = rows.setdefault("^" + _short(word), [0, 0, 0, 0, 0])
-                row[at] += n
-                row[3] -= inside * n
+                found = row("^" + _short(word))
+                found[at] += n
+                found[3] -= n
         return rows
 
 
@@ -593,6 +603,8 @@ def train(documents: DataFrame, identifier: str, text: str, stats: Stats, sample
                 if t:
                     known.rare = _rare(found)
                     got += [(_indices(f), float(y), w) for f, y, w in _labelled(t, known)]
+                if len(got) >= sample_places:  # the sample is in one partition, in order
+                    break
             yield pa.record_batch(
                 [pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())],
                 names=["at", "label", "weight"],
