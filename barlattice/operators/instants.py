@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import zoneinfo
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,15 +53,24 @@ FIRST_YEAR, LAST_YEAR = 1970, 2037
 _ALWAYS = (-(1 << 62), 1 << 62)
 
 
+def _rules(name: str) -> bytes:
+    """The content of a zone's file: zones that are links to each other have the same."""
+    for folder in zoneinfo.TZPATH:
+        path = Path(folder, name)
+        if path.is_file():
+            return path.read_bytes()
+    return name.encode()
+
+
 def _uses(name: str) -> list[tuple[str, int, int, int]]:
     """(abbreviation, offset, from, until) in s of the clock of a zone, in order of time; numeric names left out."""
-    zone, utc = zoneinfo.ZoneInfo(name), dt.timezone.utc
+    zone = zoneinfo.ZoneInfo(name)
 
-    def at(s: int) -> tuple[str, int]:
-        t = dt.datetime.fromtimestamp(s, utc).astimezone(zone)
-        return (t.tzname() or "").upper(), int(t.utcoffset().total_seconds())
+    def at(s: int) -> tuple[str, dt.timedelta]:
+        t = dt.datetime.fromtimestamp(s, zone)
+        return t.tzname(), t.utcoffset()
 
-    months = [int(dt.datetime(y, m, 1, tzinfo=utc).timestamp()) for y in range(FIRST_YEAR, LAST_YEAR + 1) for m in range(1, 13)]
+    months = [int(dt.datetime(y, m, 1, tzinfo=dt.timezone.utc).timestamp()) for y in range(FIRST_YEAR, LAST_YEAR + 1) for m in range(1, 13)]
     since, now = months[0], at(months[0])
     uses = []
     for a, b in zip(months, months[1:]):
@@ -72,7 +82,7 @@ def _uses(name: str) -> list[tuple[str, int, int, int]]:
             uses.append((*now, since, b))
             since, now = b, new
     uses.append((*now, since, months[-1]))
-    return [u for u in uses if u[0][:1].isalpha()]
+    return [(label.upper(), int(offset.total_seconds()), a, b) for label, offset, a, b in uses if label[:1].isalpha()]
 
 
 @lru_cache(maxsize=1)
@@ -85,10 +95,12 @@ def abbreviations() -> tuple[tuple[str, str, int, int, int, int | None], ...]:
     later offset too.  Bounded by the time zone database: a few thousand rows,
     whatever the data.
     """
-    rows = []
+    rows, known = [], {}
     for name in known_zones():
         named: dict[str, list[tuple[int, int, int]]] = {}
-        for label, offset, start, end in _uses(name):
+        rules = _rules(name)
+        known[rules] = known.get(rules) or _uses(name)
+        for label, offset, start, end in known[rules]:
             runs = named.setdefault(label, [])
             if runs and runs[-1][0] == offset:
                 runs[-1] = (offset, runs[-1][1], end)
