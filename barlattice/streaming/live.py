@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barlattice.operators import books
+
 BAR = "universe_id string, symbol string, t long, open double, high double, low double, close double, volume double"
 
 
@@ -76,6 +78,33 @@ def live_positions(stream: DataFrame, enter: float = 0.5, leave: float = 0.2, hi
     )
 
 
+def live_books(stream: DataFrame, filters: DataFrame, **options: float) -> DataFrame:
+    """The books of each universe (strategy and baselines) after each of its bars, kept in the state store.
+
+    ``stream`` has the columns of a bar and ``asset_count``; ``filters`` is a small dimension.
+    One state for all books of a universe: none can fall behind another.  After a stop
+    the query goes on from its checkpoint; bars that come again change nothing.  Equal
+    to ``books.replayed`` over the same bars.
+    """
+    columns = ["universe_id", "symbol", "t", "high", "low", "close", "volume", "asset_count", *books.LOTS]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = books.Books(state.get[0] if state.exists else None, **options)
+        rows = held.take(pd.concat(list(frames)))
+        state.update((held.dump(),))
+        yield books.frame(key[0], rows)
+
+    return books.with_lots(stream, filters).select(*columns).groupBy("universe_id").applyInPandasWithState(step, books.BOOK_SCHEMA, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def health(bars: DataFrame, now_ms: int, failures: int = 0, stale_ms: int = 3 * 3_600_000, critical: int = 5) -> dict:
+    """One small report of the feed: series, newest bar, its age, and ``status`` (``unreachable``, ``critical``, ``stale`` or ``healthy``)."""
+    row = bars.agg(F.max("t").alias("t"), F.countDistinct("universe_id", "symbol").alias("n")).first()
+    age = None if row.t is None else now_ms - row.t
+    status = "critical" if failures >= critical else "unreachable" if failures or age is None else "stale" if age > stale_ms else "healthy"
+    return {"series": row.n, "newest": row.t, "age_ms": age, "failures": failures, "status": status}
+
+
 def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
     """Processes what there is and stops; a restart goes on from the checkpoint without repeating rows."""
     stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
