@@ -112,6 +112,16 @@ def ambiguous_labels(universes: DataFrame) -> DataFrame:
     return universes.groupBy("universe_id").agg(F.countDistinct(F.array_sort("assets")).alias("sets")).filter("sets > 1")
 
 
+def assets_of(universes: DataFrame, label: str) -> list[str]:
+    """The assets of a label of the catalogs, sorted; raises where it stands for none or for more than one set."""
+    sets = [r[0] for r in universes.filter(F.col("universe_id") == label).select(F.array_sort(F.array_distinct("assets"))).distinct().limit(2).collect()]
+    if not sets:
+        raise KeyError(label)
+    if len(sets) > 1:
+        raise ValueError(f"{label} stands for more than one set of assets")
+    return list(sets[0])
+
+
 def whole(value: Column, digits: int) -> Column:
     """Value rounded by the same floating-point steps as ``floor(x * 1e<d> + 0.5) / 1e<d>`` in SQL."""
     scale = float(10**digits)

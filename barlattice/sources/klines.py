@@ -66,6 +66,47 @@ def read_kline_zips(spark: SparkSession, pattern: str, symbol: Column | None = N
     )
 
 
+#: Columns that a kline archive must have.
+REQUIRED = ("open_time", "open", "high", "low", "close", "volume")
+
+
+def _first_member(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of the first CSV member of zipped files by its header (or by position without one); a missing column raises."""
+    for files in frames:
+        for path, content in zip(files["path"], files["content"]):
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                names = [n for n in archive.namelist() if n.endswith(".csv")]
+                if not names:
+                    raise FileNotFoundError(f"{path} holds no CSV")
+                with archive.open(names[0]) as f:
+                    headed = b"open" in f.readline().lower()
+                with archive.open(names[0]) as f:
+                    for part in pd.read_csv(f, header=0 if headed else None, names=None if headed else list(KLINE), dtype=str, chunksize=100_000):
+                        part = part.rename(columns=lambda c: str(c).strip().lower())
+                        if missing := [c for c in REQUIRED if c not in part]:
+                            raise KeyError(f"{path} lacks {', '.join(missing)}")
+                        yield part.assign(file=path)[["file", *REQUIRED]]
+
+
+def read_required_columns(spark: SparkSession, pattern: str, strict: bool = False) -> DataFrame:
+    """Zipped klines by the names in their header: ``file`` and the required columns, one row for each ``open_time`` of a file.
+
+    Only the first CSV member of an archive is read; an archive without one, or without
+    a required column, raises.  Values that do not parse are null, or raise if
+    ``strict``; a row without ``open_time`` does not come out.  Of rows with equal times
+    the smallest stays.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(pattern).select("path", "content")
+    raw = files.mapInPandas(_first_member, "file string, " + ", ".join(f"{c} string" for c in REQUIRED))
+
+    def typed(c: str, kind: str) -> Column:
+        return F.col(c).cast(kind) if strict else F.col(c).try_cast(kind)
+
+    rows = raw.select("file", epoch_ms(typed("open_time", "long")).alias("open_time"), *[typed(c, "double").alias(c) for c in REQUIRED[1:]])
+    values = F.struct(*REQUIRED[1:])
+    return rows.filter("open_time IS NOT NULL").groupBy("file", "open_time").agg(F.min(values).alias("__v")).select("file", "open_time", "__v.*")
+
+
 def verify_checksums(spark: SparkSession, pattern: str, manifest: DataFrame) -> DataFrame:
     """``name``, ``ok`` of each file against a manifest (``name``, ``sha256``): computed where the files are read."""
     files = spark.read.format("binaryFile").load(pattern).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
