@@ -45,15 +45,13 @@ def peer_indices(rows: DataFrame) -> DataFrame:
     first = F.first("close").over(along(*SERIES).rowsBetween(Window.unboundedPreceding, 0))
     now = Window.partitionBy("universe_id", "t")
     rows = rows.withColumn("level", F.col("close") / F.greatest(F.lit(1e-12), first))
-    rows = rows.withColumn("__all", F.collect_list(F.struct("symbol", "level")).over(now))
-    others = F.transform(F.filter("__all", lambda x: x["symbol"] != F.col("symbol")), lambda x: x["level"])
-    n = F.size("__others")
-    zero = F.lit(0.0)
-    total = F.aggregate("__others", zero, lambda a, x: a + x)
-    rows = rows.withColumn("__others", others).withColumn("market", F.avg("level").over(now))
-    rows = rows.withColumn("peer", F.when(n == 0, F.col("level")).otherwise(total / F.greatest(n, F.lit(1))))
-    squares = F.aggregate("__others", zero, lambda a, x: a + (x - F.col("peer")) * (x - F.col("peer")))
-    return rows.withColumn("dispersion", F.when(n == 0, zero).otherwise(F.sqrt(squares / F.greatest(n, F.lit(1))))).drop("__all", "__others")
+    rows = rows.withColumns({"market": F.avg("level").over(now), "__n": F.count(F.lit(1)).over(now) - 1})
+    # sums over all, less the own: offsets from the mean keep small differences of large levels
+    off, n = F.col("level") - F.col("market"), F.greatest("__n", F.lit(1))
+    rows = rows.withColumn("__squares", F.sum(off * off).over(now))
+    peer = F.when(F.col("__n") == 0, F.col("level")).otherwise(F.col("market") - off / n)
+    spread = F.greatest(F.lit(0.0), F.col("__squares") - off * off - off * off / n) / n
+    return rows.withColumns({"peer": peer, "dispersion": F.when(F.col("__n") <= 1, 0.0).otherwise(F.sqrt(spread))}).drop("__n", "__squares")
 
 
 def momentum(rows: DataFrame, bars: int = 24) -> DataFrame:
@@ -91,14 +89,19 @@ def trailing_volatility(rows: DataFrame, bars: int = 24) -> DataFrame:
 def friction_ratios(rows: DataFrame, window: int = 720, least: int = 48) -> DataFrame:
     """``vol_ratio`` and ``spread_ratio``: against their own trailing mean (this bar included); 1 before ``least`` bars.
 
-    Needs ``ret``; adds ``vol`` and ``spread``.
+    Needs ``ret``; adds ``vol`` and ``spread``.  A window's mean is the difference of two
+    prefix sums, so a row costs the same for any ``window``.
     """
     rows = trailing_volatility(shape_ratios(rows))
+    series = along(*SERIES)
+    so_far = series.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__k": _number(), "__vol": F.sum("vol").over(so_far), "__spread": F.sum("spread").over(so_far)})
     fields = {}
     for name, source in (("vol_ratio", "vol"), ("spread_ratio", "spread")):
-        base = F.greatest(F.avg(source).over(_rows(window - 1)), F.lit(1e-6))
-        fields[name] = F.when(_number() < least, F.lit(1.0)).otherwise(F.col(source) / base)
-    return rows.withColumns(fields)
+        prefix = F.col(f"__{source}")
+        mean = (prefix - F.coalesce(F.lag(prefix, window).over(series), F.lit(0.0))) / F.least("__k", F.lit(window))
+        fields[name] = F.when(F.col("__k") < least, F.lit(1.0)).otherwise(F.col(source) / F.greatest(mean, F.lit(1e-6)))
+    return rows.withColumns(fields).drop("__k", "__vol", "__spread")
 
 
 def whole_sample_ratios(rows: DataFrame) -> DataFrame:

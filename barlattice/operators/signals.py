@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import deque
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,20 +30,39 @@ def adaptive_hysteresis(rows: DataFrame, enter_pct: float = 95, leave_pct: float
     """Hysteresis at percentiles of the factor's size over the ``window`` bars before (this bar excluded).
 
     Inclusive, entry first; holds until ``least`` bars are known; the first bar is flat.
+    Null and NaN factors are no bars of the past and hold.  A window function would
+    sort each window anew; here a series goes by once, with its window kept sorted.
     """
-    past = along(*SERIES).rowsBetween(-window, -1)
-    x = F.abs("factor")
-    rows = rows.withColumns(
-        {
-            "__n": F.count(x).over(past),
-            "__enter": F.percentile(x, F.lit(enter_pct / 100)).over(past),
-            "__leave": F.percentile(x, F.lit(leave_pct / 100)).over(past),
-        }
-    )
-    known = F.col("__n") >= least
-    first = F.row_number().over(along(*SERIES)) == 1
-    decision = F.when(first, 0.0).when(known & (x >= F.col("__enter")), F.signum("factor") * size).when(known & (x <= F.col("__leave")), 0.0)
-    return rows.withColumn("__d", decision).withColumn("position", _held(F.col("__d"))).drop("__d", "__n", "__enter", "__leave")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable").reset_index(drop=True)
+        factor = pdf["factor"].to_numpy(float)
+        past, ordered, held = deque(), [], 0.0
+        position = np.zeros(len(pdf))
+        for i, (v, x) in enumerate(zip(factor.tolist(), np.abs(factor).tolist())):
+            if i and x == x and len(ordered) >= max(1, least):
+                if x >= _percentile(ordered, enter_pct):
+                    held = size * ((v > 0) - (v < 0))
+                elif x <= _percentile(ordered, leave_pct):
+                    held = 0.0
+            position[i] = held
+            past.append(x)
+            if x == x:
+                bisect.insort(ordered, x)
+            if len(past) > window and (old := past.popleft()) == old:
+                del ordered[bisect.bisect_left(ordered, old)]
+        return pdf.assign(position=position)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "position")
+    return rows.drop("position").groupBy(*SERIES).applyInPandas(one, f"{fields}, position double")
+
+
+def _percentile(ordered: list[float], percent: float) -> float:
+    """Linear between the two nearest of some sorted values."""
+    at = (len(ordered) - 1) * percent / 100
+    low = int(at)
+    a, b = ordered[low], ordered[min(low + 1, len(ordered) - 1)]
+    return a + (b - a) * (at - low)
 
 
 def target_weights(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -81,3 +105,16 @@ def reversion_state(rows: DataFrame, look_back: int = 480, enter: float = -2.0,
     rows = rows.withColumn("z", F.when(known, z))
     decision = F.when(F.col("z") <= enter, 1.0).when(F.col("z") >= leave, 0.0)
     return rows.withColumn("__d", decision).withColumn("position", _held(F.col("__d"))).drop("__d")
+
+
+def reversion_weights(rows: DataFrame) -> DataFrame:
+    """``weight`` of reversion positions: each active asset has a share of 1/active, scaled by 1/assets."""
+    now = Window.partitionBy("universe_id", "t")
+    active, n = F.sum("position").over(now), F.count(F.lit(1)).over(now)
+    share = F.when(active > 0, F.col("position") / F.when(active > 0, active) * F.col("position") / n).otherwise(0.0)
+    return rows.withColumn("weight", share)
+
+
+def held_weights(rows: DataFrame) -> DataFrame:
+    """``weight`` of buy and hold: the same share of each asset at every bar."""
+    return rows.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("universe_id", "t")))
