@@ -41,6 +41,68 @@ def deflated_sharpe(sharpe: float, n: int, skew: float, kurtosis: float, trials:
     return probabilistic_sharpe(sharpe, expected_max_sharpe(trials, deviation), n, skew, kurtosis)
 
 
+#: How the spread of the trials' ratios is known.
+VARIANCES = ("empirical", "null", "fixed")
+
+
+def deflated_sharpe_by(
+    method: str | None, sharpe: float, n: int, skew: float, kurtosis: float, trials: float, ratios: Sequence[float] = (), deviation: float | None = None, benchmark: float = 0.0
+) -> dict[str, float | str]:
+    """Deflated Sharpe ratio with the trials' deviation by ``method``.
+
+    ``empirical``: sample deviation of the trials' own ``ratios`` (at least two; the number
+    of trials is then at least theirs); ``null``: 1 / sqrt(n - 1); ``fixed``: the given
+    ``deviation``.  Without a method the first of empirical, fixed and null that can be
+    had.  Result: ``dsr``, ``psr``, ``trials``, ``deviation``, ``expected_max``, ``z`` and ``method``.
+    """
+    if n < 2 or trials < 1:
+        raise ValueError("at least two returns and one trial are needed")
+    if method is None:
+        method = "empirical" if len(ratios) >= 2 else "null" if deviation is None else "fixed"
+    if method == "empirical":
+        if len(ratios) < 2:
+            raise ValueError("the ratios of at least two trials are needed")
+        spread, trials = float(np.std(np.asarray(ratios, float), ddof=1)), max(trials, len(ratios))
+    elif method == "null":
+        spread = 1 / math.sqrt(n - 1)
+    elif method == "fixed":
+        if deviation is None:
+            raise ValueError("a deviation is needed")
+        spread = deviation
+    else:
+        raise ValueError(f"the method is one of {', '.join(VARIANCES)}")
+    best = expected_max_sharpe(trials, spread, benchmark)
+    error = math.sqrt(max(1e-12, 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) / (n - 1))
+    z = (sharpe - best) / error
+    return {"dsr": _NORMAL.cdf(z), "psr": _NORMAL.cdf((sharpe - benchmark) / error), "trials": float(trials), "deviation": spread, "expected_max": best, "z": z, "method": method}
+
+
+def effective_trials(matrix: np.ndarray, estimator: str = "cluster", threshold: float = 0.95) -> float:
+    """Effective number of the trials that a correlation matrix compares: by ``cluster`` count, ``rho_avg`` or ``rank``."""
+    c = np.nan_to_num(np.asarray(matrix, float))
+    k = len(c)
+    if k <= 1:
+        return float(k)
+    if estimator == "cluster":
+        return float(cluster_count(c, threshold))
+    if estimator == "rank":
+        return effective_rank(c)
+    if estimator == "rho_avg":
+        mean = min(0.999, max(0.0, float(c[np.triu_indices(k, 1)].mean())))
+        return min(float(k), max(1.0, k / (1 + (k - 1) * mean)))
+    raise ValueError(f"unknown estimator {estimator}")
+
+
+def drawdown_by(convention: str, returns: Sequence[float]) -> float:
+    """Largest drawdown by the ``nav`` (compounded) or the ``cumsum`` convention (of summed returns, from their first value)."""
+    if convention == "nav":
+        return max_drawdown(returns)
+    if convention != "cumsum":
+        raise ValueError(f"unknown convention {convention}")
+    path = np.cumsum(np.asarray(returns, float))
+    return float((path - np.maximum.accumulate(path)).min()) if len(path) else 0.0
+
+
 def effective_rank(matrix: np.ndarray) -> float:
     """k squared over the sum of squared correlations; NaN counts as 0; within 1 to k."""
     c = np.nan_to_num(np.asarray(matrix, float))

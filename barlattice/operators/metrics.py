@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +71,14 @@ def backtest_sharpe(returns: DataFrame, key: str, column: str = "net", floor: fl
 def _path(returns: DataFrame, key: str, column: str, scale: float):
     w = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     r = F.col(column) * scale
-    return returns.select(key, "t", r.alias("__r"), F.sum(r).over(w).alias("__cum"), F.greatest(F.exp(F.sum(F.ln(F.greatest(1 + r, F.lit(1e-12)))).over(w)), F.lit(1e-12)).alias("__eq")), w
+    return returns.select(key, "t", r.alias("__r"), F.sum(r).over(w).alias("__cum"), F.greatest(F.product(1 + r).over(w), F.lit(1e-12)).alias("__eq")), w
 
 
 def drawdowns(returns: DataFrame, key: str, column: str = "net", scale: float = 1.0) -> DataFrame:
     """Per key: ``nav_dd`` (compounded, peak from 1), ``cum_dd`` (cumulative sum, peak from its first value), ``cagr``, ``calmar``.
 
-    A return of -1 or less leaves an equity of 1e-12.  CAGR is geometric; Calmar is
-    0 without a drawdown.
+    Equity is the product of all 1 + r, at least 1e-12: an account that is wiped out
+    stays so.  CAGR is geometric; Calmar is 0 without a drawdown.
     """
     rows, w = _path(returns, key, column, scale)
     rows = rows.withColumns({"__peak": F.greatest(F.lit(1.0), F.max("__eq").over(w)), "__cpeak": F.max("__cum").over(w)})
@@ -88,7 +90,7 @@ def drawdowns(returns: DataFrame, key: str, column: str = "net", scale: float =
     )
     cagr = F.pow("equity", HOURS_A_YEAR / F.col("n")) - 1
     fell = F.abs("nav_dd") > 1e-12
-    return per.select(key, "n", "nav_dd", "cum_dd", "equity", F.when(fell, cagr / F.when(fell, F.abs("nav_dd"))).otherwise(0.0).alias("calmar"))
+    return per.select(key, "n", "nav_dd", "cum_dd", "equity", cagr.alias("cagr"), F.when(fell, cagr / F.when(fell, F.abs("nav_dd"))).otherwise(0.0).alias("calmar"))
 
 
 def turnover_summary(returns: DataFrame, key: str) -> DataFrame:
@@ -113,6 +115,16 @@ def cost_curve(returns: DataFrame, key: str, grid: tuple[float, ...] = FEE_GRID)
     return rows.withColumn("sharpe_ann", F.when(moving, F.col("mean") / F.when(moving, F.col("sd")) * F.sqrt(F.lit(float(HOURS_A_YEAR)))).otherwise(0.0))
 
 
+def cost_curve_by(run: Callable[[float], DataFrame], key: str, column: str = "net", grid: tuple[float, ...] = FEE_GRID) -> DataFrame:
+    """The same curve for a simulation that must be run anew for each fee: ``run`` gives the returns at a fee rate."""
+    curve = None
+    for fee in grid:
+        rows = run(fee / 10_000).groupBy(key).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd")).withColumn("fee_bps", F.lit(float(fee)))
+        curve = rows if curve is None else curve.unionByName(rows)
+    moving = F.col("sd") > 1e-12
+    return curve.withColumn("sharpe_ann", F.when(moving, F.col("mean") / F.when(moving, F.col("sd")) * F.sqrt(F.lit(float(HOURS_A_YEAR)))).otherwise(0.0))
+
+
 def breakeven(curve: DataFrame, key: str) -> DataFrame:
     """``breakeven_bps``: where the Sharpe of a cost curve reaches 0; ``decay``: size of its slope for 10 bps; survival at 10 and 25.
 
@@ -166,31 +178,73 @@ def daily_snapshots(returns: DataFrame, key: str, every: int = 24, column: str =
     return rows.filter(F.pmod("bar", F.lit(every)) == 0).select(key, (F.col("bar") / every).cast("int").alias("day"), "cum", "sharpe", "drawdown", "turnover_sum", "trade_count")
 
 
-def pair_correlations(returns: DataFrame, key: str, column: str = "net") -> DataFrame:
-    """Correlation of every two keys over their common ``t`` (a before b); constant series do not take part.
+def strategy_snapshots(simulated: DataFrame, names: dict[str, str], capital: float, every: int = 24) -> DataFrame:
+    """Every ``every`` bars of a universe: ``<name>_nav``, ``_sharpe`` (expanding, population deviation + 1e-8), ``_drawdown``
+    (of the summed returns) and ``_trades`` of each strategy side by side, and the excess of the first over the second."""
+    w = Window.partitionBy("universe_id", "strategy").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = simulated.withColumn("__cum", F.sum("net").over(w)).withColumn("__dd", F.col("__cum") - F.max("__cum").over(w))
+    rows = rows.withColumns(
+        {
+            "drawdown": F.min("__dd").over(w),
+            "sharpe": F.avg("net").over(w) / (F.stddev_pop("net").over(w) + 1e-8) * F.sqrt(F.lit(float(HOURS_A_YEAR))),
+            "trades": F.sum(F.col("traded").cast("long")).over(w),
+        }
+    ).filter(F.pmod("bar", F.lit(every)) == 0)
+    fields = [F.max(F.when(F.col("strategy") == n, F.col(c))).alias(f"{short}_{c}") for n, short in names.items() for c in ("nav", "sharpe", "drawdown", "trades")]
+    first, second = [*names.values()][:2]
+    per = rows.groupBy("universe_id", (F.col("bar") / every).cast("int").alias("day")).agg(*fields)
+    return per.withColumn(f"excess_vs_{second}", (F.col(f"{first}_nav") - F.col(f"{second}_nav")) / capital)
+
+
+def weekly(snapshots: DataFrame, key: str, weeks: int = 13) -> DataFrame:
+    """``week`` 1 to ``weeks`` of each key with the snapshot of day 7 * week, or of the last day if that comes before."""
+    last = snapshots.groupBy(key).agg(F.max("day").alias("__last"))
+    wanted = last.select(key, F.explode(F.sequence(F.lit(1), F.lit(weeks))).alias("week"), "__last").select(key, "week", F.least(F.col("week") * 7, F.col("__last")).alias("day"))
+    return wanted.join(snapshots, [key, "day"])
 
-    The pairs are the result: for strategies or assets, of which there are few.
+
+def nav_sharpe(values: DataFrame, key: str, nav: str, periods: int = HOURS_A_YEAR) -> DataFrame:
+    """Annualised Sharpe ratio of the changes of a value (population deviation, 0 where it does not move), as dashboards show it."""
+    w = Window.partitionBy(key).orderBy("t")
+    change = F.col(nav) / F.lag(nav).over(w) - 1
+    per = values.select(key, change.alias("__r")).groupBy(key).agg(F.avg("__r").alias("m"), F.stddev_pop("__r").alias("s"))
+    moving = F.col("s") > 0
+    return per.select(key, F.when(moving, F.col("m") / F.when(moving, F.col("s")) * F.sqrt(F.lit(float(periods)))).otherwise(0.0).alias("sharpe"))
+
+
+def pair_correlations(returns: DataFrame, within: str, key: str, column: str = "net") -> DataFrame:
+    """Correlation of every two keys of the same ``within`` over their common ``t`` (a before b); 0 if one is constant.
+
+    The pairs are the result: of the strategies or assets of a universe, of which there are few.
     """
-    moving = returns.groupBy(key).agg(F.stddev_pop(column).alias("__sd")).filter("__sd > 1e-12").select(key)
-    rows = returns.join(moving, key, "left_semi").select(F.col(key), "t", F.col(column).alias("r"))
+    rows = returns.select(F.col(within), F.col(key).alias("key"), "t", F.col(column).alias("r"))
     a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    pairs = a.join(b, (F.col(f"a.{within}") == F.col(f"b.{within}")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.key") < F.col("b.key")))
     x, y = F.col("a.r"), F.col("b.r")
-    sums = pairs.groupBy(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).agg(
+    sums = pairs.groupBy(F.col(f"a.{within}").alias(within), F.col("a.key").alias("a"), F.col("b.key").alias("b")).agg(
         F.count(F.lit(1)).alias("overlap"), F.covar_pop(x, y).alias("__c"), F.stddev_pop(x).alias("__x"), F.stddev_pop(y).alias("__y")
     )
     usable = (F.col("__x") > 1e-12) & (F.col("__y") > 1e-12)
     rho = F.when(usable, F.col("__c") / F.when(usable, F.col("__x") * F.col("__y"))).otherwise(0.0)
-    return sums.select("a", "b", "overlap", rho.alias("rho"))
+    return sums.select(within, "a", "b", "overlap", rho.alias("rho"))
+
 
+def duplicates(pairs: DataFrame, rho: float = 0.999, overlap: int = 100) -> DataFrame:
+    """Adds ``duplicate``: more than ``overlap`` common returns that correlate at ``rho`` or more."""
+    return pairs.withColumn("duplicate", (F.col("rho") >= rho) & (F.col("overlap") > overlap))
 
-def effective_trials(pairs: DataFrame, trials: int) -> DataFrame:
-    """Effective number of trials by mean correlation and by rank: k/(1+(k-1)rho) and k^2/sum of squares, within 1 to k."""
-    k = float(trials)
-    mean = F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.coalesce(F.avg("rho"), F.lit(0.0))))
-    squares = k + 2 * F.coalesce(F.sum(F.col("rho") * F.col("rho")), F.lit(0.0))
-    bounded = lambda x: F.least(F.lit(k), F.greatest(F.lit(1.0), x))
-    return pairs.agg(bounded(k / (1 + (k - 1) * mean)).alias("k_mean"), bounded(k * k / squares).alias("k_rank"))
+
+def effective_trials(pairs: DataFrame, series: DataFrame) -> DataFrame:
+    """Effective number of trials by mean correlation and by rank: k/(1+(k-1)rho) and k^2/sum of squares, within 1 to k.
+
+    k is the number of rows of ``series``; it is counted in the same aggregation.
+    """
+    both = pairs.select("rho", F.lit(0).alias("__one")).unionByName(series.select(F.lit(None).cast("double").alias("rho"), F.lit(1).alias("__one")))
+    sums = both.agg(F.avg("rho").alias("__m"), F.sum(F.col("rho") * F.col("rho")).alias("__q"), F.sum("__one").cast("double").alias("__k"))
+    k = F.col("__k")
+    mean = F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.coalesce("__m", F.lit(0.0))))
+    bounded = lambda x: F.least(k, F.greatest(F.lit(1.0), x))
+    return sums.select(bounded(k / (1 + (k - 1) * mean)).alias("k_mean"), bounded(k * k / (k + 2 * F.coalesce("__q", F.lit(0.0)))).alias("k_rank"))
 
 
 def effective_trials_by(pairs: DataFrame, series: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BAR_SCHEMA = "universe_id string, symbol string, t long, open double, high double, low double, close double, volume double"
+#: Volumes that follow the bars if they are there.
+VOLUMES = ("volume", "quote_volume", "taker_buy_volume")
 
 
 def block_indices(n: int, length: float, rng: np.random.Generator) -> np.ndarray:
@@ -27,12 +29,21 @@ def _seed(seed: int, *names: str) -> np.random.Generator:
     return np.random.default_rng([seed, *(zlib.crc32(x.encode()) for x in names)])
 
 
-def _rebuilt(pdf: pd.DataFrame, log_returns: np.ndarray, volume: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+def _resampled(rows: DataFrame, one) -> DataFrame:
+    """``one`` on each series, with the columns of a bar and the volumes that there are."""
+    more = [c for c in VOLUMES[1:] if c in rows.columns]
+    schema = BAR_SCHEMA + "".join(f", {c} double" for c in more)
+    return rows.select(*[c.split()[0] for c in schema.split(", ")]).groupBy("universe_id", "symbol").applyInPandas(one, schema)
+
+
+def _rebuilt(pdf: pd.DataFrame, log_returns: np.ndarray, traded: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+    """Bars of new returns: shapes of the bars ``at``, volumes of the bars ``traded``; the first close stays."""
+    log_returns[0] = 0.0
     close = float(pdf["close"].iloc[0]) * np.exp(np.cumsum(log_returns))
     base = np.maximum(1e-8, pdf["close"].to_numpy())
     out = {"universe_id": pdf["universe_id"].to_numpy(), "symbol": pdf["symbol"].to_numpy(), "t": pdf["t"].to_numpy()}
     out |= {c: close * (pdf[c].to_numpy() / base)[at] for c in ("open", "high", "low")}
-    return pd.DataFrame(out | {"close": close, "volume": volume})
+    return pd.DataFrame(out | {"close": close} | {c: pdf[c].to_numpy()[traded] for c in VOLUMES if c in pdf})
 
 
 def block_bootstrap(rows: DataFrame, length: float = 48.0, seed: int = 0) -> DataFrame:
@@ -42,11 +53,9 @@ def block_bootstrap(rows: DataFrame, length: float = 48.0, seed: int = 0) -> Dat
         pdf = pdf.sort_values("t", kind="stable").reset_index(drop=True)
         r = np.diff(np.log(pdf["close"].to_numpy()), prepend=np.log(pdf["close"].iloc[0]))
         at = block_indices(len(pdf), length, _seed(seed, pdf["universe_id"].iloc[0], pdf["symbol"].iloc[0]))
-        new = r[at]
-        new[0] = 0.0
-        return _rebuilt(pdf, new, pdf["volume"].to_numpy()[at], at)[[c.split()[0] for c in BAR_SCHEMA.split(", ")]]
+        return _rebuilt(pdf, r[at], at, at)
 
-    return rows.select("universe_id", "symbol", "t", "open", "high", "low", "close", "volume").groupBy("universe_id", "symbol").applyInPandas(one, BAR_SCHEMA)
+    return _resampled(rows, one)
 
 
 def phase_randomised(rows: DataFrame, iterations: int = 100, seed: int = 0) -> DataFrame:
@@ -72,9 +81,34 @@ def phase_randomised(rows: DataFrame, iterations: int = 100, seed: int = 0) -> D
                 break
             x = y
         new = ordered[np.argsort(np.argsort(x, kind="stable"), kind="stable")]
-        return _rebuilt(pdf, new, rng.permutation(pdf["volume"].to_numpy()), np.arange(n))[[c.split()[0] for c in BAR_SCHEMA.split(", ")]]
+        return _rebuilt(pdf, new, rng.permutation(n), np.arange(n))
+
+    return _resampled(rows, one)
 
-    return rows.select("universe_id", "symbol", "t", "open", "high", "low", "close", "volume").groupBy("universe_id", "symbol").applyInPandas(one, BAR_SCHEMA)
+
+def blinded_markets(rows: DataFrame, bootstrapped: int = 6, length: float = 48.0, iterations: int = 100, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(bars under blind labels, key): every real universe and a null market made from it.
+
+    The first ``bootstrapped`` universes (by name) have a block bootstrap, the others a
+    phase-randomised surrogate.  Labels ``UNIV_01`` ... are a seeded permutation of all
+    of them.  The key (``label``, ``kind``, ``parent``, ``method``) has two rows for each
+    universe and is kept apart from the bars, which carry nothing but their label.
+    """
+    import random
+
+    spark = rows.sparkSession
+    names = sorted(r[0] for r in rows.select("universe_id").distinct().collect())  # a study's universes: a catalog
+    kinds = [("REAL", u, "") for u in names] + [("NULL", u, "bootstrap" if i < bootstrapped else "phase") for i, u in enumerate(names)]
+    random.Random(seed).shuffle(kinds)
+    width = max(2, len(str(len(kinds))))
+    key = spark.createDataFrame([(f"UNIV_{i:0{width}d}", *k) for i, k in enumerate(kinds, 1)], "label string, kind string, parent string, method string")
+    base = _resampled(rows, lambda pdf: pdf)
+    boot, phase = block_bootstrap(rows, length, seed), phase_randomised(rows, iterations, seed)
+    made = base.withColumns({"kind": F.lit("REAL"), "method": F.lit("")})
+    for null, method in ((boot, "bootstrap"), (phase, "phase")):
+        made = made.unionByName(null.withColumns({"kind": F.lit("NULL"), "method": F.lit(method)}))
+    named = made.join(key.withColumnRenamed("parent", "universe_id"), ["universe_id", "kind", "method"])
+    return named.select(F.col("label").alias("universe_id"), *[c for c in base.columns if c != "universe_id"]), key
 
 
 def resampled_panel(rows: DataFrame, value: str, length: float = 48.0, seed: int = 0) -> DataFrame:

@@ -6,18 +6,23 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.operators.align import SERIES, along
 
 
-def matching(rows: DataFrame, text: str, *columns: str) -> DataFrame:
-    """Rows in which one of ``columns`` contains ``text``, whatever the letter case; nulls contain nothing."""
+def mentions(text: str, *columns: str) -> Column:
+    """Whether one of ``columns`` contains ``text``, whatever the letter case; nulls contain nothing."""
     hit = F.lit(False)
     for c in columns:
         hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(text.lower())), F.lit(False))
-    return rows.filter(hit)
+    return hit
+
+
+def newest(rows: DataFrame, order: str, tie: str, n: int = 200) -> DataFrame:
+    """The ``n`` newest rows, newest first: a report's list."""
+    return rows.orderBy(F.desc(order), F.desc(tie)).limit(n)
 
 
 def latest(rows: DataFrame, key: str, order: str, tie: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlattice.operators import align, ledger, metrics, nulls, portfolio, states
@@ -41,8 +41,7 @@ def closed_bars(spark, d):
 )
 def trade_log(spark, d):
     rows = table(spark, d, "tickets", "delivery_id", "symbol", "side", "run_id", "batch_id")
-    found = states.matching(rows, "qor", "symbol", "run_id").unionByName(states.matching(rows, "0007", "batch_id"))
-    return found.filter("side = 'SELL'").select("delivery_id").distinct()
+    return rows.filter((F.col("side") == "SELL") & (states.mentions("qor", "symbol", "run_id") | states.mentions("0007", "batch_id"))).select("delivery_id")
 
 
 @_query(
@@ -90,7 +89,7 @@ def equity_paths(spark, d):
             {"nav_dd": 8, "equity": 7},
             """(SELECT series, count(*) AS n, min((eq - greatest(1e0, pk)) / greatest(1e0, pk)) AS nav_dd, arg_max(eq, t) AS equity FROM (
               SELECT *, max(eq) OVER w AS pk FROM (
-                SELECT universe_id || '/' || symbol AS series, t, greatest(exp(sum(ln(greatest(1 + ret, 1e-12))) OVER (PARTITION BY universe_id, symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 1e-12) AS eq FROM ret)
+                SELECT universe_id || '/' || symbol AS series, t, greatest(product(1 + ret) OVER (PARTITION BY universe_id, symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1e-12) AS eq FROM ret)
               WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY series)""",
         ),
     )
@@ -110,7 +109,7 @@ def buy_and_hold_drawdowns(spark, d):
               SELECT universe_id, t, avg(nxt) AS m FROM (SELECT *, lead(ret) OVER ({_W}) AS nxt FROM ret) WHERE nxt IS NOT NULL GROUP BY ALL) k
               ON b.universe_id = k.universe_id AND b.t = k.t)""",
         ),
-    ).replace("WITH ", "WITH ", 1)
+    )
 )
 def excess_over_market(spark, d):
     held = states.market_returns(research._returns(spark, d))
@@ -118,17 +117,6 @@ def excess_over_market(spark, d):
     return _rounded(rows, ["universe_id", "t"], {"net": 9, "market": 9, "excess": 9})
 
 
-@_query(
-    _chain(
-        "ret",
-        f"SELECT a, b FROM {research._PAIRS} WHERE rho >= 0.25e0 AND overlap > 100",
-    )
-)
-def near_duplicate_series(spark, d):
-    """Pairs of series within a universe that move alike (the threshold fits the invented bars)."""
-    return research._asset_pairs(spark, d).filter("rho >= 0.25 AND overlap > 100").select("a", "b")
-
-
 @_query(
     """SELECT universe_id, max(n) AS longest FROM (
       SELECT universe_id, i, count(*) FILTER (m) AS n FROM (
@@ -170,7 +158,31 @@ def resampled_panels(spark, d):
     return nulls.resampled_panel(research._returns(spark, d), "ret")
 
 
-@_query()
+@_query(_chain("ret", _sql_rounded("universe_id, symbol, t", {"factor": 8}, f"(SELECT universe_id, symbol, t, coalesce(tanh(close / lag(close, 24) OVER ({_W}) - 1), 0e0) AS factor FROM ret)")))
 def factor_udf(spark, d):
     """A factor given as a Python function of a series' frame, run by series on the workers."""
-    return states.apply_factor(research._returns(spark, d), states.example_factor)
+    return _rounded(states.apply_factor(research._returns(spark, d), states.example_factor), ["universe_id", "symbol", "t"], {"factor": 8})
+
+
+@_query("SELECT delivery_id, row_number() OVER (ORDER BY received_at DESC, delivery_id DESC) AS place FROM tickets QUALIFY place <= 200")
+def newest_tickets(spark, d):
+    """The 200 newest deliveries, newest first (a report's list)."""
+    rows = states.newest(table(spark, d, "tickets", "delivery_id", "received_at"), "received_at", "delivery_id")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("received_at"), F.desc("delivery_id"))  # of 200 rows
+    return rows.select("delivery_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+@_query(
+    _chain(
+        "path",
+        _sql_rounded(
+            "universe_id",
+            {"sharpe": 5},
+            f"""(SELECT universe_id, CASE WHEN stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) * {research._YEAR} ELSE 0e0 END AS sharpe FROM (
+              SELECT universe_id, eq / lag(eq) OVER (PARTITION BY universe_id ORDER BY t) - 1 AS r FROM path) GROUP BY universe_id)""",
+        ),
+    )
+)
+def nav_sharpe(spark, d):
+    """Sharpe ratio of the changes of each portfolio's equity."""
+    return _rounded(metrics.nav_sharpe(portfolio.equity(research._portfolio(spark, d)), "universe_id", "equity"), ["universe_id"], {"sharpe": 5})

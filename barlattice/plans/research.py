@@ -86,7 +86,7 @@ STEPS: dict[str, str] = {
           CASE WHEN row_number() OVER ({_W}) <= 24 THEN 0e0 ELSE stddev_pop(ret) OVER ({_W} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) END AS vol
         FROM weighed) WINDOW r AS ({_W} ROWS BETWEEN 719 PRECEDING AND CURRENT ROW))""",
     "bt": f"""SELECT universe_id, t, gross, gross - cost AS net, gross - turnover * ({FEE} + 0.0005) AS flat_net, turnover,
-        CASE WHEN turnover > 1e-4 THEN cost / turnover * 10000 ELSE 10e0 END AS cost_bps, turnover > 1e-4 AS traded FROM (
+        CASE WHEN turnover > 1e-6 THEN cost / turnover * 10000 ELSE 10e0 END AS cost_bps, turnover > 1e-4 AS traded FROM (
       SELECT universe_id, t, sum(weight * nxt) AS gross, sum(ch) AS turnover, sum(ch * ({FEE} + slippage)) AS cost FROM (
         SELECT *, abs(weight - CASE WHEN rn = 25 THEN 0e0 ELSE coalesce(lw, 0e0) END) AS ch FROM (
           SELECT *, lead(ret) OVER w AS nxt, lag(weight) OVER w AS lw FROM friction WINDOW w AS ({_W})) WHERE rn >= 25 AND nxt IS NOT NULL)
@@ -96,8 +96,27 @@ STEPS: dict[str, str] = {
       FROM (SELECT universe_id, fee_bps, gross - turnover * fee_bps / 10000 AS x FROM bt, (SELECT unnest([0e0, 5e0, 10e0, 25e0, 50e0, 100e0]) AS fee_bps)) GROUP BY ALL""",
     "levels": f"""SELECT *, avg(level) OVER n AS market, CASE WHEN count(*) OVER n = 1 THEN level ELSE (sum(level) OVER n - level) / greatest(count(*) OVER n - 1, 1) END AS peer
       FROM (SELECT *, close / greatest(1e-12, first_value(close) OVER ({_W})) AS level FROM aligned) WINDOW n AS (PARTITION BY universe_id, t)""",
+    "mom": f"""SELECT universe_id, symbol, t, coalesce(last_value(d IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0e0) AS weight FROM (
+        SELECT *, CASE WHEN k >= 480 AND (k - 480) % 168 = 0 THEN CASE WHEN row_number() OVER (PARTITION BY universe_id, t ORDER BY r DESC NULLS LAST, symbol) = 1 THEN 1e0 ELSE 0e0 END END AS d
+        FROM (SELECT *, close / lag(close, 480) OVER ({_W}) - 1 AS r, row_number() OVER ({_W}) - 1 AS k FROM aligned))""",
+    "rev": f"""SELECT universe_id, symbol, t, z, coalesce(last_value(CASE WHEN z <= -2 THEN 1e0 WHEN z >= 0 THEN 0e0 END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0e0) AS position FROM (
+        SELECT *, CASE WHEN count(*) OVER p >= 480 THEN (close - avg(close) OVER p) / (stddev_pop(close) OVER p + 1e-8) END AS z
+        FROM aligned WINDOW p AS ({_W} ROWS BETWEEN 480 PRECEDING AND 1 PRECEDING))""",
+    "sims": f"""SELECT *, 100000e0 * product(1 + net) OVER q AS nav, row_number() OVER q AS bar FROM (
+        SELECT strategy, universe_id, t, gross, gross - cost AS net, turnover, CASE WHEN turnover > 1e-6 THEN cost / turnover * 10000 ELSE 10e0 END AS cost_bps, turnover > 1e-4 AS traded FROM (
+          SELECT strategy, universe_id, t, sum(weight * nxt) AS gross, sum(ch) AS turnover, sum(ch * ({FEE} + slippage)) AS cost FROM (
+            SELECT *, abs(weight - CASE WHEN rn = 25 THEN 0e0 ELSE coalesce(lw, 0e0) END) AS ch FROM (
+              SELECT w.strategy, w.universe_id, w.symbol, w.t, w.weight, f.slippage, f.rn, lead(f.ret) OVER s AS nxt, lag(w.weight) OVER s AS lw FROM (
+                SELECT 'STRATEGY' AS strategy, universe_id, symbol, t, weight FROM weighed
+                UNION ALL SELECT 'BUY_AND_HOLD', universe_id, symbol, t, 1e0 / count(*) OVER (PARTITION BY universe_id, t) FROM aligned
+                UNION ALL SELECT 'SIMPLE_MOMENTUM', universe_id, symbol, t, weight FROM mom
+                UNION ALL SELECT 'SIMPLE_MEAN_REVERSION', universe_id, symbol, t, CASE WHEN sum(position) OVER n > 0 THEN position / sum(position) OVER n * position / count(*) OVER n ELSE 0e0 END FROM rev WINDOW n AS (PARTITION BY universe_id, t)
+                UNION ALL SELECT 'CASH', universe_id, symbol, t, 0e0 FROM aligned) w
+              JOIN friction f ON w.universe_id = f.universe_id AND w.symbol = f.symbol AND w.t = f.t WINDOW s AS (PARTITION BY w.strategy, w.universe_id, w.symbol ORDER BY w.t)) WHERE rn >= 25 AND nxt IS NOT NULL)
+          GROUP BY ALL))
+      WINDOW q AS (PARTITION BY strategy, universe_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "path": """SELECT *, max(eq) OVER p AS pk, max(cum) OVER p AS cpk FROM (
-      SELECT universe_id, t, sum(net) OVER p AS cum, greatest(exp(sum(ln(greatest(1 + net, 1e-12))) OVER p), 1e-12) AS eq FROM bt
+      SELECT universe_id, t, sum(net) OVER p AS cum, greatest(product(1 + net) OVER p, 1e-12) AS eq FROM bt
       WINDOW p AS (PARTITION BY universe_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
       WINDOW p AS (PARTITION BY universe_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 }
@@ -244,14 +263,14 @@ def hysteresis_positions(spark, d):
     _chain(
         "factor",
         f"""SELECT {KEYS}, coalesce(last_value(d IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0e0) AS position FROM (
-          SELECT *, CASE WHEN row_number() OVER ({_W}) = 1 THEN 0e0 WHEN n >= 96 AND abs(factor) >= hi THEN sign(factor) * 1e0 WHEN n >= 96 AND abs(factor) <= lo THEN 0e0 END AS d FROM (
+          SELECT *, CASE WHEN row_number() OVER ({_W}) = 1 THEN 0e0 WHEN n >= 336 AND abs(factor) >= hi THEN sign(factor) * 1e0 WHEN n >= 336 AND abs(factor) <= lo THEN 0e0 END AS d FROM (
             SELECT *, count(*) OVER p AS n, quantile_cont(abs(factor), 0.95) OVER p AS hi, quantile_cont(abs(factor), 0.5) OVER p AS lo
-            FROM factor WINDOW p AS ({_W} ROWS BETWEEN 240 PRECEDING AND 1 PRECEDING)))""",
+            FROM factor WINDOW p AS ({_W} ROWS BETWEEN 720 PRECEDING AND 1 PRECEDING)))""",
     )
 )
 def adaptive_positions(spark, d):
     rows = features.canonical_factor(_returns(spark, d))
-    return signals.adaptive_hysteresis(rows, 95, 50, 240, 96).select("universe_id", "symbol", "t", "position")
+    return signals.adaptive_hysteresis(rows).select("universe_id", "symbol", "t", "position")
 
 
 @_query(_chain("weighed", _sql_rounded(KEYS, {"weight": 9}, "weighed")))
@@ -259,29 +278,14 @@ def target_weights(spark, d):
     return _rounded(_weights(spark, d), ["universe_id", "symbol", "t"], {"weight": 9})
 
 
-@_query(
-    _chain(
-        "aligned",
-        f"""SELECT {KEYS}, coalesce(last_value(d IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0e0) AS weight FROM (
-          SELECT *, CASE WHEN k >= 48 AND (k - 48) % 24 = 0 THEN CASE WHEN row_number() OVER (PARTITION BY universe_id, t ORDER BY r DESC NULLS LAST, symbol) = 1 THEN 1e0 ELSE 0e0 END END AS d
-          FROM (SELECT *, close / lag(close, 48) OVER ({_W}) - 1 AS r, row_number() OVER ({_W}) - 1 AS k FROM aligned))""",
-    )
-)
+@_query(_chain("mom", f"SELECT {KEYS}, weight FROM mom"))
 def momentum_leader(spark, d):
-    return signals.momentum_leader(_aligned(spark, d), 48, 24).select("universe_id", "symbol", "t", "weight")
+    return signals.momentum_leader(_aligned(spark, d)).select("universe_id", "symbol", "t", "weight")
 
 
-@_query(
-    _chain(
-        "aligned",
-        f"""SELECT {KEYS}, floor(z * 1e5 + 0.5) / 1e5 AS z, coalesce(last_value(CASE WHEN z <= -2 THEN 1e0 WHEN z >= 0 THEN 0e0 END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0e0) AS position FROM (
-          SELECT *, CASE WHEN count(*) OVER p >= 48 THEN (close - avg(close) OVER p) / (stddev_pop(close) OVER p + 1e-8) END AS z
-          FROM aligned WINDOW p AS ({_W} ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING))""",
-    )
-)
+@_query(_chain("rev", f"SELECT {KEYS}, floor(z * 1e5 + 0.5) / 1e5 AS z, position FROM rev"))
 def reversion_state(spark, d):
-    rows = signals.reversion_state(_aligned(spark, d), 48)
-    return rows.select("universe_id", "symbol", "t", whole(F.col("z"), 5).alias("z"), "position")
+    return signals.reversion_state(_aligned(spark, d)).select("universe_id", "symbol", "t", whole(F.col("z"), 5).alias("z"), "position")
 
 
 _BT = {"gross": 9, "net": 9, "flat_net": 9, "turnover": 9, "cost_bps": 6}
@@ -437,15 +441,7 @@ def daily_snapshots(spark, d):
 
 def _asset_pairs(spark, d) -> DataFrame:
     rows = _returns(spark, d).select(F.concat_ws("/", "universe_id", "symbol").alias("series"), "universe_id", "t", "ret")
-    # correlations within a universe: the key carries the universe, so pairs stay inside it
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.universe_id") == F.col("b.universe_id")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.series") < F.col("b.series")))
-    x, y = F.col("a.ret"), F.col("b.ret")
-    sums = pairs.groupBy(F.col("a.universe_id").alias("universe_id"), F.col("a.series").alias("a"), F.col("b.series").alias("b")).agg(
-        F.count(F.lit(1)).alias("overlap"), F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("x"), F.stddev_pop(y).alias("y")
-    )
-    usable = (F.col("x") > 1e-12) & (F.col("y") > 1e-12)
-    return sums.select("universe_id", "a", "b", "overlap", F.when(usable, F.col("c") / F.when(usable, F.col("x") * F.col("y"))).otherwise(0.0).alias("rho"))
+    return metrics.pair_correlations(rows, "universe_id", "series", "ret")
 
 
 _PAIRS = """(SELECT a.universe_id || '/' || a.symbol AS a, b.universe_id || '/' || b.symbol AS b, count(*) AS overlap,
@@ -468,9 +464,8 @@ def pair_correlations(spark, d):
 )
 def effective_trials(spark, d):
     """Of all series, with pairs of different universes left out (``k_rank`` takes them as unrelated); see ``effective_trials_by_universe``."""
-    pairs = _asset_pairs(spark, d)
-    n = _returns(spark, d).select("universe_id", "symbol").distinct().count()
-    return _rounded(metrics.effective_trials(pairs, n).withColumn("k", F.lit(n)), [], {"k_mean": 6, "k_rank": 6})
+    series = _returns(spark, d).select("universe_id", "symbol").distinct()
+    return _rounded(metrics.effective_trials(_asset_pairs(spark, d), series), [], {"k_mean": 6, "k_rank": 6})
 
 
 @_query(
@@ -497,16 +492,17 @@ def effective_trials_by_universe(spark, d):
 
 
 @_query(
-    """SELECT delivery_id, CASE WHEN reject IS NULL THEN q ELSE 0e0 END AS filled_qty, reject FROM (
-      SELECT *, CASE WHEN NOT coalesce(fill_price > 0, false) THEN 'price' WHEN abs(q) < min_qty - 1e-12 THEN 'min_qty' WHEN abs(q * fill_price) < min_notional - 1e-12 THEN 'min_notional' END AS reject FROM (
-        SELECT t.*, f.step_size, f.min_qty, f.min_notional,
-          CASE WHEN fill_price > 0 THEN sign(requested_notional_usd / fill_price) * floor(abs(requested_notional_usd / fill_price) / step_size + 1e-9) * step_size END AS q
-        FROM tickets t JOIN symbol_filters f ON t.symbol = f.symbol WHERE requested_notional_usd IS NOT NULL))"""
+    """SELECT delivery_id, CASE WHEN reject IS NULL THEN q ELSE 0e0 END AS filled_qty, reject, CASE WHEN abs(requested_notional_usd) > 1e-12 THEN CASE WHEN reject IS NULL THEN floor(q * fill_price / requested_notional_usd * 1e9 + 0.5) / 1e9 ELSE 0e0 END ELSE 1e0 END AS fill_ratio FROM (
+      SELECT *, CASE WHEN requested_notional_usd IS NULL THEN 'notional' WHEN NOT coalesce(fill_price > 0, false) THEN 'price' WHEN abs(q) < least_qty - 1e-12 THEN 'min_qty' WHEN abs(q * fill_price) < least_worth - 1e-12 THEN 'min_notional' END AS reject FROM (
+        SELECT t.*, coalesce(f.min_qty, 0) AS least_qty, coalesce(f.min_notional, 0) AS least_worth,
+          CASE WHEN NOT fill_price > 0 THEN NULL WHEN coalesce(f.step_size, 0) <= 0 THEN requested_notional_usd / fill_price
+            ELSE sign(requested_notional_usd / fill_price) * floor(abs(requested_notional_usd / fill_price) / f.step_size + 1e-9) * f.step_size END AS q
+        FROM tickets t LEFT JOIN symbol_filters f ON t.symbol = f.symbol))"""
 )
 def lot_quantised(spark, d):
-    orders = table(spark, d, "tickets", "delivery_id", "symbol", "requested_notional_usd", "fill_price").filter("requested_notional_usd IS NOT NULL AND symbol IS NOT NULL")
+    orders = table(spark, d, "tickets", "delivery_id", "symbol", "requested_notional_usd", "fill_price")
     orders = orders.select("delivery_id", "symbol", F.col("requested_notional_usd").alias("notional"), F.col("fill_price").alias("price"))
-    return portfolio.quantise_orders(orders, table(spark, d, "symbol_filters")).select("delivery_id", "filled_qty", "reject")
+    return portfolio.quantise_orders(orders, table(spark, d, "symbol_filters")).select("delivery_id", "filled_qty", "reject", whole(F.col("fill_ratio"), 9).alias("fill_ratio"))
 
 
 @_query(
@@ -523,14 +519,13 @@ def ledger_coverage(spark, d):
     return ledger.coverage(table(spark, d, "proposals", "priority_category", "predicted_confidence"), "priority_category", "predicted_confidence")
 
 
-@_query(
-    """WITH x AS (SELECT universe_id, unnest(list_distinct(assets)) AS a FROM universes), n AS (SELECT universe_id, count(*) AS n FROM x GROUP BY ALL)
-    SELECT l.universe_id AS inner_id, r.universe_id AS outer_id FROM x l JOIN x r ON l.a = r.a AND l.universe_id <> r.universe_id JOIN n ON n.universe_id = l.universe_id
-    GROUP BY l.universe_id, r.universe_id, n.n HAVING count(*) = n.n"""
-)
-def asset_subsets(spark, d):
-    universes = table(spark, d, "universes", "universe_id", "assets")
-    return ledger.subset_match(universes, universes)
+@_query("SELECT state_id, u.universe_id, len(list_distinct(u.assets)) > len(list_distinct(s.symbols)) AS proper FROM live_states s JOIN universes u ON len(s.symbols) > 0 AND list_has_all(u.assets, s.symbols)")
+def state_subsets(spark, d):
+    """Universes whose assets contain all symbols of a saved state."""
+    states = table(spark, d, "live_states", "state_id", "symbols").select("state_id", F.array_sort(F.array_distinct("symbols")).alias("set"), ledger.asset_key(F.col("symbols")).alias("inner_id"))
+    universes = table(spark, d, "universes", "universe_id", "assets").select(F.col("universe_id").alias("outer_id"), F.array_distinct("assets").alias("set"))
+    found = ledger.contained(states.select("inner_id", "set").distinct(), universes)
+    return states.join(found, "inner_id").select("state_id", F.col("outer_id").alias("universe_id"), "proper")
 
 
 @_query(
@@ -603,22 +598,179 @@ def paper_simulation(spark, d):
 
 @_query()
 def spot_simulation(spark, d):
-    return portfolio.spot_simulation(_weights(spark, d, "state"))
+    return portfolio.spot_simulation(portfolio.long_only(_weights(spark, d, "state")))
+
+
+CAPITAL = 100_000.0
+STRATEGIES = ("STRATEGY", "BUY_AND_HOLD", "SIMPLE_MOMENTUM", "SIMPLE_MEAN_REVERSION", "CASH")
+
+
+def _simulated(spark: SparkSession, d: str) -> DataFrame:
+    """The strategy and its baselines bar by bar: all weights are columns of one frame, so the bars are aligned once."""
+    rows = features.slippage_rate(features.friction_ratios(_weights(spark, d)))
+    rows = signals.held_weights(rows.withColumnRenamed("weight", "w0")).withColumnRenamed("weight", "w1")
+    rows = signals.momentum_leader(rows).withColumnRenamed("weight", "w2")
+    rows = signals.reversion_weights(signals.reversion_state(rows)).withColumnRenamed("weight", "w3").withColumn("w4", F.lit(0.0))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("strategy"), F.col(f"w{i}").alias("weight")) for i, name in enumerate(STRATEGIES)]))
+    stacked = rows.select("universe_id", "symbol", "t", "ret", "slippage", each.alias("__s")).select("universe_id", "symbol", "t", "ret", "slippage", "__s.*")
+    return portfolio.weighted_simulation(stacked, CAPITAL, FEE, more=("strategy",))
+
+
+_SUM = {"net_sharpe": 4, "gross_sharpe": 4, "cagr_net": 5, "max_drawdown": 7, "annual_turnover": 5, "mean_cost_bps": 6, "ending_nav_usd": 3, "total_pnl_usd": 3}
+
+
+@_query(
+    _chain(
+        "sims",
+        _sql_rounded(
+            "universe_id, strategy, total_trades",
+            _SUM,
+            f"""(SELECT universe_id, strategy, avg(net) / (stddev_pop(net) + 1e-8) * {_YEAR} AS net_sharpe, avg(gross) / (stddev_pop(gross) + 1e-8) * {_YEAR} AS gross_sharpe, avg(net) * 8760 AS cagr_net,
+              min(dd) AS max_drawdown, sum(turnover) * 8760 / count(*) AS annual_turnover, avg(cost_bps) AS mean_cost_bps, count(*) FILTER (traded) AS total_trades, arg_max(nav, t) AS ending_nav_usd, arg_max(nav, t) - 100000 AS total_pnl_usd
+            FROM (SELECT *, cum - max(cum) OVER p AS dd FROM (SELECT *, sum(net) OVER p AS cum FROM sims WINDOW p AS (PARTITION BY strategy, universe_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+              WINDOW p AS (PARTITION BY strategy, universe_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY universe_id, strategy)""",
+        ),
+    )
+)
+def baseline_performance(spark, d):
+    """The strategy beside buy and hold, momentum, reversion and cash."""
+    return _rounded(portfolio.summary(_simulated(spark, d), ["universe_id", "strategy"], CAPITAL), ["universe_id", "strategy", "total_trades"], _SUM)
+
+
+_DAY = {"strategy_nav": 3, "strategy_sharpe": 4, "strategy_drawdown": 7, "bnh_nav": 3, "bnh_sharpe": 4, "mom_nav": 3, "mr_nav": 3, "cash_nav": 3, "excess_vs_bnh": 7}
+_SHORT = {"STRATEGY": "strategy", "BUY_AND_HOLD": "bnh", "SIMPLE_MOMENTUM": "mom", "SIMPLE_MEAN_REVERSION": "mr", "CASH": "cash"}
+
+
+_DAYS = (
+    "(SELECT universe_id, CAST(bar // 24 AS INT) AS day, max(trades) FILTER (strategy = 'STRATEGY') AS strategy_trades, "
+    + ", ".join(f"max({c}) FILTER (strategy = '{n}') AS {s}_{c}" for n, s in _SHORT.items() for c in ("nav", "sharpe", "drawdown"))
+    + f""", (max(nav) FILTER (strategy = 'STRATEGY') - max(nav) FILTER (strategy = 'BUY_AND_HOLD')) / 100000 AS excess_vs_bnh
+    FROM (SELECT *, min(dd) OVER p AS drawdown FROM (SELECT *, cum - max(cum) OVER p AS dd FROM (
+      SELECT *, sum(net) OVER p AS cum, avg(net) OVER p / (stddev_pop(net) OVER p + 1e-8) * {_YEAR} AS sharpe, CAST(sum(CAST(traded AS INT)) OVER p AS BIGINT) AS trades FROM sims
+      WINDOW p AS (PARTITION BY strategy, universe_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+      WINDOW p AS (PARTITION BY strategy, universe_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+      WINDOW p AS (PARTITION BY strategy, universe_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE bar % 24 = 0 GROUP BY universe_id, bar)"""
+)
+
+
+@_query(_chain("sims", _sql_rounded("universe_id, day, strategy_trades", _DAY, _DAYS)))
+def portfolio_snapshots(spark, d):
+    """Every 24 bars: value, running Sharpe ratio and drawdown of the strategy and its baselines, and the excess over buy and hold."""
+    rows = _snapshots(spark, d)
+    return _rounded(rows, ["universe_id", "day", "strategy_trades"], _DAY)
+
+
+def _snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.strategy_snapshots(_simulated(spark, d), _SHORT, CAPITAL)
+
+
+_WEEK = {"strategy_nav": 3, "bnh_nav": 3, "excess_vs_bnh": 7}
+
+
+@_query(
+    _chain("sims", f""", days AS {_DAYS}, ends AS (SELECT universe_id, w AS week, least(7 * w, last) AS day FROM (SELECT universe_id, max(day) AS last FROM days GROUP BY ALL), (SELECT CAST(unnest(range(1, 14)) AS INT) AS w)) """)
+    + _sql_rounded("universe_id, week, day, strategy_trades", _WEEK, "(SELECT * FROM ends JOIN days USING (universe_id, day))")
+)
+def weekly_progress(spark, d):
+    """The snapshots at the end of each of 13 weeks, or of the last day where there are fewer."""
+    return _rounded(metrics.weekly(_snapshots(spark, d), "universe_id"), ["universe_id", "week", "day", "strategy_trades"], _WEEK)
+
+
+@_query(_chain("ret", _sql_rounded("a, b, overlap, duplicate", {"rho": 7}, f"(SELECT *, rho >= 0.999e0 AND overlap > 100 AS duplicate FROM {_PAIRS})")))
+def duplicate_series(spark, d):
+    """Pairs of series within a universe, with those that are duplicates (rho of 0.999 or more over more than 100 bars)."""
+    return _rounded(metrics.duplicates(_asset_pairs(spark, d)), ["a", "b", "overlap", "duplicate"], {"rho": 7})
+
+
+def _clusters(pairs: DataFrame, series: DataFrame, estimators: tuple[str, ...] = ("cluster", "rho_avg", "rank"), threshold: float = 0.95) -> DataFrame:
+    """Effective number of series of each universe by each estimator, from its matrix of correlations (of a few assets)."""
+    import numpy as np
+    import pandas as pd
+
+    from barlattice.functions.stats import effective_trials as effective
+
+    names = series.groupBy("universe_id").agg(F.array_sort(F.collect_set("series")).alias("names"))
+    matrix = pairs.groupBy("universe_id").agg(F.collect_list(F.struct("a", "b", "rho")).alias("pairs"))
+
+    def frames(parts):
+        for p in parts:
+            out = []
+            for u, labels, found in zip(p["universe_id"], p["names"], p["pairs"]):
+                at = {n: i for i, n in enumerate(labels)}
+                m = np.eye(len(labels))
+                for r in found if found is not None else ():
+                    m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["rho"]
+                out.append((u, len(labels), *[effective(m, e, threshold) for e in estimators]))
+            yield pd.DataFrame(out, columns=["universe_id", "k", *[f"k_{e}" for e in estimators]])
+
+    return names.join(matrix, "universe_id", "left").mapInPandas(frames, "universe_id string, k long, " + ", ".join(f"k_{e} double" for e in estimators))
+
+
+@_query()
+def trial_clusters(spark, d):
+    """Number of series, of clusters by complete linkage at 0.95, and by mean correlation and rank, of each universe."""
+    series = _returns(spark, d).select("universe_id", F.concat_ws("/", "universe_id", "symbol").alias("series")).distinct()
+    return _clusters(_asset_pairs(spark, d), series)
 
 
 @_query()
 def deflated_sharpe(spark, d):
-    """Deflated Sharpe ratio of each universe's portfolio, the number of trials being the portfolios."""
+    """Deflated Sharpe ratio of each strategy of a universe by each way of knowing the trials' spread.
+
+    The trials of a universe are its strategies and baselines but cash; ``empirical`` takes their own ratios.
+    """
     import pandas as pd
 
-    from barlattice.functions.stats import deflated_sharpe as dsr
+    from barlattice.functions.stats import VARIANCES, deflated_sharpe_by
+
+    rows = _simulated(spark, d).filter("strategy <> 'CASH'").withColumn("key", F.struct("universe_id", "strategy"))
+    per = metrics.performance(rows, "key").select("key.universe_id", F.struct("key.strategy", "n", "sharpe", "skew", "kurtosis").alias("s"))
+    trials = per.groupBy("universe_id").agg(F.collect_list("s").alias("trials"))  # four to a universe
+
+    def frames(parts):
+        for p in parts:
+            out = []
+            for u, found in zip(p["universe_id"], p["trials"]):
+                ratios = [r["sharpe"] for r in found]
+                for r in found:
+                    for method in VARIANCES:
+                        if method != "empirical" or len(ratios) >= 2:
+                            got = deflated_sharpe_by(method, r["sharpe"], int(r["n"]), r["skew"], r["kurtosis"], len(ratios), ratios, 0.05)
+                            out.append((u, r["strategy"], method, got["dsr"], got["psr"], got["expected_max"]))
+            yield pd.DataFrame(out, columns=["universe_id", "strategy", "method", "dsr", "psr", "expected_max"])
+
+    return trials.mapInPandas(frames, "universe_id string, strategy string, method string, dsr double, psr double, expected_max double")
+
+
+@_query()
+def live_books(spark, d):
+    """The live books (strategy and baselines) of each universe, bar by bar, as the stream keeps them."""
+    from barlattice.operators import books
+
+    bars = _aligned(spark, d).select("universe_id", "symbol", "t", "open", "high", "low", "close", "volume")
+    return books.replayed(bars, table(spark, d, "symbol_filters"))
 
-    rows = metrics.performance(_portfolio(spark, d), "universe_id").select("universe_id", "n", "sharpe", "skew", "kurtosis")
-    trials = float(table(spark, d, "universes", "universe_id").count())
 
-    def batches(frames):
-        for p in frames:
-            values = [dsr(r.sharpe, int(r.n), r.skew, r.kurtosis, trials) if abs(r.sharpe) <= 3 else None for r in p.itertuples()]
-            yield pd.DataFrame({"universe_id": p["universe_id"], "dsr": values})
+@_query()
+def code_hashes(spark, d):
+    rows = table(spark, d, "proposals", "proposal_id", "code_str", *_CONFIG)
+    return ledger.code_hashes(rows, "code_str", list(_CONFIG)).select("proposal_id", "code_hash")
+
+
+_CONFIG = ("theta_enter", "theta_exit", "position_size", "adaptive_hysteresis", "enter_pct", "exit_pct")
 
-    return rows.mapInPandas(batches, "universe_id string, dsr double")
+
+@_query()
+def repeated_code(spark, d):
+    """Proposals whose code and configuration an earlier one had."""
+    rows = ledger.code_hashes(table(spark, d, "proposals", "proposal_id", "code_str", "submitted_at", *_CONFIG), "code_str", list(_CONFIG))
+    return ledger.repeated_hashes(rows, "code_hash", "submitted_at", "proposal_id")
+
+
+@_query(
+    """SELECT proposal_id, row_number() OVER (PARTITION BY universe_id ORDER BY submitted_at, proposal_id) AS family_trial,
+      row_number() OVER (ORDER BY submitted_at, proposal_id) AS global_trial FROM proposals WHERE submitted_at IS NOT NULL"""
+)
+def recorded_trials(spark, d):
+    rows = table(spark, d, "proposals", "proposal_id", "universe_id", "submitted_at", "variant_name").filter("submitted_at IS NOT NULL")
+    return ledger.recorded(rows, "universe_id", "submitted_at", "proposal_id", ["proposal_id", "variant_name"]).select("proposal_id", F.col("family_trial").cast("long").alias("family_trial"), F.col("global_trial").cast("long").alias("global_trial"))

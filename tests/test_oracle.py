@@ -10,9 +10,9 @@ ORACLE = data_problems.ORACLE | research.ORACLE | reports.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_equals_sql(spark, tiny, name):
-    rows, difference = compare(spark, name, QUERIES[name], ORACLE[name], tiny)
-    assert not difference
+def test_equals_sql(spark, tiny, small, name):
+    rows, difference = compare(spark, name, QUERIES[name], ORACLE[name], small if name == "bars_in_range" else tiny)
+    assert rows and not difference
 
 
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p4_found", "p5_found", "portfolio_returns", "performance_metrics"])
@@ -22,9 +22,10 @@ def test_equals_sql_on_more_rows(spark, small, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_runs(spark, tiny, name):
-    df = QUERIES[name](spark, tiny)
-    assert df.columns and df.count() >= 0
+def test_runs(spark, tiny, small, name):
+    df = QUERIES[name](spark, small if name == "repeated_code" else tiny)
+    rows = df.collect()
+    assert rows and any(v is not None for v in rows[0])
 
 
 def test_entry(spark):
