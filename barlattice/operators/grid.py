@@ -75,6 +75,7 @@ def regular_grid(
         )
         .filter(F.col("__from") <= F.col("__to"))
         .withColumn("__piece", F.explode(F.sequence(floor_div(F.col("__from"), shard_periods), floor_div(F.col("__to"), shard_periods))))
+        .repartition(*source, "__step", "__piece")  # the pieces of a long gap leave the task that found it
     )
     carried = between.select(
         *source,
