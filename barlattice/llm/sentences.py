@@ -1,12 +1,12 @@
 """Sentence boundaries across languages and scripts (problem 10).
 
-Marks that could end a sentence are candidates.  Where the script or the layout
-decides (blank lines, list items, CJK marks, Thai spaces, a point inside a number
-or name, a small letter after the mark) a rule does; what remains, a full stop
-before something that could begin a sentence, is classified by a maximum-entropy
-model on neighbouring tokens, case, length, digits and script.  It is trained on
-reliable boundaries of the corpus itself: full stops at the end of a block are
-boundaries; full stops before a small letter and places inside a sentence are none.
+Blank lines, headings and list items cut a text into blocks.  Marks that could end
+a sentence, and spaces in Thai, are candidates; each is classified by one
+maximum-entropy model.  Its features are the neighbouring tokens, case, length,
+digits and script, and the layout of the place (mark, space, quotes, what follows).
+It is trained on reliable boundaries of the corpus itself: full stops at the end of
+a block are boundaries, those before a small letter and places inside a sentence are
+none, and so are places whose layout alone tells.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from barlattice.session import cut_lineage
 
 #: Documents and labelled places that the model is fitted on, at most.
 SAMPLE_DOCUMENTS = 4_000
-SAMPLE_PLACES = 40_000
+SAMPLE_PLACES = 100_000
 #: Token types whose statistics go to the workers, at most: the most frequent; those of the others are joined to the texts that ask for them.
 MAX_TYPES = 50_000
 #: Weights of the model.
@@ -168,43 +168,66 @@ class Candidate:
         self.spaced, self.at = at > self.end, at
 
 
-def rule(text: str, c: Candidate, high: int, small: bool) -> bool | None:
-    """Whether the candidate ends a sentence, where a rule tells; None where the model must.
+Layout = tuple  # what is seen of a candidate without its words
+
+
+def describe(text: str, c: Candidate, high: int, small: bool) -> Layout:
+    """The mark's class, and what follows it: its shape, quotes, space, whether it goes on with the sentence, scripts.
 
     ``small``: the document has no capitals, so a small letter tells nothing.
     """
+    mark = "." if c.mark == "." else "…" if not c.mark.strip(".…") else "wide" if any(x in WIDE for x in c.mark) else "!"
     if c.at >= high:
-        return True
+        return mark, "end"
     after = text[c.at]
-    wide = c.mark != "." and any(x in WIDE for x in c.mark)
-    if not c.spaced:
-        if c.mark.strip("….") == "" or not (wide or _CJK.match(after)):
-            return False
-        if c.quoted:  # the sentence goes on after a quotation
+    wide = mark == "wide"
+    on = 0 if after not in _GO_ON else 2 if after in "-—–" else 1
+    cjk = after > "\u10ff" and _CJK.match(after) is not None
+    before = wide and _CJK.match(text[c.dot - 1 : c.dot]) is not None
+    return mark, _shape(after), c.spaced, c.quoted, small, on, cjk, before, mark == "…" and small and c.at - c.end > 1
+
+
+def reliable(d: Layout) -> bool | None:
+    """Whether a layout alone tells that a sentence ends, or that none does; None where the words must tell."""
+    mark, shape = d[:2]
+    if shape == "end":
+        return True
+    _, _, spaced, quoted, small, on, cjk, before, apart = d
+    wide = mark == "wide"
+    if not spaced:
+        if mark in (".", "…") or not (wide or cjk) or quoted:  # after a quotation the sentence goes on
             return False
-        return after not in _GO_ON
-    if after in _GO_ON and not (after in "-—–" and wide):
+        return not on
+    if on and not (on == 2 and wide):
         return False
-    if wide and _CJK.match(text[c.dot - 1 : c.dot]):
+    if before:
         return True
-    shape = _shape(after)
-    if c.mark == ".":
+    if mark == ".":
         if shape == "lower" and not small:
             return False
-        if c.quoted and shape in ("upper", "open", "digit"):
-            return True
-        if c.quoted and small:
-            return True
-        if after > "\u10ff" and _CJK.match(after):  # another script begins
+        if quoted and (small or shape in ("upper", "open", "digit")) or cjk:  # another script begins
             return True
         return None
-    if c.mark.strip(".…") == "":  # dots of omission
-        return shape != "lower" if not small else c.at - c.end > 1
+    if mark == "…":
+        return apart if small else shape != "lower"
     if shape == "lower":
-        return small and not c.quoted
-    if c.quoted and shape == "letter":
-        return False
-    return True
+        return small and not quoted
+    return not (quoted and shape == "letter")
+
+
+def reliable_space(d: Layout) -> bool:
+    """The same for a space in Thai text: ``thai`` on a side, a Latin letter or digit on a side, a mark after it."""
+    _, thai, latin, mark = d
+    return thai and not latin and not mark
+
+
+def layout_features(d: Layout) -> list[str]:
+    """The whole layout first, then its parts."""
+    names = ["L*" + "|".join(map(str, d)), f"Lm{d[0]},{d[1]}"]
+    if len(d) == 9:
+        mark, shape, spaced, quoted, small, on, cjk, before, _ = d
+        names += [f"Lq{mark},{shape},{quoted},{small}", f"Lo{mark},{spaced},{on}", f"Lc{mark},{spaced},{cjk},{before}"]
+    return names
 
 
 class Stats:
@@ -307,12 +330,24 @@ class Model:
 
     def __init__(self, stats: Stats, weights: np.ndarray):
         self.stats, self.weights = stats, weights
+        self.layouts: dict[Layout, bool | None] = {}
         self.before: dict[tuple, float] = {}
         self.after: dict[tuple, tuple[float, int]] = {}
 
     def _sum(self, names: list[str]) -> float:
         return float(self.weights[_indices(names)].sum())
 
+    def tells(self, d: Layout) -> bool | None:
+        """Whether a candidate of a reliable layout is a boundary; None for a layout that needs its words."""
+        if d not in self.layouts:
+            told = reliable_space(d) if d[0] == "space" else reliable(d)
+            if told is not None:
+                at = _indices(layout_features(d))
+                # an exact check: a layout that was not in the sample is told by itself
+                told = bool(self.weights[at].sum() + self.weights[-1] > 0) if self.weights[at[0]] else told
+            self.layouts[d] = told
+        return self.layouts[d]
+
     def ends(self, text: str, c: Candidate, low: int, high: int, begun: int, small: bool) -> bool:
         """Whether a full stop ends a sentence; a document without capitals is judged by what lies before."""
         kind, shape, early, tail, word, near = place(text, c.dot, c.at, low, high, begun)
@@ -339,6 +374,11 @@ def _small(text: str) -> bool:
     return not _UPPER.search(text) and bool(_LOWER.search(text))
 
 
+def describe_space(m: regex.Match) -> Layout:
+    a, b = m[1], m[2]
+    return "space", bool(_THAI.match(a) or _THAI.match(b)), bool(_LATIN_DIGIT.match(a) or _LATIN_DIGIT.match(b)), b in MARKS
+
+
 def split_block(text: str, low: int, high: int, small: bool, thai: bool, model: Model) -> list[tuple[int, int]]:
     """Sentences of a block, with outer white space."""
     ends = set()
@@ -347,7 +387,7 @@ def split_block(text: str, low: int, high: int, small: bool, thai: bool, model:
         c = Candidate(text, m, high)
         if c.end <= begun:
             continue
-        told = rule(text, c, high, small)
+        told = model.tells(describe(text, c, high, small))
         if told is None:
             told = model.ends(text, c, low, high, begun, small)
         if told:
@@ -355,8 +395,7 @@ def split_block(text: str, low: int, high: int, small: bool, thai: bool, model:
             begun = c.end
     if thai:
         for m in _THAI_SPACE.finditer(text, low, high):
-            a, b = m[1], m[2]
-            if (_THAI.match(a) or _THAI.match(b)) and not _LATIN_DIGIT.match(a) and not _LATIN_DIGIT.match(b) and b not in MARKS:
+            if model.tells(describe_space(m)):
                 ends.add(m.start())
     cuts = [low, *sorted(ends), high]
     return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
@@ -514,7 +553,7 @@ def _asked(text: str) -> set[str]:
     for low, high, whole in blocks(text):
         for m in () if whole else _MARK.finditer(text, low, high):
             c = Candidate(text, m, high)
-            if rule(text, c, high, small) is None:
+            if reliable(describe(text, c, high, small)) is None:
                 kind, _, _, _, word, _ = place(text, c.dot, c.at, low, high, low)
                 out |= {kind, word}
     return out
@@ -537,11 +576,15 @@ def _labelled(text: str, stats: Stats) -> Iterator[tuple[list[str], bool, float]
     """(features, boundary, weight) of the reliable places of a text."""
     small = _small(text)
     parts = [(a, b) for a, b, whole in blocks(text) if not whole]
+    layouts: set[Layout] = set()
+    if _THAI.search(text):
+        layouts |= {describe_space(m) for low, high in parts for m in _THAI_SPACE.finditer(text, low, high)}
     for i, (low, high) in enumerate(parts):
         begun = low
         end = len(text[:high].rstrip())
         for m in _MARK.finditer(text, low, high):
             c = Candidate(text, m, high)
+            layouts.add(describe(text, c, high, small))
             if m[0] == "." and c.end >= end:
                 # the end of a block: what comes after is the next block
                 at = parts[i + 1][0] if i + 1 < len(parts) else len(text)
@@ -566,6 +609,10 @@ def _labelled(text: str, stats: Stats) -> Iterator[tuple[list[str], bool, float]
             if k % 4 == 0:
                 _, after = features(text, m.start(), m.end(), low, high, low, stats)
                 yield after, False, 0.25
+    for d in sorted(layouts, key=str):
+        told = reliable_space(d) if d[0] == "space" else reliable(d)
+        if told is not None:
+            yield layout_features(d), told, 0.2
 
 
 def fit(places: list[tuple[list[int], float, float]], rounds: int = 150, decay: float = 1e-4) -> np.ndarray:

@@ -28,3 +28,22 @@ def test_the_sample_is_bounded_and_the_same_in_any_partitioning(spark, small):
     stats = sentences.corpus_stats(documents, "text")
     weights = [sentences.train(d, "doc_id", "text", stats, 60, 100_000) for d in (documents.repartition(1), documents.repartition(5))]
     assert weights[0].any() and abs(weights[0] - weights[1]).max() < 1e-6
+
+
+def test_every_candidate_is_classified_by_the_model(spark, small):
+    documents = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    stats = sentences.corpus_stats(documents, "text")
+    model = sentences.Model(stats, sentences.train(documents, "doc_id", "text", stats))
+    for (text,) in documents.select("text").collect():
+        if text:
+            sentences.sentences(text, model)
+    told = {d: t for d, t in model.layouts.items() if t is not None}
+    fitted = {d for d in told if model.weights[sentences._indices(sentences.layout_features(d))[0]]}
+    assert len(fitted) >= 0.9 * len(told) > 20
+    reliable = {d: sentences.reliable_space(d) if d[0] == "space" else sentences.reliable(d) for d in told}
+    assert told == reliable and {True, False} <= set(told.values())
+    # the weights decide: turned round they say the opposite, and a layout that was not seen is told by itself
+    turned = sentences.Model(stats, -model.weights)
+    assert all(turned.tells(d) != told[d] for d in fitted)
+    unseen = sentences.Model(stats, model.weights * 0)
+    assert all(unseen.tells(d) == reliable[d] for d in told)
