@@ -103,3 +103,21 @@ def test_open_quotations_do_not_reach_the_next_line(spark):
     got = _lines(spark, lines)
     assert [got[i].reason for i in range(len(lines))] == ["quoting", None, "quoting", "quoting", "quoting", None, None, "quoting", "quoting", "quoting", "quoting", "column_count", "quoting", "quoting"]
     assert got[5].symbol == 'QO"RV' and got[6].symbol == "QO,RV"
+
+
+def test_the_first_reason_of_values_that_only_the_reader_takes(spark):
+    lines = {
+        "+1546300800": "timestamp_open", "1546300800.0": "timestamp_open", "1_546_300_800": "timestamp_open", "1.5463008e9": "timestamp_open",
+        "0" * 60 + "1546300800": None, " 1546300800\t": None, '"1546300800"': None, '" 1546300800 "': None, "": "timestamp_open", "9" * 60: "timestamp_open",
+    }
+    got = _lines(spark, [GOOD.replace("1546300800", x) for x in lines])
+    assert [got[i].reason for i in range(len(lines))] == list(lines.values())
+    assert all(r.timestamp_open_ms == 1546300800000 for r in got.values() if r.kind == "bar")
+    counts = {"+56": "trades_count", "56.0": "trades_count", "5_6": "trades_count", "5e1": "trades_count", "2147483648": "trades_count", "2147483647": None, "٥٦": "trades_count", "0056": None, '"56"': None}
+    got = _lines(spark, [GOOD.replace(",56,", f",{x},") for x in counts])
+    assert [got[i].reason for i in range(len(counts))] == list(counts.values())
+    quotes = {"+15.5": "quote_volume", "-0.0": "quote_volume", "1_5.5": "quote_volume", "inf": "quote_volume", "nan": "quote_volume", "1e400": "quote_volume", ".5": None, "5.": None, "1E2": None, "": "quote_volume", "0x1": "quote_volume"}
+    got = _lines(spark, [GOOD.replace(",15.5,", f",{x},") for x in quotes])
+    assert [got[i].reason for i in range(len(quotes))] == list(quotes.values())
+    both = _lines(spark, [GOOD.replace("1546300800", "+1546300800").replace(",56,", ",x,"), GOOD.replace(",56,", ",x,") + ",more", GOOD.replace("QORV", '"Q"x').replace(",56,", ",x,")])
+    assert [both[i].reason for i in range(3)] == ["timestamp_open", "column_count", "quoting"]
