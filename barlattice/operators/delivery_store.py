@@ -101,11 +101,10 @@ class DeliveryStore:
     def _table(self, folders: Sequence[str], schema: str) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], schema)
-        parts = [self.spark.read.schema(schema).parquet(f"{self.folder}/{f}") for f in folders]
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        return whole
+        # one scan of all batches, however many
+        kind = folders[0].split("/")[0]
+        found = self.spark.read.schema(schema).option("basePath", f"{self.folder}/{kind}").parquet(*[f"{self.folder}/{f}" for f in folders])
+        return found.drop("batch")
 
     # -- operations
 
@@ -141,7 +140,7 @@ class DeliveryStore:
             bucket = F.coalesce(bucket_of(self.arrived, self.seconds).cast("int"), F.lit(-1))
             marked = once.select(*self.keys, self.tie, F.xxhash64(*self.keys).alias("h")).withColumn("segment", self._segment())
             fresh = once.join(self._known(marked, state, schema), self.tie, "left_anti") if state["batches"] else once
-            name = uuid.uuid4().hex
+            name = f"batch={uuid.uuid4().hex}"
             new = fresh.select(F.xxhash64(*self.keys).alias("h"), bucket.alias("bucket"), F.col(self.tie).alias("tie"), *[F.col(k).alias(f"k_{k}") for k in self.keys])
             new.repartition("bucket", F.pmod("h", F.lit(self.segments))).write.partitionBy("bucket").parquet(f"{self.folder}/ids/{name}")
             written = self._table([f"ids/{name}"], schema).select("bucket", "h").withColumn("segment", self._segment())
@@ -156,7 +155,7 @@ class DeliveryStore:
     def compact(self) -> None:
         """One filter for each bucket and segment again, instead of one for each batch too."""
         version, state = self._state()
-        name = f"filters/{uuid.uuid4().hex}"
+        name = f"filters/batch={uuid.uuid4().hex}"
         merged = self._table(state["filters"], _FILTER).repartition("bucket", "segment").sortWithinPartitions("bucket", "segment")
         merged.mapInArrow(_merge, _FILTER).write.parquet(f"{self.folder}/{name}")
         self._commit(version + 1, {**state, "filters": [name]})
