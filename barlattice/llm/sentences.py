@@ -12,6 +12,7 @@ none, and so are places whose layout alone tells.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -241,11 +242,23 @@ class Stats:
         """``rows``: all types, or the most frequent beside the ``sums`` over all and ``rest``, the table of all."""
         self.rows, self.rest = rows, rest
         self.rare: dict[str, tuple[int, int, int, int, int]] = {}  # those of the present text that ``rows`` lacks
+        self.named: dict[tuple, list[str]] = {}
         self.sums = tuple(sums) if sums else tuple(sum(r[i] for r in rows.values()) for i in range(5))
         stops, final, starts, _, after = self.sums
         self.base = self._share(final, stops)
         self.start = self._share(starts, starts + after)
 
+    def names(self, make: Callable[..., list[str]], *key) -> list[str]:
+        """The features that ``make`` gives for a key, kept for the next time where no rare types matter."""
+        if self.rare or self.rest is not None:
+            return make(*key, self)
+        found = self.named.get((make, *key))
+        if found is None:
+            if len(self.named) > 200_000:
+                self.named.clear()
+            found = self.named[(make, *key)] = make(*key, self)
+        return found
+
     def _of(self, kind: str) -> tuple[int, int, int, int, int]:
         return self.rows.get(kind) or self.rare.get(kind, (0, 0, 0, 0, 0))
 
@@ -256,8 +269,8 @@ class Stats:
     @staticmethod
     def _ratio(k: int, n: int, base: float, never: float = 0.004) -> int:
         """Bucket of the log likelihood ratio of ``k`` in ``n``: by chance ``base``, or hardly ever."""
-        ratio = k * np.log(base / never) + (n - k) * np.log((1 - base) / (1 - never))
-        return int(np.clip(ratio / 1.5, -5, 5))
+        ratio = k * math.log(base / never) + (n - k) * math.log((1 - base) / (1 - never))
+        return int(max(-5.0, min(5.0, ratio / 1.5)))
 
     def final(self, kind: str) -> str:
         """How far the type's stops are found at the end of blocks, against chance."""
@@ -274,7 +287,7 @@ class Stats:
         if k + n < 2:
             return "rare"
         share = (k + 0.1) / (k + n + 0.2)
-        return str(int(np.clip(np.log(share) * 1.5, -8, 0)))
+        return str(int(max(-8.0, min(0.0, math.log(share) * 1.5))))
 
 
 def _token_shape(token: str, kind: str) -> str:
@@ -322,7 +335,7 @@ def place(text: str, dot: int, at: int, low: int, high: int, begun: int) -> tupl
 def features(text: str, dot: int, at: int, low: int, high: int, begun: int, stats: Stats) -> tuple[list[str], list[str]]:
     """(of what lies before, of what lies after) a full stop."""
     kind, shape, early, tail, word, near = place(text, dot, at, low, high, begun)
-    return before_features(kind, shape, early, tail, stats), after_features(word, near, stats)
+    return stats.names(before_features, kind, shape, early, tail), stats.names(after_features, word, near)
 
 
 class Model:
@@ -366,8 +379,16 @@ class Model:
         return score + found[0] + self.weights[-1] > 0 and not (shape == "int2" and found[1] <= -2)
 
 
+@lru_cache(maxsize=1 << 17)
+def _index(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % WEIGHTS
+
+
 def _indices(names: list[str]) -> list[int]:
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % WEIGHTS for n in names]
+    return [_index(n) for n in names]
+
+
+_CAPITAL = regex.compile(r"(?<=[\p{Ll}\p{M}]) (?=\p{Lu})")
 
 
 def _small(text: str) -> bool:
@@ -605,7 +626,7 @@ def _labelled(text: str, stats: Stats) -> Iterator[tuple[list[str], bool, float]
             if c.spaced and c.at < high and (m[0] != "." or text[c.at].isupper()):
                 begun = c.end
         # inside a sentence: a word before a capital without any mark between
-        for k, m in enumerate(regex.finditer(r"(?<=[\p{Ll}\p{M}]) (?=\p{Lu})", text, pos=low, endpos=high)):
+        for k, m in enumerate(_CAPITAL.finditer(text, low, high)):
             if k % 4 == 0:
                 _, after = features(text, m.start(), m.end(), low, high, low, stats)
                 yield after, False, 0.25
