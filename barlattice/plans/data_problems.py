@@ -226,17 +226,20 @@ rep AS (
   FROM b WHERE close IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL WINDOW w AS (PARTITION BY universe_id, symbol ORDER BY ms)),
 isl AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY universe_id, symbol ORDER BY ms) AS i FROM rep),
 run AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY universe_id, symbol, i) AS run FROM isl)
-SELECT universe_id, symbol, ms AS open_ms FROM b WHERE off OR volume < 0
-UNION SELECT universe_id, symbol, ms FROM run WHERE same AND run >= 5
-UNION SELECT universe_id, symbol, ms FROM vol WHERE n >= 3 AND r > 19
-UNION SELECT universe_id, symbol, ms FROM s JOIN scale USING (universe_id, symbol) WHERE least(greatest(coalesce(one, 0), coalesce(two, 0), coalesce(too, 0)), away) / scale > 12.5
+SELECT universe_id, symbol, ms AS open_ms, arg_min(flag, k) AS flag FROM (
+  SELECT universe_id, symbol, ms, 'range' AS flag, 0 AS k FROM b WHERE off OR volume < 0
+  UNION ALL SELECT universe_id, symbol, ms, 'stuck', 1 FROM run WHERE same AND run >= 5
+  UNION ALL SELECT universe_id, symbol, ms, 'spike', 2 FROM vol WHERE n >= 3 AND r > 19
+  UNION ALL SELECT universe_id, symbol, ms, 'spike', 2 FROM s JOIN scale USING (universe_id, symbol) WHERE least(greatest(coalesce(one, 0), coalesce(two, 0), coalesce(too, 0)), away) / scale > 12.5)
+GROUP BY universe_id, symbol, ms
 """
 
 QUERIES = {"p5_found": p5_found, "p5_bars": p5_bars, "p7_found": p7_found, "p7_flags": p7_flags, "p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid}
 
 ORACLE = {
     "p3_found": _INSTANTS,
-    "p7_found": _JUDGED,
+    "p7_found": f"SELECT universe_id, symbol, open_ms FROM ({_JUDGED})",
+    "p7_flags": _JUDGED,
     "p1_found": _DAILY + "SELECT universe_id, symbol, day FROM rolled WHERE day_no >= 30 AND CAST(x7 AS DECIMAL(30, 9)) * 30 > CAST(x30 AS DECIMAL(30, 9)) * 7",
     "p1_rolling": _DAILY
     + "SELECT universe_id, symbol, day, floor(v7 * 1e4 + 0.5) / 1e4 AS volume_7d, floor(v30 * 1e4 + 0.5) / 1e4 AS volume_30d,"

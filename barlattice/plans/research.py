@@ -590,10 +590,34 @@ def phase_randomised_market(spark, d):
     return nulls.phase_randomised(_aligned(spark, d))
 
 
-@_query()
+_EACH = "for j in range(1, len(w) + 1)"
+_PAPER = {"nav": 4, "gross": 9, "net": 9, "turnover": 9, "cost_bps": 5}
+
+
+@_query(
+    _chain(
+        "friction",
+        f""", wide AS (
+          SELECT universe_id, t, list(weight ORDER BY f.symbol) AS w, list(close ORDER BY f.symbol) AS c, list(ret ORDER BY f.symbol) AS r, list(slippage ORDER BY f.symbol) AS slip,
+            list(coalesce(step_size, 0) ORDER BY f.symbol) AS st, list(coalesce(min_qty, 0) ORDER BY f.symbol) AS mq, list(coalesce(min_notional, 0) ORDER BY f.symbol) AS mn
+          FROM friction f LEFT JOIN symbol_filters x ON f.symbol = x.symbol GROUP BY universe_id, t),
+        bar AS (SELECT *, row_number() OVER u - 1 AS k, lead(r) OVER u AS nxt FROM wide WINDOW u AS (PARTITION BY universe_id ORDER BY t)),
+        sim AS (
+          SELECT universe_id, k, t, 100000e0 AS nav, [0e0 {_EACH}] AS a, [0e0 {_EACH}] AS d, 0e0 AS gross, 0e0 AS net, 0e0 AS turnover, NULL::DOUBLE AS cost_bps, 0::BIGINT AS orders, 0::BIGINT AS rejected FROM bar WHERE k = 0
+          UNION ALL
+          SELECT universe_id, k, t, v * (1 + g - cost / v), CASE WHEN live THEN held ELSE a END, CASE WHEN live THEN w ELSE d END, g, g - cost / v, turn, CASE WHEN turn > 1e-6 THEN cost / v / turn * 10000 END, n, n - good FROM (
+            SELECT *, CASE WHEN live THEN list_sum([held[j] * nxt[j] {_EACH}]) ELSE 0e0 END AS g FROM (
+              SELECT *, [a[j] + val[j] / v {_EACH}] AS held, list_sum([abs(val[j]) / v {_EACH}]) AS turn, list_sum([abs(val[j]) * ({FEE} + slip[j]) {_EACH}]) AS cost, len([1 {_EACH} if go[j]]) AS n, len([1 {_EACH} if val[j] <> 0]) AS good FROM (
+                SELECT *, [CASE WHEN go[j] AND abs(lot[j]) >= mq[j] - 1e-12 AND abs(lot[j] * c[j]) >= mn[j] - 1e-12 AND abs(lot[j] * c[j]) >= 1e-12 THEN lot[j] * c[j] ELSE 0e0 END {_EACH}] AS val FROM (
+                  SELECT *, [CASE WHEN NOT go[j] THEN 0e0 WHEN st[j] > 0 THEN sign(w[j] - a[j]) * floor(abs((w[j] - a[j]) * v / c[j]) / st[j] + 1e-9) * st[j] ELSE (w[j] - a[j]) * v / c[j] END {_EACH}] AS lot FROM (
+                    SELECT b.*, s.nav AS v, s.a, s.d, b.k >= 24 AND b.nxt IS NOT NULL AS live, [b.k >= 24 AND b.nxt IS NOT NULL AND abs(w[j] - s.d[j]) > 1e-9 AND abs(w[j] - s.a[j]) > 1e-4 {_EACH}] AS go
+                    FROM sim s JOIN bar b ON s.universe_id = b.universe_id AND b.k = s.k + 1)))))) """
+        + _sql_rounded("universe_id, t, orders, rejected", _PAPER, "sim"),
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def paper_simulation(spark, d):
     rows = features.slippage_rate(features.friction_ratios(_weights(spark, d)))
-    return portfolio.paper_simulation(rows, table(spark, d, "symbol_filters"), fee=FEE)
+    return _rounded(portfolio.paper_simulation(rows, table(spark, d, "symbol_filters"), fee=FEE), ["universe_id", "t", "orders", "rejected"], _PAPER)
 
 
 @_query()
