@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -118,8 +119,9 @@ def _token_of(stop: str) -> str:
 
 
 def _word_after(text: str, at: int, high: int) -> str:
-    while at < high and (text[at].isspace() or text[at] in _OPENERS):
-        at += 1
+    if at < high and text[at] not in ascii_letters:
+        while at < high and (text[at].isspace() or text[at] in _OPENERS):
+            at += 1
     if text[at : at + 1] in (".", ",") and text[at + 1 : at + 2].isdigit():
         at += 1
     m = _NEXT.match(text, at, high)
@@ -177,6 +179,8 @@ def describe(text: str, c: Candidate, high: int, small: bool) -> Layout:
 
     ``small``: the document has no capitals, so a small letter tells nothing.
     """
+    if c.mark == "." and c.spaced and not c.quoted and c.at < high and text[c.at] in ascii_letters:  # most places
+        return ".", "upper" if text[c.at] <= "Z" else "lower", True, False, small, 0, False, False, False
     mark = "." if c.mark == "." else "…" if not c.mark.strip(".…") else "wide" if any(x in WIDE for x in c.mark) else "!"
     if c.at >= high:
         return mark, "end"
@@ -325,11 +329,17 @@ def after_features(word: str, near: bool, stats: Stats) -> list[str]:
 
 def place(text: str, dot: int, at: int, low: int, high: int, begun: int) -> tuple[str, str, bool, str, str, bool]:
     """(type, shape, early, last sign, next word, near) of a full stop at ``dot``; ``begun``: start of the sentence."""
-    token = _token_before(text, dot, low)
+    kind, shape, tail, near = _token_seen(_BEFORE.match(text, low, dot)[0])
+    early = dot - begun < 60 and len(text[begun:dot].split()) <= 3
+    return kind, shape, early, tail, _word(_word_after(text, at, high)), near
+
+
+@lru_cache(maxsize=1 << 16)
+def _token_seen(token: str) -> tuple[str, str, str, bool]:
+    """(type, shape, last sign, near) of a token."""
     kind = _kind(token)
     shape = _token_shape(token, kind)
-    early = dot - begun < 60 and len(text[begun:dot].split()) <= 3
-    return kind, shape, early, token[-1:], _word(_word_after(text, at, high)), shape in ("int2", "one", "short", "inner")
+    return kind, shape, token[-1:], shape in ("int2", "one", "short", "inner")
 
 
 def features(text: str, dot: int, at: int, low: int, high: int, begun: int, stats: Stats) -> tuple[list[str], list[str]]:
