@@ -196,6 +196,21 @@ def epochs(rows: DataFrame, number: str, bounds: tuple[int, int] = (10, 20)) ->
     return rows.withColumn("epoch", F.when(n <= bounds[0], 1).when(n <= bounds[1], 2).otherwise(3))
 
 
+def calibration(rows: DataFrame, keys: list[str], predicted: str, outcome: str) -> DataFrame:
+    """Per ``keys``: ``n`` predictions with a known outcome, their mean, ``mae`` against it and ``accuracy`` (0.5 and above says yes).
+
+    ``outcome`` is 0 to 1 (or boolean) and true from 0.5 on.  Keys without any known pair have 0 and nulls.
+    """
+    p, o = F.col(predicted).cast("double"), F.col(outcome).cast("double")
+    known = p.isNotNull() & o.isNotNull()
+    return rows.groupBy(*keys).agg(
+        F.count_if(known).alias("n"),
+        F.avg(F.when(known, p)).alias("mean_predicted"),
+        F.avg(F.when(known, F.abs(p - o))).alias("mae"),
+        F.avg(F.when(known, ((p >= 0.5) == (o >= 0.5)).cast("double"))).alias("accuracy"),
+    )
+
+
 def transitions(rows: DataFrame, key: str, column: str, order: str, tie: str) -> DataFrame:
     """How often ``column`` goes from one value to the next within a key."""
     w = Window.partitionBy(key).orderBy(order, tie)

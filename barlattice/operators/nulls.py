@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -132,25 +133,52 @@ def resampled_panel(rows: DataFrame, value: str, length: float = 48.0, seed: int
     return drawn.join(rows.select("universe_id", "symbol", "t", F.col(value).alias("value")), ["universe_id", "t"])
 
 
-def bootstrap_test(spark: SparkSession, returns: list[float], replicates: int = 1000, length: float = 48.0, seed: int = 42) -> DataFrame:
-    """Null test of a mean: centred series, stationary bootstrap, one row with ``observed``, ``p_value`` and the 95 % band.
+def mean_statistic(r: np.ndarray) -> float:
+    return float(r.mean())
 
-    Replicates run in parallel, each with its own seed, so the result does not
-    depend on the partitioning.  The series is one strategy's returns (a vector).
+
+def sharpe_statistic(r: np.ndarray) -> float:
+    """Mean over the sample deviation; 0 where the returns do not move."""
+    spread = float(r.std(ddof=1)) if len(r) > 1 else 0.0
+    return float(r.mean()) / spread if spread > 1e-12 else 0.0
+
+
+def bootstrap_test(spark: SparkSession, returns: list[float], replicates: int = 1000, length: float = 48.0, seed: int = 42, statistic: Callable[[np.ndarray], float] = mean_statistic) -> DataFrame:
+    """Null test of a statistic of one strategy's returns (a vector): see ``bootstrap_tests``."""
+    rows = spark.createDataFrame([("", i, float(r)) for i, r in enumerate(returns)], "key string, t long, r double")
+    return bootstrap_tests(rows, "key", "r", replicates, length, seed, statistic).drop("key", "n")
+
+
+def bootstrap_tests(
+    returns: DataFrame, key: str, column: str = "net", replicates: int = 1000, length: float = 48.0, seed: int = 42, statistic: Callable[[np.ndarray], float] = mean_statistic, chunk: int = 125
+) -> DataFrame:
+    """Null test of a statistic of each key's returns: ``n``, ``observed``, ``p_value``, mean, deviation and 95 % band of the null.
+
+    The centred series is resampled in blocks (stationary bootstrap); the p-value is
+    (1 + replicates at least as large) / (1 + replicates).  Every replicate has its own
+    seed, so the result does not depend on partitions or on the other keys; a task takes
+    a chunk of replicates of one key.  Null returns are left out; a key's returns are one
+    array, bounded by the calendar.
     """
-    r = np.asarray(returns, float)
-    centred, observed = r - r.mean(), float(r.mean())
-    shared = spark.sparkContext.broadcast(centred)
+    series = returns.filter(F.col(column).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", F.col(column).alias("r")))).getField("r").alias("__r"))
+    parts = series.withColumn("__from", F.explode(F.sequence(F.lit(0), F.lit(max(0, replicates - 1)), F.lit(chunk)))).repartition(key, "__from")
+    kind = returns.schema[key].dataType.simpleString()
 
     def run(batches):
-        c = shared.value
         for pdf in batches:
-            yield pd.DataFrame({"stat": [float(c[block_indices(len(c), length, np.random.default_rng([seed, int(i)]))].mean()) for i in pdf["id"]]})
-
-    stats = spark.range(replicates).mapInPandas(run, "stat double")
-    return stats.agg(
-        F.lit(observed).alias("observed"),
-        ((1 + F.count_if(F.col("stat") >= observed)) / (replicates + 1)).alias("p_value"),
+            out = []
+            for k, r, first in zip(pdf[key], pdf["__r"], pdf["__from"]):
+                r = np.asarray(r, float)
+                centred, observed = r - r.mean(), statistic(r)
+                for i in range(first, min(first + chunk, replicates)):
+                    out.append((k, len(r), observed, statistic(centred[block_indices(len(r), length, np.random.default_rng([seed, i]))])))
+            yield pd.DataFrame(out, columns=[key, "n", "observed", "stat"])
+
+    stats = parts.mapInPandas(run, f"`{key}` {kind}, n long, observed double, stat double")
+    return stats.groupBy(key, "n", "observed").agg(
+        ((1 + F.count_if(F.col("stat") >= F.col("observed"))) / (replicates + 1)).alias("p_value"),
+        F.avg("stat").alias("null_mean"),
+        F.stddev_samp("stat").alias("null_sd"),
         F.percentile("stat", F.lit(0.025)).alias("low"),
         F.percentile("stat", F.lit(0.975)).alias("high"),
     )

@@ -130,14 +130,16 @@ def redundant_streaks(spark, d):
 
 
 @_query(
-    """SELECT universe_id, CASE WHEN k <= 10 THEN 1 WHEN k <= 20 THEN 2 ELSE 3 END AS epoch, count(*) AS n, floor(avg(predicted_confidence) * 1e6 + 0.5) / 1e6 AS mean_confidence
-    FROM (SELECT *, row_number() OVER (PARTITION BY universe_id ORDER BY submitted_at, proposal_id) AS k FROM proposals) GROUP BY ALL"""
+    """SELECT universe_id, CASE WHEN k <= 10 THEN 1 WHEN k <= 20 THEN 2 ELSE 3 END AS epoch, count(*) FILTER (p IS NOT NULL AND o IS NOT NULL) AS n,
+      floor(avg(p) FILTER (o IS NOT NULL) * 1e6 + 0.5) / 1e6 AS mean_predicted, floor(avg(abs(p - o)) * 1e6 + 0.5) / 1e6 AS mae, floor(avg(CASE WHEN p IS NULL OR o IS NULL THEN NULL WHEN (p >= 0.5) = (o >= 0.5) THEN 1e0 ELSE 0e0 END) * 1e6 + 0.5) / 1e6 AS accuracy
+    FROM (SELECT *, predicted_confidence AS p, CAST(adaptive_hysteresis AS INT) AS o, row_number() OVER (PARTITION BY universe_id ORDER BY submitted_at, proposal_id) AS k FROM proposals) GROUP BY ALL"""
 )
 def epoch_calibration(spark, d):
-    rows = table(spark, d, "proposals", "proposal_id", "universe_id", "submitted_at", "predicted_confidence")
+    """Calibration of the predicted confidence by epoch; the tables have no outcome, a recorded yes or no stands for one."""
+    rows = table(spark, d, "proposals", "proposal_id", "universe_id", "submitted_at", "predicted_confidence", "adaptive_hysteresis")
     rows = ledger.epochs(ledger.numbered(rows, "universe_id", "submitted_at", "proposal_id"), "family_trial")
-    per = rows.groupBy("universe_id", "epoch").agg(F.count(F.lit(1)).alias("n"), F.avg("predicted_confidence").alias("c"))
-    return per.select("universe_id", "epoch", "n", align.whole(F.col("c"), 6).alias("mean_confidence"))
+    per = ledger.calibration(rows, ["universe_id", "epoch"], "predicted_confidence", "adaptive_hysteresis")
+    return _rounded(per, ["universe_id", "epoch", "n"], {"mean_predicted": 6, "mae": 6, "accuracy": 6})
 
 
 @_query(_chain("aligned", f"SELECT universe_id, t, max(close) FILTER (k = 1) AS first_asset, max(close) FILTER (k = 2) AS second_asset FROM (SELECT *, row_number() OVER (PARTITION BY universe_id, t ORDER BY symbol) AS k FROM aligned) GROUP BY ALL"))

@@ -179,6 +179,13 @@ def aligned_bars(spark, d):
     return _aligned(spark, d).select("universe_id", "symbol", "t", "open", "high", "low", "close", "volume", "quote_volume", "taker_buy_volume", "substituted")
 
 
+@_query(_chain("aligned", f"SELECT {KEYS}, close FROM aligned WHERE universe_id IN (SELECT universe_id FROM aligned GROUP BY universe_id HAVING count(*) / any_value(asset_count) >= 240)"))
+def long_aligned_bars(spark, d):
+    """Aligned bars of the universes that have at least 240 common periods."""
+    rows = align.aligned_bars(table(spark, d, "bars", *BARS), table(spark, d, "universes", "universe_id", "frequency", "asset_count"), least=240)
+    return rows.select("universe_id", "symbol", "t", "close")
+
+
 @_query(
     _chain(
         "period",
@@ -358,6 +365,31 @@ def drawdowns(spark, d):
     return _rounded(metrics.drawdowns(_portfolio(spark, d), "universe_id"), ["universe_id", "n"], {"nav_dd": 8, "cum_dd": 8, "equity": 8})
 
 
+_GROWTH = {"baseline_sharpe": 5, "log_growth": 7}
+
+
+@_query(
+    _chain(
+        "path",
+        _sql_rounded(
+            "universe_id, calmar",
+            _GROWTH,
+            f"""(SELECT universe_id, CAST(CAST(CASE WHEN dd < -1e-12 THEN least(1e30, greatest(-1e30, (pow(eq, 8760e0 / n) - 1) / abs(dd))) ELSE 0e0 END AS FLOAT) AS DOUBLE) AS calmar, ln(eq) * 8760 / n AS log_growth, s AS baseline_sharpe FROM (
+              SELECT p.universe_id, count(*) AS n, arg_max(eq, p.t) AS eq, min((eq - greatest(1e0, pk)) / greatest(1e0, pk)) AS dd, avg(net) / (stddev_pop(net) + 1e-12) * {_YEAR} AS s
+              FROM path p JOIN bt b ON p.universe_id = b.universe_id AND p.t = b.t GROUP BY p.universe_id))""",
+        ),
+    )
+)
+def growth(spark, d):
+    """Geometric growth (as its logarithm, for it can be huge), Calmar ratio and the Sharpe ratio of baselines of each portfolio."""
+    rows = _portfolio(spark, d)
+    falls = metrics.drawdowns(rows, "universe_id").withColumn("log_growth", F.ln("equity") * metrics.HOURS_A_YEAR / F.col("n"))
+    ratios = metrics.backtest_sharpe(rows, "universe_id", floor=1e-12).select("universe_id", F.col("sharpe").alias("baseline_sharpe"))
+    calmar = F.least(F.lit(1e30), F.greatest(F.lit(-1e30), F.col("calmar"))).cast("float").cast("double").alias("calmar")
+    joined = falls.join(ratios, "universe_id").select("universe_id", calmar, "log_growth", "baseline_sharpe")
+    return _rounded(joined, ["universe_id", "calmar"], _GROWTH)
+
+
 _TURN = {"annual_turnover": 5, "mean_cost_bps": 6, "max_cost_bps": 6, "mean_traded_bps": 6, "friction_penalty": 6}
 
 
@@ -766,6 +798,13 @@ def deflated_sharpe(spark, d):
     return trials.mapInPandas(frames, "universe_id string, strategy string, method string, dsr double, psr double, expected_max double")
 
 
+@_query()
+def null_tests(spark, d):
+    """Bootstrap test of the mean return of each strategy and baseline but cash."""
+    rows = _simulated(spark, d).filter("strategy <> 'CASH'").withColumn("key", F.concat_ws("/", "universe_id", "strategy"))
+    return nulls.bootstrap_tests(rows, "key", "net", 400)
+
+
 @_query()
 def live_books(spark, d):
     """The live books (strategy and baselines) of each universe, bar by bar, as the stream keeps them."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -21,6 +22,7 @@ def local_session(cores: int = 8, app: str = "barlattice", **conf: str) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
@@ -45,6 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="barlattice-checkpoint-")
+        atexit.register(shutil.rmtree, named, True)
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 

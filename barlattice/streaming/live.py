@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barlattice.operators import books
@@ -110,6 +111,11 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "ap
     stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_every(stream: DataFrame, sink: str, checkpoint: str, seconds: int = 300, mode: str = "append") -> StreamingQuery:
+    """A running query that takes what has come every ``seconds``; stop it with ``stop()``, a new one goes on from the checkpoint."""
+    return stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def staleness(bars: DataFrame, now_ms: int, stale_ms: int = 3 * 3_600_000) -> DataFrame:
     """Per series: the latest bar, its age and whether the feed is ``stale`` or ``healthy``."""
     latest = bars.groupBy("universe_id", "symbol").agg(F.max("t").alias("latest"))
