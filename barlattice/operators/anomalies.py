@@ -51,9 +51,9 @@ STATES = 6
 TRANSITIONS = np.array(
     [
         [0.9890, 0.0060, 0.0020, 0.0, 0.0020, 0.0010],
-        [0.1000, 0.8910, 0.0030, 0.0, 0.0030, 0.0030],
-        [0.6300, 0.0500, 0.0, 0.2700, 0.0200, 0.0300],
-        [0.8895, 0.0500, 0.0005, 0.0, 0.0300, 0.0300],
+        [0.1000, 0.8840, 0.0100, 0.0, 0.0030, 0.0030],
+        [0.4300, 0.2500, 0.0, 0.2700, 0.0200, 0.0300],
+        [0.6595, 0.2800, 0.0005, 0.0, 0.0300, 0.0300],
         [0.1000, 0.0030, 0.0010, 0.0, 0.8950, 0.0010],
         [0.8700, 0.0300, 0.0300, 0.0, 0.0500, 0.0200],
     ]
@@ -61,10 +61,13 @@ TRANSITIONS = np.array(
 #: Chance of repeating the preceding bar, to start from; the chances of spikes and broken bars are not fitted.
 REPEAT = np.array([0.005, 0.005, 0.02, 0.02, 0.99, 0.005])
 #: Spread of excursions and of log volume ratios above 0 in calm and in busy bars (half-normal), to start from.
-SPREAD = {CALM: (0.7, 0.5), BUSY: (2.5, 1.1)}
+SPREAD = {CALM: (0.7, 0.5), BUSY: (2.5, 0.7)}
 #: A spike is about this many usual moves, or times the usual volume, or more: below it its
 #: likelihood falls by this power of the ratio, above it as a Pareto tail.
 PRICE_TIMES, VOLUME_TIMES, SHARPNESS = 15.0, 20.0, 20.0
+#: A volume spike (of a bar or a pair) stands out from the traded bars on both sides by this share of its log ratio:
+#: the bars of a longer busy spell do not.  Busy bars reach the spike's numbers at this many spreads only.
+STANDS_OUT, SPREADS = 1 / 3, 4.0
 IMPOSSIBLE = -60.0
 
 
@@ -147,6 +150,16 @@ def observe(group, close, high, low, volume, scale):
     return score, ratio, repeat, broken, run
 
 
+def stands_out(group, volume, ratio) -> np.ndarray:
+    """Whether a bar's volume, or that of the pair it is in, is off the traded bars on both sides, too."""
+    out = np.zeros(len(group), bool)
+    with np.errstate(invalid="ignore"):
+        at = np.flatnonzero(np.isfinite(volume) & (volume > 0))
+    off = _excursion(np.log(volume[at]), group[at])
+    out[at] = ~(off < STANDS_OUT * ratio[at])  # without neighbours nothing is known
+    return out
+
+
 class Parameters:
     """Transitions and emissions of each of some sources."""
 
@@ -166,6 +179,7 @@ class Parameters:
             bars = weight * usual[state]
             for k in range(2):
                 self.spread[:, state, k] = np.sqrt((bars * SPREAD[state][k] ** 2 + sums[:, at + 3 * state + 1 + k]) / (bars + sums[:, at + 3 * state]))
+        self.spread = np.minimum(self.spread, np.array([PRICE_TIMES, np.log(VOLUME_TIMES)]) / SPREADS)
         self.spread[:, BUSY] = np.maximum(self.spread[:, BUSY], self.spread[:, CALM])  # busy bars are not calmer
         normal, stuck = weight * (usual[CALM] + usual[BUSY]), weight * usual[STUCK]
         self.repeat = np.tile(REPEAT, (n, 1))
@@ -173,14 +187,16 @@ class Parameters:
         self.repeat[:, CALM] = self.repeat[:, BUSY] = common
         self.repeat[:, STUCK] = (stuck * REPEAT[STUCK] + sums[:, at + 8]) / (stuck + sums[:, at + 7])
 
-    def emissions(self, group, score, ratio, repeat, broken) -> np.ndarray:
-        """Log likelihood of each row in each state; ``group`` is the number of its source."""
+    def emissions(self, group, score, ratio, repeat, broken, alone=None) -> np.ndarray:
+        """Log likelihood of each row in each state; ``group`` is the number of its source, ``alone`` tells ``stands_out``."""
         up = np.maximum(ratio, 0.0)
         spread = self.spread[group]
         with np.errstate(divide="ignore"):
             x, y = np.log(score / PRICE_TIMES), up - np.log(VOLUME_TIMES)
         price = -np.log(PRICE_TIMES) + np.where(x < 0, np.maximum(SHARPNESS * x, 2 * IMPOSSIBLE), -2.0 * x)
         volume = np.log(0.5) + np.where(y < 0, SHARPNESS * y, -0.5 * y)
+        if alone is not None:
+            volume = np.where(alone, volume, 2 * IMPOSSIBLE)
 
         def half_normal(v: np.ndarray, sigma: np.ndarray) -> np.ndarray:
             return 0.5 * np.log(2 / np.pi) - np.log(sigma) - 0.5 * (v / sigma) ** 2
@@ -286,7 +302,7 @@ def _named(block: pa.RecordBatch, name: str, null: str) -> pa.Array:
 
 
 _OBSERVED_DDL = "u string, un boolean, s string, sn boolean, shard long, first int, ms binary, score binary, ratio binary, bits binary"
-_REPEAT_BIT, _BROKEN_BIT, _RUN_BIT = 1, 2, 4
+_REPEAT_BIT, _BROKEN_BIT, _RUN_BIT, _ALONE_BIT = 1, 2, 4, 8
 
 
 def _observe(table: pa.Table) -> pa.RecordBatch:
@@ -323,7 +339,8 @@ def _observe(table: pa.Table) -> pa.RecordBatch:
     data = {c: x[order] for c, x in data.items()}
 
     score, ratio, repeat, broken, run = observe(group, *[data[c] for c in _NUMBERS], scale[group])
-    bits = (repeat * _REPEAT_BIT + broken * _BROKEN_BIT + run * _RUN_BIT).astype(np.uint8)
+    alone = stands_out(group, data["volume"], ratio)
+    bits = (repeat * _REPEAT_BIT + broken * _BROKEN_BIT + run * _RUN_BIT + alone * _ALONE_BIT).astype(np.uint8)
     score, ratio = score.astype(np.float32), ratio.astype(np.float32)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
     columns: dict[str, list] = {"first": [], "ms": [], "score": [], "ratio": [], "bits": []}
@@ -368,7 +385,7 @@ class _Shards:
 
         self.ms, bits = joined("ms", np.int64), joined("bits", np.uint8)
         self.score, self.ratio = joined("score", np.float32).astype(float), joined("ratio", np.float32).astype(float)
-        self.repeat, self.broken, self.run = (bits & b > 0 for b in (_REPEAT_BIT, _BROKEN_BIT, _RUN_BIT))
+        self.repeat, self.broken, self.run, self.alone = (bits & b > 0 for b in (_REPEAT_BIT, _BROKEN_BIT, _RUN_BIT, _ALONE_BIT))
         length = pc.binary_length(batch.column("bits")).to_numpy(zero_copy_only=False).astype(np.int64)
         self.bars = pc.binary_length(batch.column("ms")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
         self.group = np.repeat(np.arange(len(length)), length)
@@ -383,7 +400,7 @@ class _Shards:
 
     def posteriors(self) -> tuple[np.ndarray, np.ndarray]:
         p = Parameters(self.sums)
-        logs = p.emissions(self.group, self.score, self.ratio, self.repeat, self.broken)
+        logs = p.emissions(self.group, self.score, self.ratio, self.repeat, self.broken, self.alone)
         return posteriors(self.group, logs, p.transitions, self.own)
 
 
