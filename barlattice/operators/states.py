@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlattice.operators.align import SERIES, along
@@ -44,13 +44,6 @@ def market_returns(rows: DataFrame) -> DataFrame:
     return nxt.groupBy("universe_id", "t").agg(F.avg("__next").alias("market"))
 
 
-def side_by_side(rows: DataFrame, value: str, names: Sequence[str]) -> DataFrame:
-    """The values of a universe's first assets (by symbol) in one row per instant."""
-    k = F.row_number().over(Window.partitionBy("universe_id", "t").orderBy("symbol"))
-    marked = rows.select("universe_id", "t", F.col(value).alias("__v"), k.alias("__k"))
-    return marked.groupBy("universe_id", "t").agg(*[F.max(F.when(F.col("__k") == i + 1, F.col("__v"))).alias(n) for i, n in enumerate(names)])
-
-
 def all_side_by_side(rows: DataFrame, value: str) -> DataFrame:
     """The values of all assets of a universe in one row per instant: ``symbols`` in order and ``values`` beside them."""
     per = rows.groupBy("universe_id", "t").agg(F.array_sort(F.collect_list(F.struct("symbol", F.col(value).alias("value")))).alias("__all"))

@@ -142,12 +142,6 @@ def epoch_calibration(spark, d):
     return _rounded(per, ["universe_id", "epoch", "n"], {"mean_predicted": 6, "mae": 6, "accuracy": 6})
 
 
-@_query(_chain("aligned", f"SELECT universe_id, t, max(close) FILTER (k = 1) AS first_asset, max(close) FILTER (k = 2) AS second_asset FROM (SELECT *, row_number() OVER (PARTITION BY universe_id, t ORDER BY symbol) AS k FROM aligned) GROUP BY ALL"))
-def wide_closes(spark, d):
-    """Closes side by side: the first two assets of a universe by their order; ``wide_closes_all`` has all."""
-    return states.side_by_side(research._aligned(spark, d), "close", ("first_asset", "second_asset"))
-
-
 @_query(_chain("aligned", "SELECT universe_id, t, list(symbol ORDER BY symbol) AS symbols, list(close ORDER BY symbol) AS closes FROM aligned GROUP BY ALL"))
 def wide_closes_all(spark, d):
     """Closes of all assets of a universe side by side, however many it has."""

@@ -486,20 +486,6 @@ def pair_correlations(spark, d):
     return _rounded(_asset_pairs(spark, d), ["a", "b", "overlap"], {"rho": 7})
 
 
-@_query(
-    _chain(
-        "ret",
-        f"""SELECT floor(least(k, greatest(1e0, k / (1 + (k - 1) * least(0.999e0, greatest(0e0, m))))) * 1e6 + 0.5) / 1e6 AS k_mean,
-          floor(least(k, greatest(1e0, k * k / (k + 2 * q))) * 1e6 + 0.5) / 1e6 AS k_rank
-        FROM (SELECT avg(rho) AS m, sum(rho * rho) AS q FROM {_PAIRS}), (SELECT count(DISTINCT universe_id || '/' || symbol)::DOUBLE AS k FROM ret)""",
-    )
-)
-def effective_trials(spark, d):
-    """Of all series, with pairs of different universes left out (``k_rank`` takes them as unrelated); see ``effective_trials_by_universe``."""
-    series = _returns(spark, d).select("universe_id", "symbol").distinct()
-    return _rounded(metrics.effective_trials(_asset_pairs(spark, d), series), [], {"k_mean": 6, "k_rank": 6})
-
-
 @_query(
     _chain(
         "ret",

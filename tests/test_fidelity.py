@@ -172,3 +172,12 @@ def test_snapshots_and_weeks(spark):
     assert {x.k: x.sharpe for x in metrics.nav_sharpe(navs, "k", "nav").collect()} == {"k": pytest.approx(r.mean() / r.std() * math.sqrt(8760)), "f": 0.0}
     curve = metrics.cost_curve_by(lambda fee: sims.withColumn("net", F.col("net") - fee), "strategy", grid=(0.0, 10.0))
     assert curve.count() == 4
+
+
+def test_effective_trials_of_all_series(spark):
+    pairs = spark.createDataFrame([(0.5,), (0.1,), (None,)], "rho double")
+    series = spark.createDataFrame([("a",), ("b",), ("c",)], "s string")
+    got = metrics.effective_trials(pairs, series).first()
+    assert got.k_mean == pytest.approx(3 / (1 + 2 * 0.3)) and got.k_rank == pytest.approx(9 / (3 + 2 * 0.26))
+    alone = metrics.effective_trials(pairs.limit(0), series.limit(1)).first()
+    assert alone.k_mean == alone.k_rank == 1.0
