@@ -14,30 +14,34 @@ WARM_UP = 24
 TRADED, COSTED = 1e-4, 1e-6
 
 
-def backtest(rows: DataFrame, fee: float = 0.0090, warm_up: int = WARM_UP, key: str = "universe_id", more: tuple[str, ...] = ()) -> DataFrame:
+def backtest(rows: DataFrame, fee: float = 0.0090, warm_up: int = WARM_UP, key: str = "universe_id", weights: dict[str, str] | None = None) -> DataFrame:
     """Returns of a portfolio per bar: ``gross``, ``net``, ``flat_net``, ``turnover``, ``cost_bps``, ``traded``.
 
     ``rows`` has ``weight``, ``ret`` and ``slippage`` per asset.  Weights held at a bar
     earn the next bar's return; changes of weight pay fee and slippage.  Bars from
     ``warm_up`` (0-based) to the last but one count; the weight before the first of
-    them is 0.  ``cost_bps`` is 10 on bars without turnover.  ``more``: columns that tell
-    several portfolios of a key apart.
+    them is 0.  ``cost_bps`` is 10 on bars without turnover.  With ``weights`` (name of a
+    portfolio to its column of weights) all portfolios are run over the same rows and
+    come out by ``strategy``: the rows are neither repeated nor shuffled for each.
     """
-    series = along(*SERIES, *more)
+    series = along(*SERIES)
+    columns = weights or {"": "weight"}
     k = F.row_number().over(series) - 1
-    rows = rows.withColumns({"__k": k, "__next": F.lead("ret").over(series), "__last": F.lag("weight").over(series)})
+    last = {f"__last{i}": F.lag(c).over(series) for i, c in enumerate(columns.values())}
+    rows = rows.withColumns({"__k": k, "__next": F.lead("ret").over(series), **last})
     rows = rows.filter((F.col("__k") >= warm_up) & F.col("__next").isNotNull())
-    before = F.when(F.col("__k") == warm_up, F.lit(0.0)).otherwise(F.coalesce("__last", F.lit(0.0)))
-    change = F.abs(F.col("weight") - before)
-    per = rows.groupBy(key, *more, "t").agg(
-        F.sum(F.col("weight") * F.col("__next")).alias("gross"),
-        F.sum(change).alias("turnover"),
-        F.sum(change * (fee + F.col("slippage"))).alias("__cost"),
-    )
+    sums = []
+    for i, c in enumerate(columns.values()):
+        before = F.when(F.col("__k") == warm_up, F.lit(0.0)).otherwise(F.coalesce(f"__last{i}", F.lit(0.0)))
+        change = F.abs(F.col(c) - before)
+        sums += [F.sum(F.col(c) * F.col("__next")).alias(f"__g{i}"), F.sum(change).alias(f"__u{i}"), F.sum(change * (fee + F.col("slippage"))).alias(f"__c{i}")]
+    per = rows.groupBy(key, "t").agg(*sums)
+    parts = [F.struct(F.lit(n).alias("strategy"), F.col(f"__g{i}").alias("gross"), F.col(f"__u{i}").alias("turnover"), F.col(f"__c{i}").alias("__cost")) for i, n in enumerate(columns)]
+    per = per.select(key, "t", F.explode(F.array(*parts)).alias("__s")).select(key, "t", "__s.*")
     costed = F.col("turnover") > COSTED
     return per.select(
         key,
-        *more,
+        *(["strategy"] if weights else []),
         "t",
         "gross",
         (F.col("gross") - F.col("__cost")).alias("net"),
@@ -147,17 +151,11 @@ def paper_simulation(rows: DataFrame, filters: DataFrame, capital: float = 100_0
     )
 
 
-def weighted_simulation(rows: DataFrame, capital: float = 100_000.0, fee: float = 0.0090, warm_up: int = WARM_UP, more: tuple[str, ...] = ()) -> DataFrame:
+def weighted_simulation(rows: DataFrame, capital: float = 100_000.0, fee: float = 0.0090, warm_up: int = WARM_UP, weights: dict[str, str] | None = None) -> DataFrame:
     """``backtest`` with the value of an account beside it: ``nav`` is ``capital`` compounded by the net returns, ``bar`` counts from 1."""
-    w = Window.partitionBy("universe_id", *more).orderBy("t")
+    w = Window.partitionBy("universe_id", *(["strategy"] if weights else [])).orderBy("t")
     path = F.product(1 + F.col("net")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return backtest(rows, fee, warm_up, more=more).withColumns({"bar": F.row_number().over(w), "nav": capital * path})
-
-
-def with_cash(simulated: DataFrame, capital: float = 100_000.0) -> DataFrame:
-    """The bars of a simulation for an account that never trades."""
-    idle = {c: F.lit(0.0) for c in ("gross", "net", "flat_net", "turnover", "cost_bps")}
-    return simulated.withColumns({**idle, "traded": F.lit(False), "nav": F.lit(float(capital))})
+    return backtest(rows, fee, warm_up, weights=weights).withColumns({"bar": F.row_number().over(w), "nav": capital * path})
 
 
 def summary(simulated: DataFrame, keys: list[str], capital: float = 100_000.0, periods: int = 8760) -> DataFrame:

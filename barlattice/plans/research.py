@@ -653,9 +653,7 @@ def _simulated(spark: SparkSession, d: str) -> DataFrame:
     rows = signals.held_weights(rows.withColumnRenamed("weight", "w0")).withColumnRenamed("weight", "w1")
     rows = signals.momentum_leader(rows).withColumnRenamed("weight", "w2")
     rows = signals.reversion_weights(signals.reversion_state(rows)).withColumnRenamed("weight", "w3").withColumn("w4", F.lit(0.0))
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("strategy"), F.col(f"w{i}").alias("weight")) for i, name in enumerate(STRATEGIES)]))
-    stacked = rows.select("universe_id", "symbol", "t", "ret", "slippage", each.alias("__s")).select("universe_id", "symbol", "t", "ret", "slippage", "__s.*")
-    return portfolio.weighted_simulation(stacked, CAPITAL, FEE, more=("strategy",))
+    return portfolio.weighted_simulation(rows, CAPITAL, FEE, weights={name: f"w{i}" for i, name in enumerate(STRATEGIES)})
 
 
 _SUM = {"net_sharpe": 4, "gross_sharpe": 4, "cagr_net": 5, "max_drawdown": 7, "annual_turnover": 5, "mean_cost_bps": 6, "ending_nav_usd": 3, "total_pnl_usd": 3}
