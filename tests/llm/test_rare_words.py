@@ -55,3 +55,18 @@ def test_ranks_are_numbers_without_gaps_in_each_size(spark):
     assert max(v for (p, _), v in used.items() if p == 1) == 12 and sum(v for (p, _), v in used.items() if p == 2) == sum(s for _, s in rows)
     with pytest.raises(ValueError):
         packing.pack(items, packs.withColumn("capacity", F.lit(1 << 40)))
+
+
+def test_the_fill_report_counts_what_the_containers_hold(spark):
+    rows = [(i, s) for i, s in enumerate([12, 7, 5, 5, 3, 40, 0, 11])]
+    items = spark.createDataFrame(rows, "doc_id long, size long").repartition(3)
+    packs = spark.createDataFrame([(1, 12), (2, 30)], "pack_id long, capacity long")
+    packed = packing.pack(items, packs)
+    used = Counter()
+    for r in packed.collect():
+        used[r.pack_id, r.container_id] += r.n_tokens
+    got = {r.pack_id: r for r in packing.fill_report(packed, packs).collect()}
+    for p, capacity in ((1, 12), (2, 30)):
+        mine = [v for (q, _), v in used.items() if q == p]
+        assert (got[p].containers, got[p].tokens, got[p].most) == (len(mine), 83, max(mine))
+        assert got[p].unused == len(mine) * capacity - 83 and max(mine) <= capacity
