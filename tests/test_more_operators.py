@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlattice.operators import ledger, nulls
+from barlattice.plans import research
 from barlattice.sources.tables import bars_until
 from barlattice.streaming import live
 
@@ -54,3 +55,26 @@ def test_a_stream_on_a_clock(spark, tmp_path):
         assert spark.read.parquet(sink).count() == 2
     finally:
         query.stop()
+
+
+def test_resampled_panels_draw_the_same_instants_for_all_assets(spark):
+    rows = [(u, s, 1000 + 7 * k, float(100 * i + k)) for u, n in (("u", 40), ("v", 9)) for i, s in enumerate("abc") for k in range(n)]
+    df = spark.createDataFrame(rows, "universe_id string, symbol string, t long, ret double")
+    got = [sorted(map(tuple, nulls.resampled_panel(d, "ret", 5.0, 3).select("universe_id", "k", "symbol", "t", "value").collect())) for d in (df.repartition(1), df.repartition(6))]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    value = {r[:3]: r[3] for r in rows}
+    assert all(v == value[u, s, t] for u, _, s, t, v in got[0])  # each row is one of the universe's own at that instant
+    drawn = {}
+    for u, k, _, t, _ in got[0]:
+        drawn.setdefault((u, k), set()).add(t)
+    assert all(len(ts) == 1 for ts in drawn.values()) and len(drawn) == 49
+    path = [next(iter(drawn["u", k])) for k in range(40)]
+    assert sum(b - a == 7 for a, b in zip(path, path[1:])) > 20 and len(set(path)) < 40  # blocks go on, some instants come again
+
+
+def test_clusters_of_a_universe_by_hand(spark):
+    series = spark.createDataFrame([("u", "a"), ("u", "b"), ("u", "c"), ("v", "x"), ("w", "p"), ("w", "q")], "universe_id string, series string")
+    pairs = spark.createDataFrame([("u", "a", "b", 0.99), ("u", "a", "c", 0.2), ("u", "b", "c", 0.2), ("w", "p", "q", 0.9499)], "universe_id string, a string, b string, rho double")
+    got = {r.universe_id: r for r in research._clusters(pairs, series).collect()}
+    assert {u: (r.k, r.k_cluster) for u, r in got.items()} == {"u": (3, 2.0), "v": (1, 1.0), "w": (2, 2.0)}
+    assert got["u"].k_rank == pytest.approx(9 / (3 + 2 * (0.99**2 + 2 * 0.2**2))) and got["u"].k_rho_avg == pytest.approx(3 / (1 + 2 * (0.99 + 0.4) / 3))
